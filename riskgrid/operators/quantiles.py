@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskgrid.sources.workdir import ensure_checkpoint_dir
+from riskgrid.sources.workdir import materialize
 
 # Groups up to this many rows use the built-in exact percentile, which holds a group's values in memory.
 IN_MEMORY_ROWS = 2_000_000
@@ -15,12 +15,13 @@ BINS = 512
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
-                    by: Sequence[str] = (), in_memory_rows: int = IN_MEMORY_ROWS) -> DataFrame:
+                    by: Sequence[str] = (), in_memory_rows: int = IN_MEMORY_ROWS,
+                    total_rows: int | None = None) -> DataFrame:
     """One row per group: ``by.., n, q0, q1, ..`` with linearly interpolated quantiles.
 
     Missing values (NULL, NaN) do not count. Groups within ``in_memory_rows`` are done by
     ``percentile``; larger ones by narrowing value brackets with histograms until each bracket is a
-    single value. Both ways are exact.
+    single value. Both ways are exact. A known ``total_rows`` within the bound saves the size check.
     """
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
@@ -29,6 +30,9 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     groups = by or ["_all"]
+    if total_rows is not None and total_rows <= in_memory_rows:
+        result = _by_percentile(rows, groups, probs)
+        return result if by else result.drop("_all")
     sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= in_memory_rows:
@@ -55,7 +59,6 @@ def _by_brackets(rows: DataFrame, groups: list[str], probs: Sequence[float]) ->
     the next bracket, with the smallest and largest value seen in it as its ends. Since those ends
     are values of the data, the bracket shrinks in every pass and ends as one value.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
     ends = rows.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
     sides = F.array(*[
@@ -63,10 +66,10 @@ def _by_brackets(rows: DataFrame, groups: list[str], probs: Sequence[float]) ->
                  (F.floor(F.lit(float(p)) * (F.col("n") - 1)) if side == 0
                   else F.ceil(F.lit(float(p)) * (F.col("n") - 1))).alias("rank"))
         for i, p in enumerate(probs) for side in (0, 1)])
-    targets = (ends.withColumn("t", F.explode(sides))
-               .select(*groups, "n", "lo", "hi", F.lit(0).cast("long").alias("below"),
-                       "t.i", "t.side", "t.rank")
-               .checkpoint())
+    targets = materialize(
+        ends.withColumn("t", F.explode(sides))
+        .select(*groups, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), "t.i", "t.side", "t.rank"),
+        "quantile-targets")
     while not targets.where("lo < hi").isEmpty():
         open_targets = targets.where("lo < hi")
         brackets = open_targets.select(*groups, "lo", "hi").distinct()
@@ -85,7 +88,7 @@ def _by_brackets(rows: DataFrame, groups: list[str], probs: Sequence[float]) ->
                     .where((in_bin >= 0) & (in_bin < F.col("c")))
                     .select(*groups, "n", F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"),
                             (F.col("below") + F.col("c_before")).alias("below"), "i", "side", "rank"))
-        targets = targets.where("lo >= hi").unionByName(narrowed).checkpoint()
+        targets = materialize(targets.where("lo >= hi").unionByName(narrowed), "quantile-targets")
     picked = targets.groupBy(*groups, "n").agg(*[
         F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("lo"))).alias(f"v{i}_{side}")
         for i in range(len(probs)) for side in (0, 1)])

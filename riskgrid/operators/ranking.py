@@ -68,13 +68,13 @@ def hash_rank(df: DataFrame, hash_column: Column, by: Sequence[str] = (), name:
     the shifts are one row per (by, prefix). Work is spread over all prefixes.
     """
     by = list(by)
-    hashed = df.withColumn("_h", hash_column).withColumn("_p", F.substring("_h", 1, digits))
-    counts = hashed.groupBy(*by, "_p").count()
-    lower = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_p").rowsBetween(
-        Window.unboundedPreceding, -1)
-    shifts = counts.select(*by, "_p", F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_p").orderBy("_h")
-    numbered = hashed.withColumn("_r", F.row_number().over(inside))
-    return (numbered.join(shifts, [*by, "_p"])
-            .withColumn(name, F.col("_before") + F.col("_r"))
-            .drop("_h", "_p", "_before", "_r"))
+    hashed = df.withColumn("_hash", hash_column).withColumn("_prefix", F.substring("_hash", 1, digits))
+    counts = hashed.groupBy(*by, "_prefix").count()
+    lower = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(
+        "_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(*by, "_prefix", F.coalesce(F.sum("count").over(lower), F.lit(0)).alias("_shift"))
+    inside = Window.partitionBy(*by, "_prefix").orderBy("_hash")
+    numbered = hashed.withColumn("_within", F.row_number().over(inside))
+    return (numbered.join(shifts, [*by, "_prefix"])
+            .withColumn(name, F.col("_shift") + F.col("_within"))
+            .drop("_hash", "_prefix", "_shift", "_within"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,16 +12,15 @@ BROADCAST_ROWS = 100_000
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Count a lookup table and mark it for broadcast only when it is within the bound.
+    """Mark a lookup table for broadcast only when it is within the bound.
 
-    The table is cached by the count, so it is computed once. Beyond the bound it is handed back
-    unmarked, and the join is left to shuffle.
+    Within it, the rows are held as a local table, so they are computed once. Beyond it the table is
+    handed back unmarked, and the join is left to shuffle.
     """
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    if cached.count() <= max_rows:
-        return F.broadcast(cached), True
-    cached.unpersist()
-    return df, False
+    rows = df.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
+        return df, False
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), True
 
 
 def lookup_join(fact: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import round_count, row_hash
 from riskgrid.operators.ranking import band_of_hash, hash_cutoffs, hash_rank
 from riskgrid.operators.sizes import lookup_join
+from riskgrid.sources.workdir import materialize
 
 TOP_K_ROWS = 10_000
 
@@ -32,7 +32,7 @@ def group_split_table(df: DataFrame, group: str = "grid_id", min_rows: int = 100
     ``round(train * n)`` train, the next ``round(validate * n)`` validate, the rest test. The two
     boundaries are hash values, so the assignment is a plain expression on the group table.
     """
-    sizes = group_sizes(df, group).persist(StorageLevel.MEMORY_AND_DISK)
+    sizes = materialize(group_sizes(df, group), "group-sizes")
     large = sizes.where(F.col("n") >= min_rows)
     count = large.count()
     n_train = round_count(count * train)

@@ -18,12 +18,13 @@ from riskgrid.sources.sinks import (
     write_split,
     write_values_by_country,
 )
-from riskgrid.sources.workdir import ensure_checkpoint_dir, shared_path
+from riskgrid.sources.workdir import ensure_checkpoint_dir, materialize, shared_path
 
 __all__ = [
     "convert_table",
     "ensure_checkpoint_dir",
     "load_model",
+    "materialize",
     "read_dims",
     "read_features",
     "read_grid",

@@ -6,7 +6,7 @@ from workload.registry import QUERIES, SQL, Query
 
 
 def _load() -> None:
-    from workload import cases, checks, describe, scans  # noqa: F401
+    from workload import cases, checks, describe, models, scans  # noqa: F401
 
 
 def all_queries() -> dict[str, Query]:
