@@ -89,10 +89,14 @@ def age_profile(shares: DataFrame, codes: DataFrame, n_ages: int = N_AGES) -> Da
 
 
 def pop_by_age(pixels: DataFrame, profile: DataFrame) -> DataFrame:
-    """Population of each pixel and age, long. Pixels of codes that count for none are left out."""
+    """Population of each pixel and age, long. Pixels of codes that count for none are left out.
+
+    Every pixel becomes as many rows as there are ages, so the short pixel rows are first spread
+    evenly; the long rows are then made and used where they are.
+    """
     columns = [c for c in pixels.columns if c != "pop"]
     profile, _ = checked_broadcast(profile)
-    return pixels.join(profile, "profile_code", "inner").select(
+    return pixels.repartition("x", "y").join(profile, "profile_code", "inner").select(
         *columns, "age", (F.col("pop") * F.col("share")).alias("pop_age"))
 
 

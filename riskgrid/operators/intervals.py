@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from multiprocessing.pool import ThreadPool
 from statistics import NormalDist
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from riskgrid.functions import hash_uniform, percentile_of_sorted, poisson_one
 from riskgrid.operators.boost import (
@@ -151,16 +153,19 @@ def bag_weights(keys: Sequence[str], trees: int, seed: int):
 
 
 def bag_fit(train: DataFrame, label: str, keys: Sequence[str], trees: int = 50, depth: int = 10,
-            min_leaf: int = 1, seed: int = 123, features: str = "features") -> Bag:
+            min_leaf: int = 1, seed: int = 123, features: str = "features", parallelism: int = 4) -> Bag:
     """Bagged trees with known in-bag counts."""
     weighted = train.select(*keys, features, label, bag_weights(keys, trees, seed).alias("_n")).persist()
-    fitted = []
-    for b in range(trees):
-        fitted.append(DecisionTreeRegressor(
+    gram, n = in_bag_gram(weighted, trees)  # fills the cache
+
+    def fit_tree(b: int) -> DecisionTreeRegressionModel:
+        drawn = weighted.select(features, label, F.get("_n", F.lit(b)).alias("_w")).where("_w > 0")
+        return DecisionTreeRegressor(
             featuresCol=features, labelCol=label, weightCol="_w", predictionCol=f"_t{b}", maxDepth=depth,
-            minInstancesPerNode=min_leaf, seed=seed + b).fit(
-                weighted.select(features, label, F.get("_n", F.lit(b)).alias("_w")).where("_w > 0")))
-    gram, n = in_bag_gram(weighted, trees)
+            minInstancesPerNode=min_leaf, seed=seed + b).fit(drawn)
+
+    with ThreadPool(min(parallelism, trees)) as pool:  # trees are independent of one another
+        fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit_tree), range(trees))
     weighted.unpersist()
     return Bag(fitted, gram, n)
 

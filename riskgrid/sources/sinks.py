@@ -30,17 +30,17 @@ def write_predictions(df: DataFrame, path: str, model: str) -> None:
      .write.mode("overwrite").partitionBy("model").parquet(path))
 
 
-def write_cases_by_age(df: DataFrame, path: str, keys: tuple[str, ...] = ("x", "y")) -> None:
+def write_cases_by_age(ages: DataFrame, totals: DataFrame, path: str,
+                       keys: tuple[str, ...] = ("x", "y")) -> None:
     """One folder per age and one named ``Total``.
 
-    Rows are rebalanced by folder before the write: small folders get few files, and a folder that
-    holds much of the data is written by many tasks.
+    Every pixel has a row for every age, so a task's rows spread evenly over the folders and are
+    written where they are, without a shuffle. ``totals`` has one row per pixel.
     """
-    ages = df.select(*keys, age_label(F.col("age")).alias("part"), "cases")
-    totals = df.groupBy(*keys).agg(F.sum("cases").alias("cases")).select(
-        *keys, F.lit("Total").alias("part"), "cases")
-    ages.hint("rebalance", "part").write.mode("overwrite").partitionBy("part").parquet(path)
-    totals.write.mode("append").partitionBy("part").parquet(path)
+    (ages.select(*keys, age_label(F.col("age")).alias("part"), "cases")
+     .write.mode("overwrite").partitionBy("part").parquet(path))
+    (totals.select(*keys, F.lit("Total").alias("part"), "cases")
+     .write.mode("append").partitionBy("part").parquet(path))
 
 
 def write_values_by_country(df: DataFrame, path: str) -> None:

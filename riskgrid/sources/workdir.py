@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +33,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, spread: Sequence[str] = ()) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     Cuts the lineage with a single computation of the table; a lost executor costs a re-read, and
-    the planner knows the size of what it joins next.
+    the planner knows the size of what it joins next. With ``spread`` the rows are first distributed
+    evenly by these columns, for tables that are read many times.
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(*spread) if spread else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,7 +47,7 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     if run not in _PREPARED:
         grouped = split.group_split(t.grid(spark, sf_dir))
         df = keys.attach_by_pixel(t.model_pixels(spark, sf_dir), grouped, ["grid_id", "split"])
-        df = sources.materialize(df, "model-pixels")
+        df = sources.materialize(df, "model-pixels", spread=KEY)
         _PREPARED[run] = features.feature_pipeline(df, NUMERIC, ["ur"]).transform(df)
     return _PREPARED[run]
 
