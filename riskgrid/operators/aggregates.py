@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,14 +104,41 @@ def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair a < b as rows ``a, b, r``, from one pass over the table.
-    A constant column has no correlation (NULL)."""
-    pairs = list(combinations(sorted(columns), 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                               F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double")).alias("r"))
-                      for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(cells).alias("_c")).select("_c.*")
+    """Pearson correlation of every pair a < b as rows ``a, b, r``, over the rows that have both.
+    A constant column has no correlation (NULL).
+
+    Every task adds up its rows around the column means; what travels is a few p x p matrices per
+    task, so the number of pairs does not matter.
+    """
+    names = sorted(columns)
+    p = len(names)
+    doubles = [F.col(c).cast("double").alias(c) for c in names]
+    means = df.select(*doubles).agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c)
+                                      for c in names]).first()
+    centre = np.array([0.0 if means[c] is None else means[c] for c in names])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            x = batch[names].to_numpy(float) - centre
+            seen = (~np.isnan(x)).astype(float)
+            x = np.nan_to_num(x)
+            total += np.stack([seen.T @ seen, x.T @ seen, (x * x).T @ seen, x.T @ x])
+        yield pd.DataFrame({"cell": np.arange(4 * p * p), "v": total.ravel()})
+
+    cells = (df.select(*doubles).mapInPandas(partial, "cell INT, v DOUBLE")
+             .groupBy("cell").agg(F.sum("v").alias("v")).orderBy("cell").collect())
+    n, sx, sxx, sxy = np.array([c["v"] for c in cells] or np.zeros(4 * p * p)).reshape(4, p, p)
+    rows = []
+    for i, j in combinations(range(p), 2):
+        r = None
+        if n[i, j] > 1:
+            vi = sxx[i, j] - sx[i, j] ** 2 / n[i, j]
+            vj = sxx[j, i] - sx[j, i] ** 2 / n[i, j]
+            if vi > 1e-12 * sxx[i, j] and vj > 1e-12 * sxx[j, i]:
+                r = float((sxy[i, j] - sx[i, j] * sx[j, i] / n[i, j]) / math.sqrt(vi * vj))
+        rows.append((names[i], names[j], r))
+    return df.sparkSession.createDataFrame(rows, "a STRING, b STRING, r DOUBLE")
 
 
 def histogram_auto(df: DataFrame, column: str) -> DataFrame:

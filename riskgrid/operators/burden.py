@@ -6,11 +6,12 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskgrid.functions import catalytic_cases as catalytic
 from riskgrid.operators.keys import attach_by_pixel
 from riskgrid.operators.quality import map_values
-from riskgrid.operators.sizes import checked_broadcast, lookup_join
+from riskgrid.operators.sizes import BROADCAST_ROWS, checked_broadcast, lookup_join
 
 N_AGES = 100
 
@@ -111,10 +112,24 @@ def catalytic_cases(pop_ages: DataFrame, rate: float, foi: str = "foi") -> DataF
         "cases", catalytic(F.col(foi), F.col("age"), F.lit(float(rate)), F.col("pop_age")))
 
 
-def profile_arrays(profile: DataFrame, n_ages: int = N_AGES) -> DataFrame:
-    """The profiles with one column per age, ``s0 .. s{n-1}``: one row per code."""
-    return profile.groupBy("profile_code").pivot("age", list(range(n_ages))).agg(F.first("share")).select(
-        "profile_code", *[F.col(str(a)).alias(f"s{a}") for a in range(n_ages)])
+def wide_profile(profile: DataFrame, n_ages: int = N_AGES) -> DataFrame:
+    """The profiles with one column per age, ``s0 .. s{n-1}``: one row per code.
+
+    A profile within the broadcast bound is turned on the driver, into columns that are known not to
+    be NULL; that keeps the generated code of :func:`cases_total` short enough to be compiled.
+    """
+    names = [f"s{a}" for a in range(n_ages)]
+    rows = profile.select("profile_code", "age", "share").limit(BROADCAST_ROWS + 1).toArrow()
+    if rows.num_rows > BROADCAST_ROWS:
+        pivoted = profile.groupBy("profile_code").pivot("age", list(range(n_ages))).agg(F.first("share"))
+        return pivoted.select("profile_code", *[
+            F.coalesce(F.col(str(a)), F.lit(0.0)).alias(n) for a, n in enumerate(names)])
+    table = rows.to_pandas().pivot(index="profile_code", columns="age", values="share").reindex(
+        columns=range(n_ages)).fillna(0.0)
+    schema = T.StructType([T.StructField("profile_code", T.StringType(), False)]
+                          + [T.StructField(n, T.DoubleType(), False) for n in names])
+    local = [(code, *[float(v) for v in shares]) for code, shares in zip(table.index, table.to_numpy())]
+    return F.broadcast(profile.sparkSession.createDataFrame(local, schema))
 
 
 def cases_total(pixels: DataFrame, profile: DataFrame, rate: float, n_ages: int = N_AGES,
@@ -124,14 +139,14 @@ def cases_total(pixels: DataFrame, profile: DataFrame, rate: float, n_ages: int
     With q = exp(-foi) the ages add up to a polynomial in q whose coefficients are the age shares,
     so each pixel row needs one ``exp`` and a multiply-add per age, and nothing is shuffled.
     """
-    wide, _ = checked_broadcast(profile_arrays(profile, n_ages))
     columns = pixels.columns
-    joined = pixels.join(wide, "profile_code", "inner").withColumn("_q", F.exp(-F.col(foi)))
+    joined = pixels.join(wide_profile(profile, n_ages), "profile_code", "inner").withColumn(
+        "_q", F.exp(-F.coalesce(F.col(foi), F.lit(0.0))))
     total = F.col(f"s{n_ages - 1}")
     for age in range(n_ages - 2, -1, -1):
         total = F.col(f"s{age}") + F.col("_q") * total
-    return joined.select(*columns, ((1 - F.col("_q")) * total * F.lit(float(rate)) * F.col("pop"))
-                         .alias("cases"))
+    cases = (1 - F.col("_q")) * total * F.lit(float(rate)) * F.col("pop")
+    return joined.select(*columns, F.when(F.col(foi).isNotNull(), cases).alias("cases"))
 
 
 def cases_by_region(cases: DataFrame, rules: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def forest_percentile_interval(model: RandomForestRegressionModel, df: DataFrame
 
 def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame, df: DataFrame, label: str,
                            keys: Sequence[str], level: float = 0.95, bins: int = 200,
-                           in_memory_cells: int = 20_000_000) -> DataFrame:
+                           in_memory_cells: int = 5_000_000) -> DataFrame:
     """Percentiles of the training responses pooled over the leaves a row falls into.
 
     Responses are counted on ``bins`` quantile bins of the training label, so a leaf is a short
@@ -77,8 +77,6 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
     counts = (leaf_numbers(model, train)
               .select(bin_of(F.col(label)).alias("bin"), F.posexplode(LEAF).alias("tree", "leaf"))
               .groupBy("tree", F.col("leaf").cast("int").alias("leaf"), "bin").count())
-    vectors = counts.groupBy("tree", "leaf").agg(  # at most `bins` entries per leaf
-        F.collect_list(F.struct("bin", "count")).alias("cells"), F.sum("count").alias("total"))
     leaves = sum((tree.numNodes + 1) // 2 for tree in model.trees)
     target = leaf_numbers(model, df)
 
@@ -86,12 +84,11 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
         return np.array([_inverse_of_shares(row, edges, probs) for row in shares])
 
     if leaves * width <= in_memory_cells:
-        local = vectors.toPandas()
+        local = counts.toPandas()
         starts = np.concatenate([[0], np.cumsum([(t.numNodes + 1) // 2 for t in model.trees])[:-1]])
         table = np.zeros((leaves, width))
-        for tree, leaf, cells, total in zip(local["tree"], local["leaf"], local["cells"], local["total"]):
-            for cell in cells:
-                table[starts[tree] + leaf, cell["bin"]] = cell["count"] / total
+        table[starts[local["tree"]] + local["leaf"], local["bin"]] = local["count"]
+        table /= np.maximum(table.sum(axis=1, keepdims=True), 1)
         shipped = spark.sparkContext.broadcast((table, starts))
 
         @F.pandas_udf("lower double, upper double")
@@ -108,6 +105,8 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
         out = scored.withColumns({"lower": F.col("_b.lower"), "upper": F.col("_b.upper")}).drop("_b", LEAF)
         return ordered(out, level)
 
+    vectors = counts.groupBy("tree", "leaf").agg(  # at most `bins` entries per leaf
+        F.collect_list(F.struct("bin", "count")).alias("cells"), F.sum("count").alias("total"))
     exploded = target.select(*keys, F.posexplode(LEAF).alias("tree", "leaf")).withColumn(
         "leaf", F.col("leaf").cast("int"))
     cells = (exploded.join(vectors, ["tree", "leaf"])

@@ -39,9 +39,14 @@ def leaf_values(spark: SparkSession, model: MLWritable) -> list[np.ndarray]:
 
 
 def leaf_numbers(model, df: DataFrame) -> DataFrame:
-    """Add ``_leaf``: the leaf a row falls into in each tree, as an array."""
-    scored = model.copy().setLeafCol("_leaf_vector").transform(df)
-    return scored.withColumn(LEAF, vector_to_array("_leaf_vector")).drop("_leaf_vector")
+    """Add ``_leaf``, the leaf a row falls into in each tree, as an array, and the prediction unless
+    the table has it already."""
+    scorer = model.copy().setLeafCol("_leaf_vector")
+    known = model.getPredictionCol() in df.columns
+    if known:
+        scorer = scorer.setPredictionCol("_again")
+    scored = scorer.transform(df).withColumn(LEAF, vector_to_array("_leaf_vector")).drop("_leaf_vector")
+    return scored.drop("_again") if known else scored
 
 
 class TreeOutputs:
