@@ -168,13 +168,13 @@ def modelled_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("source_compare_join", """
-    SELECT coalesce(a.code, b.code) AS code, round(a.cases, 4) AS map, round(b.cases, 4) AS mod
+    SELECT coalesce(a.code, b.code) AS code, round(a.cases, 4) AS map, round(b.cases, 9) AS mod
     FROM (SELECT case_code AS code, sum(cases) AS cases FROM pixel_cases GROUP BY 1) a
     FULL JOIN (SELECT code, avg(cases) AS cases FROM draws_folded
                WHERE year = (SELECT max(year) FROM modelled_cases) GROUP BY code) b ON a.code = b.code""")
 def source_compare_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.source_compare_join(
-        mapped_cases(spark, sf_dir), modelled_means(spark, sf_dir), "full_outer"), 4)
+    df = compare.source_compare_join(mapped_cases(spark, sf_dir), modelled_means(spark, sf_dir), "full_outer")
+    return rounded(rounded(df, 4, "map"), 9, "mod")
 
 
 @query("external_compare", """
@@ -194,10 +194,10 @@ def region_fold_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("draw_mean", """
-    SELECT code, round(avg(cases), 4) AS cases FROM draws_folded
+    SELECT code, round(avg(cases), 9) AS cases FROM draws_folded
     WHERE year = (SELECT max(year) FROM modelled_cases) GROUP BY code""")
 def draw_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(modelled_means(spark, sf_dir), 4)
+    return rounded(modelled_means(spark, sf_dir), 9)
 
 
 @query("pool_by_country", "SELECT code, round(value, 6) AS value FROM mapped_foi")

@@ -18,9 +18,9 @@ def group_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.group_freq(t.grid(spark, sf_dir))
 
 
-@query("country_sum", "SELECT code, round(sum(cases), 4) AS cases FROM modelled_cases GROUP BY code")
+@query("country_sum", "SELECT code, round(sum(cases), 6) AS cases FROM modelled_cases GROUP BY code")
 def country_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregates.country_sum(t.modelled_cases(spark, sf_dir)), 4)
+    return rounded(aggregates.country_sum(t.modelled_cases(spark, sf_dir)), 6)
 
 
 @query("row_total", "SELECT x, y, round(sum(cases), 6) AS total FROM age_cases GROUP BY x, y")
@@ -59,22 +59,22 @@ FEATURES = ["f1", "f2", "f3", "f4", "f5"]
 
 def _describe_sql(where: str) -> str:
     return " UNION ALL ".join(f"""
-        SELECT '{c}' AS variable, count({c}) AS count, round(avg({c}), 4) AS mean,
-               round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min,
-               round(quantile_cont({c}, 0.25), 4) AS q25, round(quantile_cont({c}, 0.5), 4) AS q50,
-               round(quantile_cont({c}, 0.75), 4) AS q75, round(max({c}), 4) AS max
+        SELECT '{c}' AS variable, count({c}) AS count, round(avg({c}), 6) AS mean,
+               round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS min,
+               round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS q50,
+               round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max
         FROM pixels WHERE {where}""" for c in FEATURES)
 
 
 @query("describe_columns", _describe_sql("TRUE"))
 def describe_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(aggregates.describe_columns(t.pixels(spark, sf_dir, *FEATURES), FEATURES), 4)
+    return rounded(aggregates.describe_columns(t.pixels(spark, sf_dir, *FEATURES), FEATURES), 6)
 
 
 @query("describe_tail", _describe_sql("foi > 0.25e0"))
 def describe_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality.tail_filter(t.pixels(spark, sf_dir, *FEATURES, "foi"), "foi")
-    return rounded(aggregates.describe_columns(df, FEATURES), 4)
+    return rounded(aggregates.describe_columns(df, FEATURES), 6)
 
 
 @query("corr_matrix", " UNION ALL ".join(
@@ -146,9 +146,9 @@ def scatter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT code, cases, rank, CASE WHEN rank <= 6 THEN '1' WHEN rank <= 17 THEN '2'
                                    WHEN rank <= 23 THEN '3' ELSE '4' END AS band
     FROM (SELECT code, cases, row_number() OVER (ORDER BY cases, code)::INTEGER AS rank
-          FROM (SELECT code, round(sum(cases), 4) AS cases FROM modelled_cases GROUP BY code))""")
+          FROM (SELECT code, round(sum(cases), 6) AS cases FROM modelled_cases GROUP BY code))""")
 def rank_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = rounded(aggregates.country_sum(t.modelled_cases(spark, sf_dir)), 4)
+    totals = rounded(aggregates.country_sum(t.modelled_cases(spark, sf_dir)), 6)
     return aggregates.rank_bands(totals, "cases", (6, 17, 23, 25))
 
 
