@@ -25,7 +25,7 @@ from riskgrid.operators.boost import (
     smooth_quantile_boost,
 )
 from riskgrid.operators.forest import gbt_estimator
-from riskgrid.operators.quantiles import exact_quantiles
+from riskgrid.operators.quantiles import quantile_arrays
 from riskgrid.operators.trees import LEAF, TreeOutputs, leaf_numbers, leaf_values
 
 
@@ -63,8 +63,8 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
     joined by (tree, leaf) beyond that.
     """
     spark = df.sparkSession
-    cuts = exact_quantiles(train, label, [i / bins for i in range(bins + 1)]).first()
-    edges = np.unique([cuts[f"q{i}"] for i in range(bins + 1)])
+    cuts = quantile_arrays(train, label, [i / bins for i in range(bins + 1)]).first()
+    edges = np.unique(cuts["q"])
     if len(edges) == 1:
         edges = np.array([edges[0], edges[0]])
     width = len(edges) - 1
@@ -81,7 +81,7 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
     target = leaf_numbers(model, df)
 
     def bounds_of(shares: np.ndarray) -> np.ndarray:
-        return np.array([_inverse_of_shares(row, edges, probs) for row in shares])
+        return np.column_stack([_inverse_of_shares(shares, edges, p) for p in probs])
 
     if leaves * width <= in_memory_cells:
         local = counts.toPandas()
@@ -128,11 +128,13 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
     return ordered(target.drop(LEAF).join(bounds, list(keys)), level)
 
 
-def _inverse_of_shares(shares: np.ndarray, edges: np.ndarray, probs: Sequence[float]) -> np.ndarray:
-    cumulative = np.concatenate([[0.0], np.cumsum(shares)])
-    at = np.clip(np.searchsorted(cumulative, probs, side="left") - 1, 0, len(shares) - 1)
-    step = np.where(shares[at] > 0, shares[at], 1.0)
-    inside = np.clip((np.asarray(probs) - cumulative[at]) / step, 0.0, 1.0)
+def _inverse_of_shares(shares: np.ndarray, edges: np.ndarray, p: float) -> np.ndarray:
+    """Value below which a share p of each row's distribution lies."""
+    cumulative = np.hstack([np.zeros((len(shares), 1)), np.cumsum(shares, axis=1)])
+    at = np.clip((cumulative < p).sum(axis=1) - 1, 0, shares.shape[1] - 1)
+    rows = np.arange(len(shares))
+    own = shares[rows, at]
+    inside = np.clip((p - cumulative[rows, at]) / np.where(own > 0, own, 1.0), 0.0, 1.0)
     return edges[at] + inside * (edges[at + 1] - edges[at])
 
 

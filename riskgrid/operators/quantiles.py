@@ -23,6 +23,14 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
     ``percentile``; larger ones by narrowing value brackets with histograms until each bracket is a
     single value. Both ways are exact. A known ``total_rows`` within the bound saves the size check.
     """
+    found = quantile_arrays(df, value, probs, by, in_memory_rows, total_rows)
+    return found.select(*by, "n", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
+
+
+def quantile_arrays(df: DataFrame, value: Column | str, probs: Sequence[float],
+                    by: Sequence[str] = (), in_memory_rows: int = IN_MEMORY_ROWS,
+                    total_rows: int | None = None) -> DataFrame:
+    """The same with all quantiles of a group in one array: ``by.., n, q``."""
     by = list(by)
     value = F.col(value) if isinstance(value, str) else value
     rows = df.select(*by, value.cast("double").alias("_v")).where(
@@ -30,27 +38,22 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
     if not by:
         rows = rows.withColumn("_all", F.lit(0))
     groups = by or ["_all"]
-    if total_rows is not None and total_rows <= in_memory_rows:
-        result = _by_percentile(rows, groups, probs)
-        return result if by else result.drop("_all")
-    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    largest, hot = total_rows, None
+    if total_rows is None or total_rows > in_memory_rows:
+        sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
+        hot = sizes.where(F.col("_n") > in_memory_rows).select(*groups)
     if largest <= in_memory_rows:
         result = _by_percentile(rows, groups, probs)
     else:
-        hot = sizes.where(F.col("_n") > in_memory_rows).select(*groups)
-        small = rows.join(hot, groups, "left_anti")
-        large = rows.join(hot, groups, "left_semi")
-        result = _by_percentile(small, groups, probs).unionByName(
-            _by_brackets(large, groups, probs))
+        result = _by_percentile(rows.join(hot, groups, "left_anti"), groups, probs).unionByName(
+            _by_brackets(rows.join(hot, groups, "left_semi"), groups, probs))
     return result if by else result.drop("_all")
 
 
 def _by_percentile(rows: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
-    columns = F.array(*[F.lit(float(p)) for p in probs])
-    return (rows.groupBy(*groups)
-            .agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", columns).alias("_q"))
-            .select(*groups, "n", *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))]))
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", wanted).alias("q"))
 
 
 def _by_brackets(rows: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
@@ -89,12 +92,13 @@ def _by_brackets(rows: DataFrame, groups: list[str], probs: Sequence[float]) ->
                     .select(*groups, "n", F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"),
                             (F.col("below") + F.col("c_before")).alias("below"), "i", "side", "rank"))
         targets = materialize(targets.where("lo >= hi").unionByName(narrowed), "quantile-targets")
-    picked = targets.groupBy(*groups, "n").agg(*[
-        F.max(F.when((F.col("i") == i) & (F.col("side") == side), F.col("lo"))).alias(f"v{i}_{side}")
-        for i in range(len(probs)) for side in (0, 1)])
-    out = []
-    for i, p in enumerate(probs):
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        out.append((F.col(f"v{i}_0") + (position - F.floor(position))
-                    * (F.col(f"v{i}_1") - F.col(f"v{i}_0"))).alias(f"q{i}"))
-    return picked.select(*groups, "n", *out)
+    ends = F.array_sort(F.collect_list(F.struct("i", "side", "lo")))  # two entries per quantile
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+
+    def interpolate(p: Column, i: Column) -> Column:
+        position = p * (F.col("n") - 1)
+        low, high = F.get("_ends", 2 * i)["lo"], F.get("_ends", 2 * i + 1)["lo"]
+        return low + (position - F.floor(position)) * (high - low)
+
+    return targets.groupBy(*groups, "n").agg(ends.alias("_ends")).select(
+        *groups, "n", F.transform(wanted, interpolate).alias("q"))

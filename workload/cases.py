@@ -12,10 +12,10 @@ from workload.registry import query
 from workload.scans import rounded
 
 
-@query("age_share", "SELECT country, age, pop, round(share, 8) AS share FROM shares")
+@query("age_share", "SELECT country, age, pop, share FROM shares")
 def age_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = burden.fold_age_regions(t.age_population(spark, sf_dir), t.PARENTS)
-    return rounded(burden.age_share(folded), 8, "share")
+    return burden.age_share(folded)
 
 
 @query("scale_to_control_total", """
@@ -40,11 +40,11 @@ def fold_age_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return burden.fold_age_regions(t.age_population(spark, sf_dir), t.PARENTS)
 
 
-@query("pop_by_age", "SELECT x, y, code, age, round(pop_age, 6) AS pop_age FROM age_cases")
+@query("pop_by_age", "SELECT x, y, code, age, pop_age FROM age_cases")
 def pop_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = t.case_inputs(spark, sf_dir)
     df = burden.pop_by_age(case_generation.located_pixels(inputs), case_generation.profile(inputs))
-    return df.select("x", "y", "code", "age", F.round("pop_age", 6).alias("pop_age"))
+    return df.select("x", "y", "code", "age", "pop_age")
 
 
 @query("symptomatic_mean", "SELECT round(avg(rate), 10) AS rate FROM rate_draws")

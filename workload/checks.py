@@ -150,9 +150,9 @@ def region_join(spark: SparkSession, sf_dir: str) -> DataFrame:
                               t.rules(spark, sf_dir)).drop("foi")
 
 
-@query("age_profile_join", "SELECT profile_code, age, round(share, 8) AS share FROM profile")
+@query("age_profile_join", "SELECT profile_code, age, share FROM profile")
 def age_profile_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(case_generation.profile(t.case_inputs(spark, sf_dir)), 8)
+    return case_generation.profile(t.case_inputs(spark, sf_dir))
 
 
 def mapped_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
