@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,15 +89,16 @@ def age_profile(shares: DataFrame, codes: DataFrame, n_ages: int = N_AGES) -> Da
         "profile_code", "age", F.coalesce("share", fallback).alias("share"))
 
 
-def pop_by_age(pixels: DataFrame, profile: DataFrame) -> DataFrame:
+def pop_by_age(pixels: DataFrame, profile: DataFrame, spread: Sequence[str] = ()) -> DataFrame:
     """Population of each pixel and age, long. Pixels of codes that count for none are left out.
 
-    Every pixel becomes as many rows as there are ages, so the short pixel rows are first spread
-    evenly; the long rows are then made and used where they are.
+    Every pixel becomes as many rows as there are ages, in the task that holds it. Where pixels come
+    in few splits, ``spread`` distributes the short rows by these columns first.
     """
     columns = [c for c in pixels.columns if c != "pop"]
     profile, _ = checked_broadcast(profile)
-    return pixels.repartition("x", "y").join(profile, "profile_code", "inner").select(
+    rows = pixels.repartition(*spread) if spread else pixels
+    return rows.join(profile, "profile_code", "inner").select(
         *columns, "age", (F.col("pop") * F.col("share")).alias("pop_age"))
 
 
@@ -154,8 +155,3 @@ def cases_by_region(cases: DataFrame, rules: DataFrame) -> DataFrame:
     sums = cases.groupBy("region_id").agg(F.sum("cases").alias("cases"))
     return rules.join(sums, "region_id", "left").select(
         "region_id", "code", F.coalesce("cases", F.lit(0.0)).alias("cases"))
-
-
-def with_pixel_values(pixels: DataFrame, population: DataFrame, res: float = 5.0) -> DataFrame:
-    """Attach ``pop`` to predicted pixels by pixel key."""
-    return attach_by_pixel(pixels, population, ["pop"], res)

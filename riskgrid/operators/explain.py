@@ -112,7 +112,8 @@ def grid_rows(df: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
     no second table takes part.
     """
     cells = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.lit(float(v)).alias("v"))
-                      for j, values in grids.items() for i, v in enumerate(values)])
+                      for j, values in grids.items() for i, v in enumerate(values)]).cast(
+        "array<struct<j: int, i: int, v: double>>")
     others = [c for c in df.columns if c != "features"]
     return (df.select(*others, vector_to_array("features").alias("_x"), F.explode(cells).alias("_c"))
             .select(*others, F.col("_c.j").alias("_j"), F.col("_c.i").alias("grid_index"),

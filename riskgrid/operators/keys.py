@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +60,16 @@ def coord_tolerance_check(left: DataFrame, right: DataFrame, res: float = 5.0,
 def attach_by_pixel(df: DataFrame, other: DataFrame, columns: list[str], res: float = 5.0,
                     how: str = "inner") -> DataFrame:
     """Bring columns of another pixel table to this one by pixel key, not by row position."""
-    lookup = pixel_key(other, res).select("kx", "ky", *columns)
-    return pixel_key(df, res).join(lookup, ["kx", "ky"], how).drop("kx", "ky")
+    return attach_all_by_pixel(df, [(other, columns)], res, how)
+
+
+def attach_all_by_pixel(df: DataFrame, others: Sequence[tuple[DataFrame, list[str]]], res: float = 5.0,
+                        how: str = "inner") -> DataFrame:
+    """The same for several tables. All joins use one key, so this table is shuffled once at most."""
+    keyed = pixel_key(df, res)
+    for other, columns in others:
+        keyed = keyed.join(pixel_key(other, res).select("kx", "ky", *columns), ["kx", "ky"], how)
+    return keyed.drop("kx", "ky")
 
 
 def raster_index(df: DataFrame, res: float = 5.0) -> DataFrame:

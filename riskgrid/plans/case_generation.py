@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from riskgrid.operators import burden
+from riskgrid.operators import burden, keys
 
 
 @dataclass(frozen=True)
@@ -24,12 +24,14 @@ class CaseInputs:
     age_parents: Mapping[str, str]
     n_ages: int = burden.N_AGES
     res: float = 5.0
+    spread: tuple[str, ...] = ()  # see burden.pop_by_age
 
 
 def located_pixels(inputs: CaseInputs) -> DataFrame:
     """Pixels with rate, population, region and the code of their age profile."""
-    with_pop = burden.with_pixel_values(inputs.foi, inputs.population, inputs.res)
-    return burden.region_join(with_pop, inputs.regions, inputs.rules, inputs.res)
+    located = keys.attach_all_by_pixel(
+        inputs.foi, [(inputs.population, ["pop"]), (inputs.regions, ["region_id"])], inputs.res)
+    return located.join(inputs.rules, "region_id")
 
 
 def profile(inputs: CaseInputs) -> DataFrame:
@@ -46,7 +48,7 @@ def mean_rate(inputs: CaseInputs) -> float:
 def generate_cases_by_age(inputs: CaseInputs) -> DataFrame:
     """Cases per pixel and age (long)."""
     return burden.catalytic_cases(
-        burden.pop_by_age(located_pixels(inputs), profile(inputs)), mean_rate(inputs))
+        burden.pop_by_age(located_pixels(inputs), profile(inputs), inputs.spread), mean_rate(inputs))
 
 
 def generate_cases(inputs: CaseInputs) -> DataFrame:

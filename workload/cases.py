@@ -43,7 +43,8 @@ def fold_age_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pop_by_age", "SELECT x, y, code, age, pop_age FROM age_cases")
 def pop_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = t.case_inputs(spark, sf_dir)
-    df = burden.pop_by_age(case_generation.located_pixels(inputs), case_generation.profile(inputs))
+    df = burden.pop_by_age(case_generation.located_pixels(inputs), case_generation.profile(inputs),
+                           inputs.spread)
     return df.select("x", "y", "code", "age", "pop_age")
 
 

@@ -126,11 +126,12 @@ def foi_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def case_inputs(spark: SparkSession, sf_dir: str) -> CaseInputs:
+    """The test files have one row group each, so pixels arrive in one task and are spread."""
     return CaseInputs(
         foi=foi_map(spark, sf_dir), population=population(spark, sf_dir),
         regions=regions(spark, sf_dir), rules=rules(spark, sf_dir),
         ages=age_population(spark, sf_dir), rates=rate_draws(spark, sf_dir),
-        age_parents=PARENTS, n_ages=N_AGES)
+        age_parents=PARENTS, n_ages=N_AGES, spread=("x", "y"))
 
 
 def model_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
