@@ -28,7 +28,9 @@ SWITCH_PENALTY = 12.0
 # A language uses a script that makes up at least this share of its letters.
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.05
-TEXT_CHARS = 2_000_000
+# Characters whose words are scored at once, and whose texts advance side by side.
+SCORE_CHARS = 1_000_000
+PATH_CHARS = 12_000_000
 
 # Unicode blocks by script. Fixed values.
 SCRIPTS = (
@@ -91,8 +93,8 @@ def _counts(languages: list[str]):
         script = np.zeros((len(languages), len(SCRIPTS) + 1), dtype=np.int64)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for at in range(0, len(text), TEXT_CHARS):
-                    points = code_points(text[at: at + TEXT_CHARS])
+                for at in range(0, len(text), SCORE_CHARS):
+                    points = code_points(text[at: at + SCORE_CHARS])
                     low = letters[points]
                     is_letter = low > 0
                     total[place[lang]] += np.bincount(_cells(low)[is_letter], minlength=1 << CELL_BITS)
@@ -119,10 +121,17 @@ def fit(documents: DataFrame, doc_id: str, text: str, lang: str, docs_per_langua
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest")
     seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     languages = sorted(r["lang"] for r in seen)
+    # Smallest hashes lie below this part of all hashes; it leaves ten standard deviations to spare, so that the
+    # window gets few rows however large the table is.
+    spare = docs_per_language + 10 * docs_per_language ** 0.5 + 100
+    low = F.lit(False)
+    for r in seen:
+        low = low | ((F.col("lang") == r["lang"]) & (
+            F.xxhash64("id") <= F.lit(min(2 ** 63 - 1, int(-2 ** 63 + spare / r["count"] * 2 ** 64)))))
     if not languages:
         return Model([], np.zeros((1 << CELL_BITS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
     key = F.xxhash64("text").alias("digest")
-    picked = (rows.select("lang", "id", key).where(F.col("lang").isin(languages))
+    picked = (rows.where(low).select("lang", "id", key)
               .withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
               .select("lang", "id", "digest").distinct())
     sample = (rows.select("lang", "id", key, "text")
@@ -150,7 +159,7 @@ def _words(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     begin, end = begin[is_word], end[is_word]
     many = len(model.languages)
     if not len(begin):
-        return *(np.empty(0, dtype=np.int64),) * 3, np.empty((0, many), np.float32), np.empty(0, dtype=bool)
+        return *(np.empty(0, dtype=np.int32),) * 3, np.empty((0, many), np.float32), np.empty(0, dtype=bool)
     at = np.flatnonzero(low > 0)
     place = np.cumsum(np.r_[0, end - begin])[:-1]
     scores = np.add.reduceat(model.scores[_cells(low)[at]], place, axis=0)
@@ -159,8 +168,8 @@ def _words(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
     scores[~evidence] = 0
     scores[evidence[:, None] & ~uses] = -1e6
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    text = np.searchsorted(starts, begin, side="right") - 1
-    return text, begin - starts[text], end - starts[text], scores, evidence
+    text = (np.searchsorted(starts, begin, side="right") - 1).astype(np.int32)
+    return text, (begin - starts[text]).astype(np.int32), (end - starts[text]).astype(np.int32), scores, evidence
 
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarray:
@@ -195,14 +204,14 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return path
 
 
-def _label(model: Model, texts: pd.Series, penalty: float) -> list[dict]:
+def _label(model: Model, texts: list[str], penalty: float) -> list[dict]:
     blank = {"lang": UNKNOWN, "score": 0.0, "spans": []}
     results = [dict(blank) for _ in range(len(texts))]
     many = len(model.languages)
     if not many:
         return results
     parts, offset = [], 0
-    for group in by_size(texts, TEXT_CHARS):
+    for group in by_size(texts, SCORE_CHARS):
         found = _words(model, group)
         parts.append((found[0] + offset, *found[1:]))
         offset += len(group)
@@ -241,6 +250,7 @@ def identify(spark: SparkSession, model: Model, text: Column, penalty: float = S
     @F.pandas_udf(RESULT)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = _label(handle.value, texts, penalty)
+            found = [x for group in by_size(texts, PATH_CHARS) for x in _label(handle.value, group, penalty)]
             yield pd.DataFrame({k: [x[k] for x in found] for k in ("lang", "score", "spans")}, index=texts.index)
-    return label(text)
+    # Else a filter on the result makes the planner run the function again below the filter.
+    return label.asNondeterministic()(text)
