@@ -225,7 +225,8 @@ def _search(handle) -> Column:
             for group in by_size(texts, TEXT_CHARS):
                 hits += _group_hits(index, seen, group) if index.items else [[] for _ in group]
             yield pd.Series(hits, index=texts.index, dtype=object)
-    return search
+    # Else a filter on the result makes the planner run the function again below the filter.
+    return search.asNondeterministic()
 
 
 def leaks(benchmark: DataFrame, item_id: str, item_text: str, text: Column, q: int = GRAM,
