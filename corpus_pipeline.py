@@ -14,12 +14,13 @@ from riskgrid.llm.common import table
 from riskgrid.llm.queries import POWERS
 from riskgrid.sources.workdir import materialize
 
-# Documents with a smaller share of letters in their main language are rejected.
-LEAST_SCORE = 0.5
+# Documents with a smaller share of letters in their main language are rejected: texts of several languages stay,
+# text in scripts that no learned language uses goes.
+LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that are mostly in other languages than their main one.
+    """Rejects documents without a letter and those with hardly any text in a known language.
 
     A document without a language gets the one that was found. Null and empty texts go.
     """
