@@ -6,21 +6,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from riskgrid.sources.workdir import materialize
+
 # The rendering of a turn. Fixed values.
 OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
 NO_ROLE = "unknown"
 # Turns of one side that are rendered into one row; longer sides go on in further parts.
 PART_TURNS = 64
+# Turns of one side are put in order in ranges of so many turn numbers.
+RANGE_TURNS = 256
+
+
+def _turns(turns: DataFrame, pair: str, turn: str, role: str, text: str, side: str) -> DataFrame:
+    number = F.col(turn).cast("bigint")
+    return turns.select(
+        F.col(pair).alias("pair_id"), F.lit(side).alias("side"), number.alias("turn"),
+        F.coalesce(F.floor(number / RANGE_TURNS), F.lit(-(2 ** 63))).alias("range"),
+        F.coalesce(F.col(role).cast("string"), F.lit(NO_ROLE)).alias("role"),
+        F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("pair_id").isNotNull()) \
+        .withColumn("digest", F.md5(F.col("text").cast("binary")))
 
 
-def _ordered(turns: DataFrame, pair: str, turn: str, role: str, text: str, side: str) -> DataFrame:
-    rows = turns.select(F.col(pair).alias("pair_id"), F.col(turn).alias("turn"),
-                        F.coalesce(F.col(role).cast("string"), F.lit(NO_ROLE)).alias(f"{side}_role"),
-                        F.coalesce(F.col(text), F.lit("")).alias(f"{side}_text")) \
-        .where(F.col("pair_id").isNotNull()).distinct()
-    order = Window.partitionBy("pair_id").orderBy(F.col("turn").asc_nulls_first(), f"{side}_role", f"{side}_text")
-    return rows.withColumn("place", F.row_number().over(order) - 1).drop("turn")
+def _ranked(turns: DataFrame) -> DataFrame:
+    """The rank of every turn in its range, from 1; repeated rows once."""
+    order = Window.partitionBy("pair_id", "side", "range").orderBy(
+        F.col("turn").asc_nulls_first(), "role", "digest")
+    row = F.struct("turn", "role", "digest")
+    return (turns.withColumns({"rank": F.dense_rank().over(order), "last": F.lag(row).over(order)})
+            .where(~F.col("last").eqNullSafe(row)).drop("last"))
 
 
 def _rendered(role: Column, text: Column) -> tuple[Column, Column]:
@@ -53,30 +67,43 @@ def preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", t
     parts of ``part_turns`` turns, so no row grows with a conversation; part 0 holds all of a usual pair.
     A side that has ended, or is empty, is an empty text.
 
-    Turns are ordered by turn (nulls first), role and text; a repeated row counts once. A null text is empty,
-    a null role is ``unknown``. Turns without a pair are left out. If one conversation lacks, the other is its
-    completion and the prompt is empty. Equal conversations are all prompt. Other columns take no part.
+    Turns are numbered range by range, and ranges by their sizes, so that a very long conversation is many
+    ranges and parts, not one group. The texts are shuffled twice; all else is done on their digests.
+
+    Turns are ordered by turn (nulls first), role and digest of the text; a repeated row counts once. A null text
+    is empty, a null role is ``unknown``. Turns without a pair are left out. If one conversation lacks, the other
+    is its completion and the prompt is empty. Equal conversations are all prompt. Other columns take no part.
     """
-    both = _ordered(chosen, pair, turn, role, text, "chosen").join(
-        _ordered(rejected, pair, turn, role, text, "rejected"), ["pair_id", "place"], "full")
-    same = F.col("chosen_role").eqNullSafe(F.col("rejected_role")) & F.col("chosen_text").eqNullSafe(F.col("rejected_text"))
+    turns = _turns(chosen, pair, turn, role, text, "chosen").unionByName(
+        _turns(rejected, pair, turn, role, text, "rejected"))
+    narrow = materialize(_ranked(turns.drop("text")), "turns")
+    keys = ["pair_id", "side", "range"]
+    earlier = Window.partitionBy("pair_id", "side").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = narrow.groupBy(*keys).agg(F.count("*").alias("n")).withColumn(
+        "before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    placed = narrow.join(ranges, keys).withColumn("place", F.col("rank") - 1 + F.col("before"))
+    own = F.struct("role", "digest")
+    both = placed.groupBy("pair_id", "place").agg(
+        F.max(F.when(F.col("side") == "chosen", own)).alias("chosen"),
+        F.max(F.when(F.col("side") == "rejected", own)).alias("rejected"))
     common = both.groupBy("pair_id").agg(F.coalesce(
-        F.min(F.when(~same, F.col("place"))), F.max("place") + 1).alias("prompt_turns"))
-    joined = both.join(common, "pair_id")
+        F.min(F.when(~F.col("chosen").eqNullSafe(F.col("rejected")), F.col("place"))),
+        F.max("place") + 1).cast("int").alias("prompt_turns"))
+    marks = materialize(ranges.join(common, "pair_id"), "ranges")
+    place = F.col("rank") - 1 + F.col("before")
     prompt = F.col("place") < F.col("prompt_turns")
-
-    def turn_of(side: str) -> Column:
-        line, head = _rendered(F.col(f"{side}_role"), F.col(f"{side}_text"))
-        return F.when(F.col(f"{side}_role").isNotNull(), F.struct(
-            F.col("place"), line.alias("line"), head.alias("head"),
-            (F.col(f"{side}_role") == TRAINED_ROLE).alias("trained")))
-
-    place_in_side = F.when(prompt, F.col("place")).otherwise(F.col("place") - F.col("prompt_turns"))
-    lists = joined.groupBy("pair_id", F.floor(place_in_side / part_turns).cast("int").alias("part")).agg(
+    line, head = _rendered(F.col("role"), F.col("text"))
+    rows = (_ranked(turns).join(marks, keys).withColumn("place", place)
+            .where(~prompt | (F.col("side") == "chosen"))
+            .select("pair_id", "prompt_turns", "place", F.when(prompt, "prompt").otherwise(F.col("side")).alias("side"),
+                    F.floor((F.col("place") - F.when(prompt, 0).otherwise(F.col("prompt_turns"))) / part_turns)
+                    .cast("int").alias("part"),
+                    F.struct("place", line.alias("line"), head.alias("head"),
+                             (F.col("role") == TRAINED_ROLE).alias("trained")).alias("line")))
+    lists = rows.groupBy("pair_id", "part").agg(
         F.first("prompt_turns").alias("prompt_turns"),
-        F.sort_array(F.collect_list(F.when(prompt, turn_of("chosen")))).alias("prompt"),
-        F.sort_array(F.collect_list(F.when(~prompt, turn_of("chosen")))).alias("chosen"),
-        F.sort_array(F.collect_list(F.when(~prompt, turn_of("rejected")))).alias("rejected"))
+        *[F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("line")))).alias(side)
+          for side in ("prompt", "chosen", "rejected")])
 
     def whole(side: str) -> Column:
         return F.array_join(F.transform(side, lambda t: t["line"]), "").alias(side)

@@ -141,7 +141,7 @@ sides AS (
   SELECT 'chosen' AS side, pair_id, turn, role, text FROM t WHERE conv_id % 2 = 0
   UNION SELECT 'rejected', pair_id, turn, role, text FROM t WHERE (conv_id % 2 = 0) = (turn < pair_id % 4)
 ), o AS (
-  SELECT *, row_number() OVER (PARTITION BY side, pair_id ORDER BY turn, role, text) - 1 AS place FROM sides
+  SELECT *, row_number() OVER (PARTITION BY side, pair_id ORDER BY turn, role, md5(text)) - 1 AS place FROM sides
 ), b AS (
   SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.place, r.place) AS place,
          c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
