@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskgrid.sources.workdir import materialize
+
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
 
 # Entries of a worker's memo of pieces; it starts anew when full.
@@ -138,7 +140,8 @@ def count_tokens(documents: DataFrame, text: str, keep: Sequence[str], tokenizer
     (misses.select(F.lit(version).alias("tokenizer"), "digest",
                    encoded_lengths(tokenizer_file)("content").alias("n_tokens"))
      .write.mode("append").parquet(cache_path))
-    counts = read_cache(spark, cache_path, version)
+    # Written out, so that the join is between two plain shuffles and a digest of very many rows can be split.
+    counts = materialize(read_cache(spark, cache_path, version), "counts")
     kept = documents.select(F.struct(*keep).alias("kept"), digest.alias("digest"),
                             F.octet_length(content).cast("bigint").alias("n_bytes"))
     return kept.join(counts, "digest").select("kept.*", "n_bytes", "n_tokens")
