@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from riskgrid.llm.common import by_size, text_key
+from riskgrid.sources.workdir import materialize
 
 # A cut follows any byte where the top CUT_BITS of the gear hash are 0, but not within MIN_BYTES of the
 # last cut; after MAX_BYTES without a cut one is set.
@@ -129,8 +130,9 @@ def repeated_spans(documents: DataFrame, doc_id: str, text: str, min_span: int =
     text give the same spans once.
     """
     rows = chunks(documents, doc_id, text)
-    known = rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id")) \
-        .where(F.col("n") > 1).drop("n")
+    # Written out, so that the join is between two plain shuffles and a chunk of very many texts can be split.
+    known = materialize(rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id"))
+                        .where(F.col("n") > 1).drop("n"), "repeated")
     found = rows.join(known, ["high", "low"]).withColumn(
         "removed", (F.col("doc_id") != F.col("first_doc_id")) | F.col("again"))
     by_text = Window.partitionBy("doc_id", "text_key", "removed").orderBy("place")
