@@ -253,8 +253,9 @@ def near_duplicates(documents: DataFrame, doc_id: str, text: str, width: int = S
         "bits", "first_id", F.coalesce("root", "bits").alias("root"))
     linked = roots.join(distinct, roots["node"] == distinct["bits"]).groupBy("root").agg(
         F.min("first_id").alias("least_id"))
-    ids = rooted.join(linked, "root", "left").select(
-        "bits", "root", F.coalesce("least_id", "first_id").alias("component_id"))
+    # Written out, so that the join is between two plain shuffles and a fingerprint of very many rows can be split.
+    ids = materialize(rooted.join(linked, "root", "left").select(
+        "bits", "root", F.coalesce("least_id", "first_id").alias("component_id")), "ids")
     return rows.join(ids, "bits").select("doc_id", "text_key", "bits", "root", "component_id")
 
 
