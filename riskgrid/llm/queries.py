@@ -95,7 +95,7 @@ WITH d AS MATERIALIZED (
   SELECT doc_id, source, lang, {_topic_sql()} AS topic,
          1 + coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
 ), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL),
-{_rake_sql(12)},
+{_rake_sql(mixing.ROUNDS)},
 p AS (
   SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(f.factor, 6) AS factor,
          round(f.factor / (SELECT max(factor) FROM f), 6) AS probability
