@@ -21,7 +21,7 @@ EDIT_RATE = 0.08
 # searched in several passes over the same texts, each with its own index.
 BLOCK_CHARS = 4_000_000
 # Text characters that are hashed at once, and alignment cells that are filled at once.
-TEXT_CHARS = 2_000_000
+TEXT_CHARS = 1_000_000
 CELLS = 400_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

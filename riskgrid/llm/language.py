@@ -29,8 +29,8 @@ SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.05
 # Characters whose words are scored at once, and whose texts advance side by side.
-SCORE_CHARS = 1_000_000
-PATH_CHARS = 12_000_000
+SCORE_CHARS = 500_000
+PATH_CHARS = 6_000_000
 
 # Unicode blocks by script. Fixed values.
 SCRIPTS = (
