@@ -26,7 +26,7 @@ CODE_RADIUS = 3
 CODE_POLYNOMIAL = 0xC75
 # Shingles whose bits are counted at once; fingerprints that are replicated at once; distances at once.
 COUNT_AT_ONCE = 65_536
-REPLICATE_AT_ONCE = 16_384
+REPLICATE_AT_ONCE = 8_192
 CELLS = 2_000_000
 # Fingerprints that call an anchor home in one slice; an anchor with more is dealt over several slices.
 SLICE = 32_768
