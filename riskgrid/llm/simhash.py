@@ -266,11 +266,15 @@ def one_per_group(documents: DataFrame, doc_id: str, text: str, width: int = SHI
     Of rows that repeat id and text one is kept. A component with null ids only keeps one of its rows.
     """
     rows = near_duplicates(documents, doc_id, text, width, threshold)
+    keys = ["kept_missing", "kept_id", "kept_key"]
+
+    def keyed(missing: Column, own: Column, key: Column) -> list[Column]:
+        return [missing.alias(keys[0]), F.coalesce(own.cast("string"), F.lit("")).alias(keys[1]), key.alias(keys[2])]
+
     least = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key"))
     kept = rows.groupBy("root").agg(least.alias("first")).select(
-        F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
-    whole = documents.select(F.struct(*documents.columns).alias("row"), F.col(doc_id).alias("kept_id"),
-                             text_key(F.col(text)).alias("kept_key"))
-    same = whole["kept_id"].eqNullSafe(kept["kept_id"]) & (whole["kept_key"] == kept["kept_key"])
-    return (whole.join(kept, same, "left_semi").dropDuplicates(["kept_id", "kept_key"])
-            .select("row.*"))
+        *keyed(F.col("first.missing"), F.col("first.doc_id"), F.col("first.text_key")))
+    whole = documents.select(F.struct(*documents.columns).alias("row"), *keyed(
+        F.col(doc_id).isNull(), F.col(doc_id), text_key(F.col(text))))
+    # Plain keys without nulls: repeated rows are dropped in the partitions of the join, so texts are shuffled once.
+    return whole.join(kept, keys, "left_semi").dropDuplicates(keys).select("row.*")
