@@ -28,9 +28,11 @@ SWITCH_PENALTY = 12.0
 # A language uses a script that makes up at least this share of its letters.
 SCRIPT_SHARE = 0.01
 SMOOTHING = 0.05
-# Characters whose words are scored at once, and whose texts advance side by side.
+# Characters whose words are scored at once, and whose texts advance side by side, for up to so many languages;
+# the more languages beyond, the fewer characters, so that working arrays stay as small.
 SCORE_CHARS = 500_000
 PATH_CHARS = 6_000_000
+LANGUAGES_AT_ONCE = 8
 
 # Unicode blocks by script. Fixed values.
 SCRIPTS = (
@@ -204,6 +206,10 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     return path
 
 
+def _chars_at_once(limit: int, languages: int) -> int:
+    return limit * LANGUAGES_AT_ONCE // max(languages, LANGUAGES_AT_ONCE)
+
+
 def _label(model: Model, texts: list[str], penalty: float) -> list[dict]:
     blank = {"lang": UNKNOWN, "score": 0.0, "spans": []}
     results = [dict(blank) for _ in range(len(texts))]
@@ -211,7 +217,7 @@ def _label(model: Model, texts: list[str], penalty: float) -> list[dict]:
     if not many:
         return results
     parts, offset = [], 0
-    for group in by_size(texts, SCORE_CHARS):
+    for group in by_size(texts, _chars_at_once(SCORE_CHARS, many)):
         found = _words(model, group)
         parts.append((found[0] + offset, *found[1:]))
         offset += len(group)
@@ -250,7 +256,8 @@ def identify(spark: SparkSession, model: Model, text: Column, penalty: float = S
     @F.pandas_udf(RESULT)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            found = [x for group in by_size(texts, PATH_CHARS) for x in _label(handle.value, group, penalty)]
+            limit = _chars_at_once(PATH_CHARS, len(handle.value.languages))
+            found = [x for group in by_size(texts, limit) for x in _label(handle.value, group, penalty)]
             yield pd.DataFrame({k: [x[k] for x in found] for k in ("lang", "score", "spans")}, index=texts.index)
     # Else a filter on the result makes the planner run the function again below the filter.
     return label.asNondeterministic()(text)
