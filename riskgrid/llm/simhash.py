@@ -129,11 +129,14 @@ def anchors_of(bits: np.ndarray, threshold: int, blocks: int) -> tuple[np.ndarra
 
 
 def _replicate(threshold: int, blocks: int):
+    # A second block makes some seven times as many copies of a fingerprint.
+    step = max(1, REPLICATE_AT_ONCE // 7 ** (blocks - 1))
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(every), REPLICATE_AT_ONCE):
-                own = every[at: at + REPLICATE_AT_ONCE]
+            for at in range(0, len(every), step):
+                own = every[at: at + step]
                 rows, anchors, home = anchors_of(own.view(np.uint64), threshold, blocks)
                 order = np.lexsort((~home, anchors))
                 anchors, rows, home = anchors[order], own[rows[order]], home[order]
@@ -214,8 +217,10 @@ def anchor_links(fingerprints: DataFrame, threshold: int = MAX_BITS, blocks: int
     that is home to very many fingerprints is dealt over slices of its homes, and every slice sees all
     members, so memory is bounded and nothing is dropped.
 
-    One block of 23 bits gives 4,096 anchors and about 190 copies of a fingerprint. Two blocks give 16.8
-    million anchors, for tables of many billion distinct fingerprints.
+    One block of 23 bits gives 4,096 anchors and 191 copies of a fingerprint (threshold 4). Two blocks give 16.8
+    million anchors and about 1,240 copies. On one core replication took 0.05 ms a fingerprint with one block and
+    3.8 ms with two, a comparison 5.5 ns; so two blocks take less time from some 15 million distinct fingerprints
+    on, and several times the shuffle.
     """
     if not 0 <= threshold <= CODE_LENGTH - CODE_RADIUS or not 1 <= blocks <= 2:
         raise ValueError("threshold must be 0 to 20 and blocks 1 or 2")
