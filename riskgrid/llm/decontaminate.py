@@ -23,6 +23,8 @@ BLOCK_CHARS = 4_000_000
 # Text characters that are hashed at once, and alignment cells that are filled at once.
 TEXT_CHARS = 1_000_000
 CELLS = 400_000
+# Shared q-grams (place in the text, place in an item) that are counted at once.
+SHARED_AT_ONCE = 1_000_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
@@ -122,15 +124,26 @@ def _candidates(index: Index, seen: np.ndarray, points: np.ndarray, width: int)
     if not len(at):
         return nothing, nothing
     many = index.first[gram + 1] - index.first[gram]
-    entry = np.repeat(index.first[gram], many) + spans(many)
-    item = index.item[entry]
-    reach = int(max(len(x) for x in index.items))
-    diagonal = np.repeat(at, many) - index.place[entry] + reach
-    band = diagonal // width
-    low = (diagonal % width < int(index.budgets.max())) & (band > 0)
+    reach, budget = int(max(len(x) for x in index.items)), int(index.budgets.max())
     bands = int((len(points) + reach) // width) + 2
-    keys, counts = np.unique(np.r_[item * bands + band, item[low] * bands + band[low] - 1], return_counts=True)
-    keys = keys[counts >= index.needed[keys // bands]]
+    slices = (np.cumsum(many) - many) // SHARED_AT_ONCE
+    edges = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1], True])
+    held, held_counts, full = nothing, nothing, [nothing]
+    for first, end in zip(edges[:-1], edges[1:]):
+        own, each = slice(first, end), many[first:end]
+        entry = np.repeat(index.first[gram[own]], each) + spans(each)
+        item = index.item[entry]
+        diagonal = np.repeat(at[own], each) - index.place[entry] + reach
+        band = diagonal // width
+        low = (diagonal % width < budget) & (band > 0)
+        keys, counts = np.unique(np.r_[item * bands + band, item[low] * bands + band[low] - 1], return_counts=True)
+        held, place = np.unique(np.r_[held, keys], return_inverse=True)
+        held_counts = np.bincount(place, weights=np.r_[held_counts, counts]).astype(np.int64)
+        # A band gets no q-gram from beyond its last diagonal's end in the longest item: it is counted in full.
+        done = np.full(len(held), True) if end == len(at) else (held % bands + 1) * width + budget <= at[end]
+        full.append(held[done & (held_counts >= index.needed[held // bands])])
+        held, held_counts = held[~done], held_counts[~done]
+    keys = np.sort(np.concatenate(full))
     return keys // bands, (keys % bands) * width - reach
 
 

@@ -99,6 +99,23 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     assert hits() == whole
 
 
+def test_slices_of_shared_grams_give_the_same(monkeypatch):
+    """Items and texts that repeat one phrase share very many q-grams; they are counted slice by slice."""
+    phrase = "the same phrase again and "
+    items = [(i, phrase * 6 + f"ending {i * 7919} of the item") for i in range(20)] + [(99, "x" * 60)]
+    text = "some words before " + phrase * 40 + "ending 23757 of the item " + "y z " * 50 + "x" * 90 + phrase * 3
+    index = D.Index.build(items, D.GRAM, D.EDIT_RATE)
+    points = D.folded(D.code_points(text))[0]
+    whole = D._candidates(index, index.filter_table(), points, 16)
+    hits = D._group_hits(index, index.filter_table(), [text, "", text])
+    assert len(whole[0]) and {3, 99} <= {h["item_id"] for h in hits[0]} and hits[0] == hits[2]
+    for at_once in (1, 50, 1000):
+        monkeypatch.setattr(D, "SHARED_AT_ONCE", at_once)
+        part = D._candidates(index, index.filter_table(), points, 16)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, part))
+        assert D._group_hits(index, index.filter_table(), [text, "", text]) == hits
+
+
 @pytest.mark.parametrize("q", [1, 2, 5, 8, 12, 13])
 def test_gram_hashes_tell_grams_apart(q):
     points = D.code_points("abracadabra abracadabra, cadabra")
