@@ -24,12 +24,16 @@ SEED = 42
 CODE_LENGTH = 23
 CODE_RADIUS = 3
 CODE_POLYNOMIAL = 0xC75
-# Shingles whose bits are counted at once; fingerprints that are replicated at once; distances at once.
+# Shingles whose bits are counted at once; fingerprints that are replicated at once; members that look up
+# their words at once; distances at once.
 COUNT_AT_ONCE = 65_536
 REPLICATE_AT_ONCE = 8_192
+MEMBERS_AT_ONCE = 32_768
 CELLS = 2_000_000
-# Fingerprints that call an anchor home in one slice; an anchor with more is dealt over several slices.
-SLICE = 32_768
+# Up to so many homes are compared with every member; more are looked up by their words in the second block.
+FEW_HOMES = 128
+# Fingerprints that call an anchor home in one slice; an anchor with more is dealt over slices.
+SLICE = 524_288
 
 
 def _fingerprint(text: str | None, width: int) -> int:
@@ -101,131 +105,179 @@ def _ways(threshold: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return flips, begins
 
 
-def anchors_of(bits: np.ndarray, threshold: int, blocks: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(bits: np.ndarray, number: int) -> np.ndarray:
+    """The 23 bits of a fingerprint that make up a block."""
+    return (bits >> np.uint64(number * CODE_LENGTH)).astype(np.int64) & ((1 << CODE_LENGTH) - 1)
+
+
+def _words_near(blocks: np.ndarray, budget: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every code word within covering radius plus the row's budget: rows of ``blocks``, numbers of the words
+    (their high 12 bits), and bits beyond the covering radius."""
+    syndrome = _syndrome(blocks)
+    flips, begins = _ways(int(budget.max(initial=0)))
+    found: list[list[np.ndarray]] = [[], [], []]
+    for cost, (own, begin) in enumerate(zip(flips, begins)):
+        rows = np.flatnonzero(budget >= cost)
+        s = syndrome[rows]
+        many = begin[s + 1] - begin[s]
+        word = np.repeat(blocks[rows], many) ^ own[np.repeat(begin[s], many) + spans(many)]
+        for held, x in zip(found, (np.repeat(rows, many), word >> 11, np.full(len(word), cost))):
+            held.append(x)
+    return tuple(np.concatenate(x) for x in found)
+
+
+def anchors_of(bits: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every anchor that a fingerprint is sent to: rows of ``bits``, anchors, and whether it is home.
 
-    An anchor is one code word per block of 23 bits. A fingerprint's home is the nearest anchor. One that
-    differs in at most ``threshold`` bits lies, over all blocks, at most that much farther from that
-    anchor than the covering radius, so it is sent there as well.
+    Anchors are the code words of the first block. A fingerprint's home is the nearest one. Another that
+    differs in at most ``threshold`` bits lies at most that much farther from that anchor than the covering
+    radius, so it is sent there as well.
     """
-    rows = np.arange(len(bits))
-    anchors = np.zeros(len(bits), dtype=np.int64)
-    spent = np.zeros(len(bits), dtype=np.int64)
-    flips, begins = _ways(threshold)
-    for block in range(blocks):
-        own = (bits >> np.uint64(block * CODE_LENGTH)).astype(np.int64) & ((1 << CODE_LENGTH) - 1)
-        syndrome = _syndrome(own)
-        new: list[list[np.ndarray]] = [[], [], []]
-        for cost in range(threshold + 1):
-            may = np.flatnonzero(spent + cost <= threshold)
-            s = syndrome[rows[may]]
-            many = begins[cost][s + 1] - begins[cost][s]
-            word = np.repeat(own[rows[may]], many) ^ flips[cost][np.repeat(begins[cost][s], many) + spans(many)]
-            from_row = np.repeat(may, many)
-            for held, x in zip(new, (rows[from_row], anchors[from_row] << 12 | word >> 11, spent[from_row] + cost)):
-                held.append(x)
-        rows, anchors, spent = (np.concatenate(x) for x in new)
+    rows, anchors, spent = _words_near(_block(bits, 0), np.full(len(bits), threshold))
     return rows, anchors, spent == 0
 
 
-def _replicate(threshold: int, blocks: int):
-    # A second block makes some seven times as many copies of a fingerprint.
-    step = max(1, REPLICATE_AT_ONCE // 7 ** (blocks - 1))
+def _packed(rows: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of fingerprints, given by their ends, as binary values."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [
+        None, pa.py_buffer(np.r_[0, ends * 8].astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
+
+def _replicate(threshold: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(every), step):
-                own = every[at: at + step]
-                rows, anchors, home = anchors_of(own.view(np.uint64), threshold, blocks)
-                order = np.lexsort((~home, anchors))
+            for at in range(0, len(every), REPLICATE_AT_ONCE):
+                own = every[at: at + REPLICATE_AT_ONCE]
+                rows, anchors, home = anchors_of(own.view(np.uint64), threshold)
+                order = np.argsort(anchors, kind="stable")
                 anchors, rows, home = anchors[order], own[rows[order]], home[order]
-                starts = np.flatnonzero(np.r_[True, anchors[1:] != anchors[:-1]])
-                ends = np.r_[starts[1:], len(anchors)]
-                homes = np.add.reduceat(home.astype(np.int64), starts)
+                ends = np.flatnonzero(np.r_[anchors[1:] != anchors[:-1], True]) + 1
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(anchors[starts]),
-                    pa.array([rows[s: s + n].tobytes() for s, n in zip(starts, homes)], pa.binary()),
-                    pa.array([rows[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary()),
+                    pa.array(anchors[ends - 1]), _packed(rows[home], np.cumsum(home)[ends - 1]), _packed(rows, ends),
                 ], names=["anchor", "homes", "members"])
     return deal
 
 
-def _links(homes: np.ndarray, label: np.ndarray, members: np.ndarray, threshold: int) -> list[np.ndarray]:
-    """Links that connect what the pairs within the threshold connect: at most one per fingerprint.
+class _Homes:
+    """The home fingerprints of an anchor in the order of their home words in the second block.
 
-    ``label`` holds for each home the smallest place of a home it is connected to, and is updated.
+    ``label`` holds for each the smallest place of a home it is connected to, so far.
     """
-    out = []
-    step = max(1, CELLS // len(homes))
-    for at in range(0, len(members), step):
-        part = members[at: at + step]
-        m, h = np.nonzero(np.bitwise_count((part[:, None] ^ homes).view(np.uint64)) <= threshold)
-        if not len(m):
-            continue
-        first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
-        count = np.diff(np.r_[first, len(m)])
-        before = label.copy()
-        while True:
-            least = np.minimum.reduceat(label[h], first)
-            lower = label.copy()
-            np.minimum.at(lower, h, np.repeat(least, count))
-            np.minimum.at(lower, label, lower)
-            lower = lower[lower]
-            if (lower == label).all():
-                break
-            label[:] = lower
-        moved = np.flatnonzero(label != before)
-        out.append(np.stack([homes[moved], homes[label[moved]]], axis=1))
-        linked = part[m[first]]
-        to = homes[label[h[first]]]
-        other = linked != to
-        out.append(np.stack([linked[other], to[other]], axis=1))
-    return out
+
+    def __init__(self, anchor: int, homes: np.ndarray):
+        # The high 12 bits of a code word fix its low 11.
+        self.anchor = anchor << 11 | int(_syndrome(np.array([anchor << 11]))[0])
+        words = _words_near(_block(homes.view(np.uint64), 1), np.zeros(len(homes), dtype=np.int64))[1]
+        self.homes = homes[np.argsort(words, kind="stable")]
+        self.begins = np.r_[0, np.cumsum(np.bincount(words, minlength=1 << 12))]
+        self.label = np.arange(len(homes))
+
+    def _compared(self, members: np.ndarray, m: np.ndarray, begin: np.ndarray, many: np.ndarray,
+                  threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Members (falling into runs) and places of homes within the threshold, from ranges of homes."""
+        slices = (np.cumsum(many) - many) // CELLS
+        edges = np.flatnonzero(np.r_[True, slices[1:] != slices[:-1], True]) if len(many) else [0]
+        for first, end in zip(edges[:-1], edges[1:]):
+            own = many[first:end]
+            row, home = np.repeat(m[first:end], own), np.repeat(begin[first:end], own) + spans(own)
+            near = np.bitwise_count((members[row] ^ self.homes[home]).view(np.uint64)) <= threshold
+            yield row[near], home[near]
+
+    def near(self, members: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of members, ascending, and of homes that differ in at most ``threshold`` bits."""
+        if len(self.homes) <= FEW_HOMES:
+            step = max(1, CELLS // len(self.homes))
+            for at in range(0, len(members), step):
+                part = members[at: at + step]
+                m, h = np.nonzero(np.bitwise_count((part[:, None] ^ self.homes).view(np.uint64)) <= threshold)
+                yield m + at, h
+            return
+        for at in range(0, len(members), MEMBERS_AT_ONCE):
+            bits = members[at: at + MEMBERS_AT_ONCE].view(np.uint64)
+            # What a member has spent in the first block is not left for the second one.
+            spent = np.bitwise_count(_block(bits, 0) ^ self.anchor).astype(np.int64) - CODE_RADIUS
+            m, word, _ = _words_near(_block(bits, 1), threshold - np.maximum(spent, 0))
+            many = self.begins[word + 1] - self.begins[word]
+            some = np.flatnonzero(many)
+            some = some[np.argsort(m[some], kind="stable")]
+            yield from self._compared(members, m[some] + at, self.begins[word[some]], many[some], threshold)
+
+    def links(self, members: np.ndarray, threshold: int) -> list[np.ndarray]:
+        """Links that connect what the pairs within the threshold connect: at most one per fingerprint."""
+        out = []
+        homes, label = self.homes, self.label
+        for m, h in self.near(members, threshold):
+            if not len(m):
+                continue
+            first = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])
+            count = np.diff(np.r_[first, len(m)])
+            before = label.copy()
+            while True:
+                least = np.minimum.reduceat(label[h], first)
+                lower = label.copy()
+                np.minimum.at(lower, h, np.repeat(least, count))
+                np.minimum.at(lower, label, lower)
+                lower = lower[lower]
+                if (lower == label).all():
+                    break
+                label[:] = lower
+            moved = np.flatnonzero(label != before)
+            out.append(np.stack([homes[moved], homes[label[moved]]], axis=1))
+            linked = members[m[first]]
+            to = homes[label[h[first]]]
+            other = linked != to
+            out.append(np.stack([linked[other], to[other]], axis=1))
+        return out
 
 
 def _compare(threshold: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, gathered, homes, label = None, [], None, None
-        out: list[np.ndarray] = []
+        key, gathered, homes = None, [], None
         for batch in batches:
+            out: list[np.ndarray] = []
+            waiting: list[np.ndarray] = []
+
+            def flush() -> None:
+                if waiting and homes is not None:
+                    out.extend(homes.links(np.concatenate(waiting), threshold))
+                waiting.clear()
+
             for anchor, part, kind, load in zip(*(c.to_pylist() for c in batch.columns)):
                 if (anchor, part) != key:
+                    flush()
                     key, gathered, homes = (anchor, part), [], None
                 if kind == 0:
                     gathered.append(np.frombuffer(load, dtype=np.int64))
                     continue
-                if homes is None and gathered:
-                    homes = np.concatenate(gathered)
-                    label = np.arange(len(homes))
-                if homes is not None:
-                    out += _links(homes, label, np.frombuffer(load, dtype=np.int64), threshold)
+                if gathered:
+                    homes, gathered = _Homes(anchor, np.concatenate(gathered)), []
+                waiting.append(np.frombuffer(load, dtype=np.int64))
+            flush()
             if out:
                 links = np.unique(np.concatenate(out), axis=0)
-                out = []
                 yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
     return compare
 
 
-def anchor_links(fingerprints: DataFrame, threshold: int = MAX_BITS, blocks: int = 1) -> DataFrame:
+def anchor_links(fingerprints: DataFrame, threshold: int = MAX_BITS) -> DataFrame:
     """Links (a, b) whose connected components are those of all pairs of distinct fingerprints (column
     ``bits``) that differ in at most ``threshold`` bits.
 
     Every fingerprint is sent to all anchors within covering radius plus threshold, packed into one row per
-    anchor and batch. Each anchor compares its home fingerprints with all it received, streaming the latter,
-    and passes on links that keep the same components, at most one per fingerprint and block. An anchor
-    that is home to very many fingerprints is dealt over slices of its homes, and every slice sees all
-    members, so memory is bounded and nothing is dropped.
-
-    One block of 23 bits gives 4,096 anchors and 191 copies of a fingerprint (threshold 4). Two blocks give 16.8
-    million anchors and about 1,240 copies. On one core replication took 0.05 ms a fingerprint with one block and
-    3.8 ms with two, a comparison 5.5 ns; so two blocks take less time from some 15 million distinct fingerprints
-    on, and several times the shuffle.
+    anchor and batch. The anchors are the 4,096 words of the code in the first block of 23 bits; with
+    threshold 4 that is 191 copies. Within an anchor the second block is covered the same way, without another
+    shuffle: home fingerprints lie at their home word, and a member looks at the words within covering radius plus
+    what the first block has left of the threshold, 6.5 on average. So a member is compared with about one in 630
+    of the anchor's homes. Links that keep the same components are passed on, at most one per fingerprint and batch.
+
+    Members are streamed past the homes. An anchor that is home to very many fingerprints is dealt over slices
+    of its homes, and every slice sees all members, so memory is bounded and nothing is dropped.
     """
-    if not 0 <= threshold <= CODE_LENGTH - CODE_RADIUS or not 1 <= blocks <= 2:
-        raise ValueError("threshold must be 0 to 20 and blocks 1 or 2")
+    if not 0 <= threshold <= CODE_LENGTH - CODE_RADIUS:
+        raise ValueError("threshold must be 0 to 20")
     dealt = materialize(fingerprints.select("bits").mapInArrow(
-        _replicate(threshold, blocks), "anchor bigint, homes binary, members binary"), "anchors")
+        _replicate(threshold), "anchor bigint, homes binary, members binary"), "anchors")
     hot = (dealt.groupBy("anchor").agg(F.sum(F.octet_length("homes") / 8).alias("n"))
            .where(F.col("n") > SLICE).select("anchor", F.ceil(F.col("n") / SLICE).cast("int").alias("slices")))
     rows = dealt.withColumn("slices", F.lit(1)) if hot.isEmpty() else lookup_join(
@@ -241,7 +293,7 @@ def anchor_links(fingerprints: DataFrame, threshold: int = MAX_BITS, blocks: int
 
 
 def near_duplicates(documents: DataFrame, doc_id: str, text: str, width: int = SHINGLE,
-                    threshold: int = MAX_BITS, blocks: int = 1) -> DataFrame:
+                    threshold: int = MAX_BITS) -> DataFrame:
     """``doc_id``, ``text_key``, ``bits``, ``root`` (smallest fingerprint reachable) and ``component_id``
     (smallest id reachable) for every row.
 
@@ -253,7 +305,7 @@ def near_duplicates(documents: DataFrame, doc_id: str, text: str, width: int = S
         F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("text_key"),
         fingerprint(F.col(text), width).alias("bits")), "fingerprints")
     distinct = materialize(rows.groupBy("bits").agg(F.min("doc_id").alias("first_id")), "distinct")
-    roots = components(anchor_links(distinct, threshold, blocks))
+    roots = components(anchor_links(distinct, threshold))
     rooted = distinct.join(roots, distinct["bits"] == roots["node"], "left").select(
         "bits", "first_id", F.coalesce("root", "bits").alias("root"))
     linked = roots.join(distinct, roots["node"] == distinct["bits"]).groupBy("root").agg(

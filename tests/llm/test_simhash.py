@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -72,9 +73,50 @@ def test_components_equal_all_pairs(spark, options):
     assert roots(spark, fingerprints, **options) == plain_roots(fingerprints, options.get("threshold", 4))
 
 
-def test_two_blocks(spark):
-    fingerprints = clustered(4)[:60]
-    assert roots(spark, fingerprints, threshold=2, blocks=2) == plain_roots(fingerprints, 2)
+def roots_without_spark(fingerprints, threshold):
+    """The two functions that run in tasks, with a plain sort between them."""
+    columns = [pa.array(sorted(set(fingerprints)), pa.int64())]
+    rows = []
+    for dealt in S._replicate(threshold)([pa.RecordBatch.from_arrays(columns, names=["bits"])]):
+        for r in dealt.to_pylist():
+            rows += [(r["anchor"], 0, 0, r["homes"])] * bool(r["homes"]) + [(r["anchor"], 0, 1, r["members"])]
+    rows.sort(key=lambda r: r[:3])
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at: at + 300]), kinds)],
+                                          names=["anchor", "slice", "kind", "load"])
+               for at in range(0, len(rows), 300)]
+    groups = Groups()
+    for found in S._compare(threshold)(batches):
+        for r in found.to_pylist():
+            groups.join(r["a"], r["b"])
+    return {x: groups.find(x) for x in set(fingerprints)}
+
+
+@pytest.mark.parametrize("few", [0, 128])
+@pytest.mark.parametrize("threshold", [0, 2, 4, 6])
+def test_words_of_the_second_block(monkeypatch, threshold, few):
+    """Homes that are looked up by their words in the second block give the same components."""
+    monkeypatch.setattr(S, "FEW_HOMES", few)
+    monkeypatch.setattr(S, "MEMBERS_AT_ONCE", 50)
+    monkeypatch.setattr(S, "REPLICATE_AT_ONCE", 100)
+    monkeypatch.setattr(S, "CELLS", 40)
+    fingerprints = clustered(4) + [signed(i << 24) for i in range(150)] + [0, -1, signed(2 ** 63)]
+    assert roots_without_spark(fingerprints, threshold) == plain_roots(fingerprints, threshold)
+
+
+def test_lookup_finds_all_pairs():
+    """Of one anchor: the same pairs as comparing all members with all homes."""
+    random = np.random.default_rng(11)
+    base = random.integers(0, 2 ** 64, 300, dtype=np.uint64) & ~np.uint64((1 << 23) - 1)
+    near = base.copy()
+    for i in range(len(near)):
+        for b in random.choice(64, random.integers(0, 6), replace=False):
+            near[i] ^= np.uint64(1) << np.uint64(b)
+    homes = S._Homes(0, base.view(np.int64))
+    every = {(m, h) for m, h in zip(*np.nonzero(np.bitwise_count(near[:, None] ^ homes.homes.view(np.uint64)) <= 4))}
+    assert len(base) > S.FEW_HOMES and len(every) > 200
+    found = [(m, h) for ms, hs in homes.near(near.view(np.int64), 4) for m, h in zip(ms, hs)]
+    assert len(found) == len(set(found)) and set(found) == every
 
 
 def test_slices_and_chains(spark, monkeypatch):
@@ -97,9 +139,9 @@ def test_every_pair_meets_at_the_home_anchor():
     for i in range(len(bits)):
         for b in random.choice(64, 4, replace=False):
             flipped[i] ^= np.uint64(1) << np.uint64(b)
-    rows, anchors, home = S.anchors_of(bits, 4, 1)
+    rows, anchors, home = S.anchors_of(bits, 4)
     assert sorted(rows[home].tolist()) == list(range(40))
-    to_rows, to_anchors, _ = S.anchors_of(flipped, 4, 1)
+    to_rows, to_anchors, _ = S.anchors_of(flipped, 4)
     sent = set(zip(to_rows.tolist(), to_anchors.tolist()))
     assert {(r, a) for r, a, h in zip(rows.tolist(), anchors.tolist(), home) if h} <= sent
 
