@@ -31,7 +31,7 @@ REPLICATE_AT_ONCE = 8_192
 MEMBERS_AT_ONCE = 32_768
 CELLS = 2_000_000
 # Up to so many homes are compared with every member; more are looked up by their words in the second block.
-FEW_HOMES = 128
+FEW_HOMES = 32
 # Fingerprints that call an anchor home in one slice; an anchor with more is dealt over slices.
 SLICE = 524_288
 
@@ -269,7 +269,9 @@ def anchor_links(fingerprints: DataFrame, threshold: int = MAX_BITS) -> DataFram
     threshold 4 that is 191 copies. Within an anchor the second block is covered the same way, without another
     shuffle: home fingerprints lie at their home word, and a member looks at the words within covering radius plus
     what the first block has left of the threshold, 6.5 on average. So a member is compared with about one in 630
-    of the anchor's homes. Links that keep the same components are passed on, at most one per fingerprint and batch.
+    of the anchor's homes: on one core 0.6 microseconds a member with 3,662 homes an anchor (15 million distinct
+    fingerprints), where all comparisons took 31. Links that keep the same components are passed on, at most one
+    per fingerprint and batch.
 
     Members are streamed past the homes. An anchor that is home to very many fingerprints is dealt over slices
     of its homes, and every slice sees all members, so memory is bounded and nothing is dropped.
