@@ -83,6 +83,7 @@ class TemplateIndex:
         rank = {w: i for i, w in enumerate(self.order)}
         self.sets = [sorted(set(text.split()), key=rank.__getitem__) for _, text in templates]
         self.enough = [needed(len(s), threshold) for s in self.sets]
+        self.lengths = [len(text.split()) for _, text in templates]
         self.rows = [(w, number, place, len(s), enough)
                      for number, (s, enough) in enumerate(zip(self.sets, self.enough))
                      for place, w in enumerate(s[: len(s) - enough + 1])]
@@ -114,15 +115,56 @@ def block_matches(texts: DataFrame, text: str, keep: Sequence[str], index: Templ
                     (F.col("shared") / F.col("size")).alias("containment")))
 
 
+def wrapped_matches(texts: DataFrame, text: str, keep: Sequence[str], index: TemplateIndex) -> DataFrame:
+    """The same columns for notices that go on over line breaks.
+
+    A template is compared with every stretch of as many words as it has, wherever it begins and however many
+    lines it is on. A stretch with enough of its words has one of its prefix words, so only the words around
+    those are looked at, where they are on more than one line. ``block`` is the line of the last word from
+    which a stretch with enough words begins, or null where another prefix word's row gives it.
+    """
+    spark = texts.sparkSession
+    prefixes = spark.createDataFrame(index.rows, "word string, template int, place int, size int, enough int") \
+        .withColumn("length", F.get(F.lit(index.lengths), F.col("template")))
+    most = max(index.lengths)
+    line_words = F.transform(F.split(text, "\n"), lambda line, number: F.transform(
+        words_of(line), lambda word: F.struct(number.alias("line"), word.alias("word"))))
+    split = texts.select(*keep, F.flatten(line_words).alias("words"))
+    placed = split.select(*keep, F.transform("words", lambda w, at: F.struct(
+        at.alias("at"), w["line"].alias("line"), w["word"].alias("word"))).alias("placed"))
+    centres = F.filter("placed", lambda w: w["word"].isin(index.starters))
+    around = placed.select(*keep, F.explode(F.transform(centres, lambda w: F.struct(
+        w["at"].alias("centre"), w["word"].alias("word"),
+        F.slice("placed", F.greatest(w["at"] - most + 2, F.lit(1)),
+                w["at"] - F.greatest(w["at"] - most + 1, F.lit(0)) + 2 * most - 1).alias("around")))).alias("c")) \
+        .select(*keep, "c.*").where(F.get("around", F.lit(0))["line"] < F.element_at("around", -1)["line"])
+    held = around.join(F.broadcast(prefixes), "word").withColumn("held", F.filter("around", lambda w: (
+        (w["at"] > F.col("centre") - F.col("length")) & (w["at"] < F.col("centre") + 2 * F.col("length") - 1)
+        & F.array_contains(F.get(F.lit(index.sets), F.col("template")), w["word"])))) \
+        .where(F.size(F.array_distinct(F.transform("held", lambda w: w["word"]))) >= F.col("enough"))
+    starts = held.withColumn("starts", F.transform("held", lambda w: F.struct(
+        w["at"].alias("at"), w["line"].alias("line"), F.size(F.array_distinct(F.transform(
+            F.filter("held", lambda v: (v["at"] >= w["at"]) & (v["at"] < w["at"] + F.col("length"))),
+            lambda v: v["word"]))).alias("shared"))))
+    good = starts.withColumn("good", F.filter("starts", lambda w: (
+        (w["at"] <= F.col("centre")) & (w["shared"] >= F.col("enough"))))).where(F.size("good") > 0)
+    last = F.filter("starts", lambda w, place: (w["at"] <= F.col("centre")) & (w["shared"] >= F.col("enough"))
+                    & (F.coalesce(F.get("starts", place + 1)["shared"], F.lit(0)) < F.col("enough")))
+    return good.select(*keep, F.explode_outer(F.transform(last, lambda w: w["line"])).alias("block"),
+                       F.get(F.lit(index.labels), F.col("template")).alias("label"),
+                       (F.array_max(F.transform("good", lambda w: w["shared"])) / F.col("size")).alias("containment"))
+
+
 def scan(documents: DataFrame, doc_id: str, text: str, templates: Sequence[tuple[str, str]] = TEMPLATES,
-         threshold: float = THRESHOLD) -> DataFrame:
+         threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """One row per document: words, places of the base phrases, labels and score.
 
     ``n_words``, ``n_base`` (all places), ``first_word`` and ``last_word`` (their smallest and largest start,
     else null), ``base_labels`` and ``labels`` (distinct, sorted, comma-joined, empty if none), ``score`` (1
     where a base phrase stands, else the greatest containment found, else 0), ``n_blocks`` (lines that match
     a template). Two passes over the texts: one counts the template words in all of them, one takes the words
-    of each text and sets aside the few texts with a prefix word, whose lines are then joined.
+    of each text and sets aside the few texts with a prefix word, whose lines are then joined. With ``wrapped``
+    notices that go on over line breaks are found too, and ``n_blocks`` counts the lines that they begin on.
 
     Null texts count as empty; empty texts have no words. Repeated rows each get a row. Null ids are kept. Other
     columns take no part. An empty table gives an empty result.
@@ -140,7 +182,10 @@ def scan(documents: DataFrame, doc_id: str, text: str, templates: Sequence[tuple
         F.when(F.arrays_overlap("words", F.lit(index.starters)), F.col("lower")).alias("blocks")), "words")
     # Equal texts have equal matches, so the text's key is enough.
     texts = narrow.where(F.col("blocks").isNotNull()).select("text_key", "blocks")
-    by_text = block_matches(texts, "blocks", ["text_key"], index).groupBy("text_key").agg(
+    matches = block_matches(texts, "blocks", ["text_key"], index)
+    if wrapped and templates:
+        matches = matches.unionByName(wrapped_matches(texts, "blocks", ["text_key"], index))
+    by_text = matches.groupBy("text_key").agg(
         F.collect_set("label").alias("more"), F.max("containment").alias("containment"),
         F.countDistinct("block").alias("n_blocks"))
     base = F.transform(F.coalesce("places", F.array()), lambda p: p["label"])

@@ -176,7 +176,7 @@ def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text", wrapped=True)
 
 
 def _templates_sql() -> str:
