@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 from hashlib import blake2b
 
 import numpy as np
@@ -21,6 +21,8 @@ WINDOW = 16
 CUT_BITS = 5
 MIN_BYTES = 16
 MAX_BYTES = 1024
+# Cuts at minima of the hash: the smallest one in any stretch of so many bytes (a power of 2) is a place to cut.
+REACH = 64
 # Repeated stretches shorter than this are left alone.
 MIN_SPAN = 64
 TEXT_CHARS = 4_000_000
@@ -49,6 +51,22 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return hashes
 
 
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """For every stretch of REACH hashes the place of its smallest one, of equal ones the last."""
+    places = np.empty(max(0, len(hashes) - REACH + 1), dtype=np.int64)
+    # Place and hash share 32 bits, so that one minimum gives both.
+    step = (1 << 16) - REACH
+    for at in range(0, len(places), step):
+        part = hashes[at: at + step + REACH - 1]
+        least = (part.astype(np.uint32) << np.uint32(16)) | np.arange(65535, 65535 - len(part), -1, dtype=np.uint32)
+        width = 1
+        while width < REACH:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        places[at: at + len(least)] = 65535 - (least & np.uint32(65535)).astype(np.int64) + at
+    return places
+
+
 def cut(natural: list[int], size: int) -> list[int]:
     """The ends of the chunks of a text of ``size`` bytes, from the places where its hash asks for a cut."""
     ends, last = [], 0
@@ -62,28 +80,34 @@ def cut(natural: list[int], size: int) -> list[int]:
     return ends
 
 
-def _chunk_group(texts: list[str]) -> Iterator[tuple[int, list[int], list[bytes]]]:
+def _chunk_group(texts: list[str], at_minima: bool = False) -> Iterator[tuple[int, list[int], list[bytes]]]:
     """Per text: its place in the group, the chunks' ends, and their 16-byte digests."""
     raw = [x.encode() for x in texts]
     gap = bytes(WINDOW)
     hashes = gear_hashes(np.frombuffer(gap.join([*raw, b""]), dtype=np.uint8))
-    cuts = np.flatnonzero(hashes >> np.uint16(16 - CUT_BITS) == 0) + 1
+    cuts = minima(hashes) + 1 if at_minima else np.flatnonzero(hashes >> np.uint16(16 - CUT_BITS) == 0) + 1
     begin = 0
     for i, data in enumerate(raw):
-        low, high = np.searchsorted(cuts, [begin + 1, begin + len(data)])
-        ends = cut((cuts[low:high] - begin).tolist(), len(data))
+        if at_minima:
+            # Only stretches that lie wholly in the text; neighbours often have the same smallest hash.
+            own = cuts[begin: begin + max(0, len(data) - REACH + 1)]
+            own = own[np.r_[True, own[1:] != own[:-1]]] if len(own) else own
+        else:
+            low, high = np.searchsorted(cuts, [begin + 1, begin + len(data)])
+            own = cuts[low:high]
+        ends = cut((own - begin).tolist(), len(data))
         yield i, ends, [blake2b(data[a:b], digest_size=16).digest() for a, b in zip([0, *ends], ends)]
         begin += len(data) + WINDOW
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(batches: Iterator[pa.RecordBatch], at_minima: bool = False) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "text_key", "place", "start", "end", "high", "low", "again"]
     for batch in batches:
         ids, keys, at = (batch.column(0).to_numpy(zero_copy_only=False),
                          batch.column(1).to_numpy(zero_copy_only=False), 0)
         for group in by_size(batch.column(2).to_pylist(), TEXT_CHARS):
             rows, sizes, ends, starts, digests, again = [], [], [], [], [], []
-            for i, stops, own in _chunk_group(group):
+            for i, stops, own in _chunk_group(group, at_minima):
                 seen: set[bytes] = set()
                 for d in own:
                     again.append(d in seen)
@@ -103,33 +127,37 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(again)], names=names)
 
 
-def chunks(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+def chunks(documents: DataFrame, doc_id: str, text: str, at_minima: bool = False) -> DataFrame:
     """The chunks of every text: ``doc_id`` (NO_ID for null), ``text_key``, ``place``, ``start`` and ``end``
     in UTF-8 bytes, the digest as ``high`` and ``low``, and ``again`` if the text had the chunk before.
 
     Where a text is cut depends on the last 16 bytes only, so after an insertion the cuts fall into step
-    again. Null and empty texts have no chunks.
+    again. With ``at_minima`` a cut follows the smallest hash of every stretch of REACH bytes instead, but not
+    within MIN_BYTES of the last one: there is always one within reach, in a text of few distinct words too,
+    and it depends on the bytes around it only. Null and empty texts have no chunks.
     """
     return documents.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc_id"),
                             text_key(F.col(text)).alias("text_key"),
                             F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(
-        _chunk_rows, "doc_id bigint, text_key bigint, place int, start int, end int, high bigint, low bigint, "
+        partial(_chunk_rows, at_minima=at_minima), "doc_id bigint, text_key bigint, place int, start int, end int, high bigint, low bigint, "
                      "again boolean")
 
 
-def repeated_spans(documents: DataFrame, doc_id: str, text: str, min_span: int = MIN_SPAN) -> DataFrame:
+def repeated_spans(documents: DataFrame, doc_id: str, text: str, min_span: int = MIN_SPAN,
+                   at_minima: bool = False) -> DataFrame:
     """Stretches of chunks that stand in the corpus more than once.
 
     Returns ``doc_id``, ``text_key``, ``start``, ``end`` (UTF-8 bytes), ``n_chunks``, ``first_doc_id``
     (smallest id that has any chunk of it) and ``removed``: false where the document is the first that has
     these chunks, true for all later copies, in other documents or further down in the same one. Adjacent
     chunks with the same ``removed`` make one stretch; stretches under ``min_span`` bytes are left out.
+    ``at_minima`` cuts the texts as in ``chunks``, so that short and repetitive passages are found too.
 
     Chunks are counted by digest with partial sums, so a chunk that very many texts share is one row per task.
     Rows that share an id count as one document, rows with a null id as the smallest; rows that repeat id and
     text give the same spans once.
     """
-    rows = chunks(documents, doc_id, text)
+    rows = chunks(documents, doc_id, text, at_minima)
     # Written out, so that the join is between two plain shuffles and a chunk of very many texts can be split.
     known = materialize(rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id"))
                         .where(F.col("n") > 1).drop("n"), "repeated")
@@ -150,12 +178,12 @@ def _id(name: str) -> Column:
 
 
 def without_repeats(documents: DataFrame, doc_id: str, text: str, keep: Sequence[str] = (),
-                    min_span: int = MIN_SPAN) -> DataFrame:
+                    min_span: int = MIN_SPAN, at_minima: bool = False) -> DataFrame:
     """``keep`` columns and ``kept_text``, the text without its removed stretches; null texts stay null.
 
     Bytes are cut, and a character that a cut divides is dropped with its stretch's edge.
     """
-    gone = (repeated_spans(documents, doc_id, text, min_span).where("removed")
+    gone = (repeated_spans(documents, doc_id, text, min_span, at_minima).where("removed")
             .groupBy("doc_id", "text_key")
             .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("gone")))
     rows = documents.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"),

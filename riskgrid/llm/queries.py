@@ -172,7 +172,7 @@ FROM z GROUP BY pair_id, part
 
 
 def op8_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.repeated_spans(table(spark, sf_dir, "documents"), "doc_id", "text").drop("text_key")
+    return chunks.repeated_spans(table(spark, sf_dir, "documents"), "doc_id", "text", at_minima=True).drop("text_key")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,72 @@ def test_text_without_repeats(spark):
     assert len(kept[2]) < len(rows[1][1]) - 300 and kept[2].startswith(own[1]) and kept[2].endswith(own[2])
 
 
+def plain_minima_cuts(data: bytes) -> list[int]:
+    """The definition of cuts at minima, byte by byte."""
+    hashes = C.gear_hashes(np.frombuffer(data, dtype=np.uint8)).tolist()
+    wanted = {max(range(at, at + C.REACH), key=lambda i: (-hashes[i], i)) + 1
+              for at in range(len(data) - C.REACH + 1)}
+    ends, last = [], 0
+    for at in range(1, len(data) + 1):
+        if (at in wanted and at - last >= C.MIN_BYTES) or at == len(data):
+            ends.append(at)
+            last = at
+    return ends
+
+
+def test_cuts_at_minima_follow_the_definition():
+    # The long text is cut in several steps.
+    every = [*texts(), prose(random.Random(4), 13_000)]
+    assert len(every[-1]) > 1 << 16
+    for i, ends, digests in C._chunk_group(every, True):
+        data = every[i].encode()
+        assert ends == plain_minima_cuts(data)
+        assert digests == [blake2b(data[a:b], digest_size=16).digest() for a, b in zip([0, *ends], ends)]
+        assert all(b - a <= 2 * C.REACH + C.MIN_BYTES for a, b in zip([0, *ends], ends))
+
+
+def longest_shared(one: str, two: str, at_minima: bool) -> int:
+    """Bytes of the longest stretch of chunks of one text that the other has too."""
+    (_, ends, own), (_, _, other) = C._chunk_group([one, two], at_minima)
+    longest = run = 0
+    for a, b, digest in zip([0, *ends], ends, own):
+        run = run + b - a if digest in set(other) else 0
+        longest = max(longest, run)
+    return longest
+
+
+def missed(at_minima: bool, distinct: int, passages: int = 300) -> int:
+    """Passages of 51 words, of so many distinct ones, that two texts share and no span shows."""
+    rng = random.Random(distinct)
+    out = 0
+    for _ in range(passages):
+        words = prose(rng, distinct).split()
+        passage = " ".join((words * 51)[:51])
+        one, two = (f"{prose(rng, rng.randint(5, 60))} {passage} {prose(rng, 40)}" for _ in range(2))
+        out += longest_shared(one, two, at_minima) < C.MIN_SPAN
+    return out
+
+
+@pytest.mark.parametrize("distinct", [3, 8, 51])
+def test_passages_of_51_words(distinct):
+    assert missed(True, distinct) == 0
+    assert distinct == 51 or missed(False, distinct) > 0
+
+
+def test_spans_of_repetitive_passages(spark):
+    rng = random.Random(12)
+    passages = [" ".join((prose(rng, n).split() * 51)[:51]) for n in (1, 2, 3, 5, 8, 51)]
+    rows = [(10 * i + j, f"{prose(rng, 30 + j)} {p} {prose(rng, 40)}") for i, p in enumerate(passages) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = C.repeated_spans(df, "doc_id", "text", at_minima=True).collect()
+    # Every later copy has a removed stretch, and it lies in the passage.
+    assert {r["doc_id"] for r in got if r["doc_id"] != r["first_doc_id"]} == {i for i, _ in rows if i % 10}
+    by_id = dict(rows)
+    for r in got:
+        piece = by_id[r["doc_id"]].encode()[r["start"]: r["end"]].decode()
+        assert piece in passages[r["doc_id"] // 10]
+
+
 def test_odd_documents(spark):
     df = odd_documents(spark)
     got = C.repeated_spans(df, "doc_id", "text", min_span=20).collect()
