@@ -264,7 +264,8 @@ def leaks(benchmark: DataFrame, item_id: str, item_text: str, text: Column, q: i
     found = []
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("id", "item"), F.lit(blocks)) == block)
-        index = Index.build(sorted((tuple(r) for r in mine.collect()), key=lambda r: (r[0] is None, r)), q, rate)
+        index = Index.build(sorted((tuple(r) for r in mine.collect()), key=lambda r: (
+            r[0] is None, r[0] or 0, r[1] is None, r[1] or "")), q, rate)
         found.append(_search(spark.sparkContext.broadcast(index))(text))
     return F.concat(*found) if len(found) > 1 else found[0]
 

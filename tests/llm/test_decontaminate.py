@@ -140,6 +140,14 @@ def test_odd_rows(spark):
         D.leaks(items, "item_id", "text", F.col("text"), q=8, rate=0.125)
 
 
+def test_null_texts_beside_items_of_the_same_id(spark):
+    items = spark.createDataFrame([(1, None), (1, LONG[:200]), (None, None), (None, LONG[:200]), (None, None)], ITEMS)
+    df = odd_documents(spark)
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(df, "text", ["doc_id"], items, "item_id", "text").collect()}
+    assert got == {(6, None), (6, 1)}
+    assert D.clean_documents(df, "text", items, "item_id", "text").count() == df.count() - 1
+
+
 def test_folding():
     points, kept = D.folded(D.code_points("A \t\nB\x00É"))
     assert "".join(map(chr, points)) == "a b\x00é" and kept.tolist() == [0, 1, 4, 5, 6]
