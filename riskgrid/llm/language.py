@@ -18,9 +18,10 @@ from riskgrid.llm.common import by_size, code_points
 
 UNKNOWN = "und"
 RESULT = "struct<lang: string, score: double, spans: array<struct<start: int, end: int, lang: string>>>"
-# Labelled documents that the model is fitted on, per language, and languages, the most frequent ones.
+# Labelled documents that the model is fitted on, per language. A table with more languages is refused: the model
+# takes a quarter of a megabyte for each.
 DOCS_PER_LANGUAGE = 400
-MAX_LANGUAGES = 128
+MAX_LANGUAGES = 1024
 # Letter trigrams are hashed to so many cells.
 CELL_BITS = 16
 # A switch of language must gain so many nats.
@@ -91,21 +92,19 @@ def _counts(languages: list[str]):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, scripts = _tables()
-        total = np.zeros((len(languages), 1 << CELL_BITS), dtype=np.int64)
-        script = np.zeros((len(languages), len(SCRIPTS) + 1), dtype=np.int64)
+        # Scripts follow the trigram cells. Counted text by text, so that no array has all cells of all languages.
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 for at in range(0, len(text), SCORE_CHARS):
                     points = code_points(text[at: at + SCORE_CHARS])
                     low = letters[points]
                     is_letter = low > 0
-                    total[place[lang]] += np.bincount(_cells(low)[is_letter], minlength=1 << CELL_BITS)
-                    script[place[lang]] += np.bincount(scripts[points[is_letter]], minlength=len(SCRIPTS) + 1)
-        # Scripts follow the trigram cells.
-        counts = np.concatenate([total, script], axis=1)
-        lang, cell = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(cell.astype(np.int32)),
-                                          pa.array(counts[lang, cell])], names=["lang", "cell", "n"])
+                    own = np.bincount(_cells(low)[is_letter], minlength=1 << CELL_BITS)
+                    own = np.r_[own, np.bincount(scripts[points[is_letter]], minlength=len(SCRIPTS) + 1)]
+                    cell = np.flatnonzero(own)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.full(len(cell), place[lang], dtype=np.int32)), pa.array(cell.astype(np.int32)),
+                        pa.array(own[cell])], names=["lang", "cell", "n"])
     return count
 
 
@@ -114,38 +113,49 @@ def fit(documents: DataFrame, doc_id: str, text: str, lang: str, docs_per_langua
     """Learn the languages of labelled documents that are not held out.
 
     At most ``docs_per_language`` documents per language, those with the smallest hash of the id, so the
-    sample does not depend on the order of rows. Rows with a null id, text or language are not used. The
-    driver receives the counts only: at most languages x (cells + scripts) numbers.
+    sample does not depend on the order of rows. Rows with a null id, text or language are not used. All
+    languages are learned; more than ``max_languages`` raise a ValueError. The driver receives the counts only:
+    at most languages x (cells + scripts) numbers.
     """
     rows = documents.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")) \
         .where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()) \
         .where(~held_out(F.col("id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "digest")
-    seen = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    seen = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(seen) > max_languages:
+        raise ValueError(f"more than {max_languages} languages to learn; none is left out, so clean the column "
+                         "or allow more")
     languages = sorted(r["lang"] for r in seen)
     # Smallest hashes lie below this part of all hashes; it leaves ten standard deviations to spare, so that the
     # window gets few rows however large the table is.
     spare = docs_per_language + 10 * docs_per_language ** 0.5 + 100
-    low = F.lit(False)
-    for r in seen:
-        low = low | ((F.col("lang") == r["lang"]) & (
-            F.xxhash64("id") <= F.lit(min(2 ** 63 - 1, int(-2 ** 63 + spare / r["count"] * 2 ** 64)))))
     if not languages:
         return Model([], np.zeros((1 << CELL_BITS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
     key = F.xxhash64("text").alias("digest")
-    picked = (rows.where(low).select("lang", "id", key)
+    bounds = rows.sparkSession.createDataFrame(
+        [(r["lang"], min(2 ** 63 - 1, int(-2 ** 63 + spare / r["count"] * 2 ** 64))) for r in seen],
+        "lang string, bound bigint")
+    low = rows.join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound"))
+    picked = (low.select("lang", "id", key)
               .withColumn("place", F.row_number().over(order)).where(F.col("place") <= docs_per_language)
               .select("lang", "id", "digest").distinct())
     sample = (rows.select("lang", "id", key, "text")
               .join(F.broadcast(picked), ["lang", "id", "digest"], "left_semi").select("lang", "text"))
     found = (sample.mapInArrow(_counts(languages), "lang int, cell int, n bigint")
              .groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow())
-    counts = np.zeros((len(languages), (1 << CELL_BITS) + len(SCRIPTS) + 1))
-    counts[found["lang"].to_numpy(), found["cell"].to_numpy()] = found["n"].to_numpy()
-    grams, script = counts[:, : 1 << CELL_BITS], counts[:, 1 << CELL_BITS:]
-    scores = np.log((grams + SMOOTHING) / (grams.sum(axis=1, keepdims=True) + SMOOTHING * (1 << CELL_BITS)))
-    uses = script >= SCRIPT_SHARE * np.maximum(script.sum(axis=1, keepdims=True), 1)
-    return Model(languages, np.ascontiguousarray(scores.T, dtype=np.float32), uses.T.copy())
+    number, cell, n = (found[c].to_numpy() for c in ("lang", "cell", "n"))
+    order = np.argsort(number, kind="stable")
+    edges = np.searchsorted(number[order], np.arange(len(languages) + 1))
+    scores = np.empty((1 << CELL_BITS, len(languages)), dtype=np.float32)
+    uses = np.empty((len(SCRIPTS) + 1, len(languages)), dtype=bool)
+    for i in range(len(languages)):
+        own = order[edges[i]: edges[i + 1]]
+        counts = np.zeros((1 << CELL_BITS) + len(SCRIPTS) + 1)
+        counts[cell[own]] = n[own]
+        grams, script = counts[: 1 << CELL_BITS], counts[1 << CELL_BITS:]
+        scores[:, i] = np.log((grams + SMOOTHING) / (grams.sum() + SMOOTHING * (1 << CELL_BITS)))
+        uses[:, i] = script >= SCRIPT_SHARE * max(script.sum(), 1)
+    return Model(languages, scores, uses)
 
 
 def _words(model: Model, texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -182,9 +192,10 @@ def viterbi(scores: np.ndarray, counts: np.ndarray, penalty: float) -> np.ndarra
     order = np.argsort(-counts, kind="stable")
     begins = (np.cumsum(counts) - counts)[order]
     counts = counts[order]
-    states = np.arange(scores.shape[1], dtype=np.uint8)
-    back = np.empty(scores.shape, dtype=np.uint8)
-    path = np.empty(len(scores), dtype=np.uint8)
+    state_type = np.min_scalar_type(max(scores.shape[1] - 1, 0))
+    states = np.arange(scores.shape[1], dtype=state_type)
+    back = np.empty(scores.shape, dtype=state_type)
+    path = np.empty(len(scores), dtype=state_type)
     longest = int(counts[0]) if len(counts) else 0
     active = np.searchsorted(-counts, -np.arange(longest), side="left")  # texts with more than t words
     value = np.zeros((len(counts), scores.shape[1]))

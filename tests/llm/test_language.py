@@ -107,3 +107,17 @@ def test_odd_documents(spark, model):
                 assert (r["f"]["lang"], r["f"]["score"], r["f"]["spans"]) == ("und", 0.0, [])
             else:
                 assert r["f"]["lang"] in teacher.languages and 0 <= r["f"]["score"] <= 1
+
+
+def test_every_language_is_learned(spark):
+    # 300 languages of one word each; states beyond 255 and those that few documents have count too.
+    names = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(300)]
+    words = [f"{n[0] * 3}{n[1] * 3}{n}" for n in names]
+    rows = [(10 * i + j, " ".join([w] * 30), n) for i, (n, w) in enumerate(zip(names, words)) for j in range(5 if i % 2 else 6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = L.fit(df, "doc_id", "text", "lang")
+    assert model.languages == sorted(names)
+    got = L._label(model, [" ".join([w] * 30) for w in words], L.SWITCH_PENALTY)
+    assert [g["lang"] for g in got] == names and {g["score"] for g in got} == {1.0}
+    with pytest.raises(ValueError, match="more than 299 languages"):
+        L.fit(df, "doc_id", "text", "lang", max_languages=299)
