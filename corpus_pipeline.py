@@ -14,8 +14,8 @@ from riskgrid.llm.common import table
 from riskgrid.llm.queries import POWERS
 from riskgrid.sources.workdir import materialize
 
-# Documents with a smaller share of letters in their main language are rejected: texts of several languages stay,
-# text in scripts that no learned language uses goes.
+# Documents with a smaller share of letters in learned languages, all together, are rejected: texts of several
+# languages stay, text in scripts that no learned language uses goes.
 LEAST_SCORE = 0.2
 
 
@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs, "doc_id", "text", "lang")
     found = docs.select(F.struct(*docs.columns).alias("row"),
                         language.identify(spark, model, docs["text"]).alias("found"))
-    kept = found.where((F.col("found.lang") != language.UNKNOWN) & (F.col("found.score") >= LEAST_SCORE))
+    kept = found.where((F.col("found.lang") != language.UNKNOWN) & (F.col("found.known") >= LEAST_SCORE))
     return kept.withColumn("row", F.col("row").withField("lang", F.coalesce("row.lang", "found.lang"))).select("row.*")
 
 

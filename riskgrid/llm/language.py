@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from riskgrid.llm.common import by_size, code_points
 
 UNKNOWN = "und"
-RESULT = "struct<lang: string, score: double, spans: array<struct<start: int, end: int, lang: string>>>"
+RESULT = "struct<lang: string, score: double, known: double, spans: array<struct<start: int, end: int, lang: string>>>"
 # Labelled documents that the model is fitted on, per language. A table with more languages is refused: the model
 # takes a quarter of a megabyte for each.
 DOCS_PER_LANGUAGE = 400
@@ -222,7 +222,7 @@ def _chars_at_once(limit: int, languages: int) -> int:
 
 
 def _label(model: Model, texts: list[str], penalty: float) -> list[dict]:
-    blank = {"lang": UNKNOWN, "score": 0.0, "spans": []}
+    blank = {"lang": UNKNOWN, "score": 0.0, "known": 0.0, "spans": []}
     results = [dict(blank) for _ in range(len(texts))]
     many = len(model.languages)
     if not many:
@@ -244,7 +244,8 @@ def _label(model: Model, texts: list[str], penalty: float) -> list[dict]:
     best = np.where(weight.any(axis=1), weight.argmax(axis=1), anyhow.argmax(axis=1))
     run = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (path[1:] != path[:-1])]) if len(text) else []
     for i in np.flatnonzero(every > 0):
-        results[i] = {"lang": model.languages[best[i]], "score": float(weight[i, best[i]] / every[i]), "spans": []}
+        results[i] = {"lang": model.languages[best[i]], "score": float(weight[i, best[i]] / every[i]),
+                      "known": float(weight[i].sum() / every[i]), "spans": []}
     last = np.r_[run[1:], len(text)] - 1 if len(text) else []
     for first, to in zip(run, last):
         results[text[first]]["spans"].append({"start": int(begin[first]), "end": int(end[to]),
@@ -253,14 +254,14 @@ def _label(model: Model, texts: list[str], penalty: float) -> list[dict]:
 
 
 def identify(spark: SparkSession, model: Model, text: Column, penalty: float = SWITCH_PENALTY) -> Column:
-    """The language of every whole text as a struct of ``lang``, ``score`` and ``spans``.
+    """The language of every whole text as a struct of ``lang``, ``score``, ``known`` and ``spans``.
 
     Runs of letters of one script are words. The script narrows a word's languages to those that use it;
     hashed letter trigrams score the rest. A Viterbi path with a penalty for each switch labels the words;
     ``spans`` are its stretches of one language (character positions). ``lang`` has the most letters on
     the path; ``score`` is its share of all letters, from 0 to 1, where words of a script that no language
-    uses count for none. Null texts, texts without a letter, and any text when nothing was learned are
-    ``und`` with score 0.
+    uses count for none; ``known`` is the share of all languages together. Null texts, texts without a letter, and any text when nothing was learned are
+    ``und`` with score and known 0.
     """
     handle = spark.sparkContext.broadcast(model)
 
@@ -269,6 +270,6 @@ def identify(spark: SparkSession, model: Model, text: Column, penalty: float = S
         for texts in batches:
             limit = _chars_at_once(PATH_CHARS, len(handle.value.languages))
             found = [x for group in by_size(texts, limit) for x in _label(handle.value, group, penalty)]
-            yield pd.DataFrame({k: [x[k] for x in found] for k in ("lang", "score", "spans")}, index=texts.index)
+            yield pd.DataFrame({k: [x[k] for x in found] for k in ("lang", "score", "known", "spans")}, index=texts.index)
     # Else a filter on the result makes the planner run the function again below the filter.
     return label.asNondeterministic()(text)

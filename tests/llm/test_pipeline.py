@@ -59,3 +59,13 @@ def test_stages_on_odd_documents(spark):
     assert kept == [(False, 1), (False, 1), (False, 2), (False, 6), (False, 7), (False, 9), (False, 9), (True, 0)]
     filled = P.identify_language(spark, odd_documents(spark), FOLDER).where("doc_id IS NULL").first()
     assert filled["lang"] is not None
+
+
+def test_texts_of_many_known_languages_stay(spark):
+    words = {"el": "αβγδεζηθ", "ru": "абвгдежз", "hy": "աբգդեզէը", "he": "אבגדהוזח", "ar": "ابتثجحخد", "hi": "कखगघचछजझ",
+             "th": "กขคงจฉชซ", "ka": "აბგდევზთ"}
+    rows = [(10 * i + j, " ".join([w] * 20), n) for i, (n, w) in enumerate(words.items()) for j in range(8)]
+    rows += [(1001, " ".join(" ".join([w] * 5) for w in words.values()), "ru"), (1002, "가나다라마바사아 " * 20 + "абвгдежз", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    kept = {r["doc_id"] for r in P.identify_language(spark, df, FOLDER).collect()}
+    assert kept == {r[0] for r in rows} - {1002}
