@@ -210,12 +210,27 @@ def _group_hits(index: Index, seen: np.ndarray, texts: list[str]) -> list[list[d
     whole = sizes[text] - 1 + index.budgets[items] >= np.repeat(lengths, many)
     text, items, starts = text[whole], items[whole], starts[whole]
     found = []
-    step = max(1, CELLS // (width + 3 * int(index.budgets.max()) + 1))
-    for at in range(0, len(items), step):
-        s = slice(at, at + step)
-        got = _aligned(index, items[s], starts[s], points, begins[text[s]], ends[text[s]], width)
-        good = got[:, 0] <= index.budgets[items[s]]
-        found += list(zip(text[s][good], items[s][good], *got[good].T))
+    budget = int(index.budgets.max())
+    band = width + 3 * budget + 1
+    step = max(1, CELLS // band)
+    lows, highs = begins[text], ends[text]
+    # An alignment gives one range of its band: the band is aligned again left and right of it while there is room.
+    while len(items):
+        left = []
+        for at in range(0, len(items), step):
+            s = slice(at, at + step)
+            got = _aligned(index, items[s], starts[s], points, lows[s], highs[s], width)
+            good = got[:, 0] <= index.budgets[items[s]]
+            t, i, start, low, high = (x[s][good] for x in (text, items, starts, lows, highs))
+            edits, first, end = got[good].T
+            found += list(zip(t, i, edits, first, end))
+            size = np.array([len(index.items[x]) for x in i], dtype=np.int64)
+            least = np.maximum(size - index.budgets[i], 1)
+            before = first - np.maximum(low, start - budget) >= least
+            after = np.minimum(high, start - budget + band + size) - end >= least
+            left += [(t[before], i[before], start[before], low[before], first[before]),
+                     (t[after], i[after], start[after], end[after], high[after])]
+        text, items, starts, lows, highs = (np.concatenate(x) for x in zip(*left))
     taken: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for t, i, edits, start, end in sorted(found, key=lambda x: (x[0], x[1], x[2], x[3])):
         held = taken.setdefault((t, i), [])

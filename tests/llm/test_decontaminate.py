@@ -148,6 +148,19 @@ def test_null_texts_beside_items_of_the_same_id(spark):
     assert D.clean_documents(df, "text", items, "item_id", "text").count() == df.count() - 1
 
 
+def test_repeats_beside_a_long_item():
+    rng = random.Random(21)
+    short, long = ("".join(rng.choices("abcdefghij klmnop", k=n)).replace(" ", "x") for n in (100, 5000))
+    index = D.Index.build([(1, short), (2, long)], D.GRAM, D.EDIT_RATE)
+    worse = short[:50] + "zz" + short[52:]
+    text = f"begin {worse} and {short} and {worse} then {short} end"
+    got = D._group_hits(index, index.filter_table(), ["other", text])
+    wanted = [text.index(worse), text.index(short), text.rindex(worse), text.rindex(short)]
+    assert got[0] == [] and {h["item_id"] for h in got[1]} == {1}
+    assert sorted(h["start"] for h in got[1]) == wanted
+    assert [h["edits"] for h in sorted(got[1], key=lambda h: h["start"])] == [2, 0, 2, 0]
+
+
 def test_folding():
     points, kept = D.folded(D.code_points("A \t\nB\x00É"))
     assert "".join(map(chr, points)) == "a b\x00é" and kept.tolist() == [0, 1, 4, 5, 6]
