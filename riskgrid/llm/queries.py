@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import (chat, chunks, decontaminate, hamming, language, licenses, mixing, sharding, simhash,
-                          token_counts)
+from riskgrid.llm import (chat, chunks, decontaminate, hamming, language, licenses, mixing, packing, ranked, repair,
+                          sharding, simhash, token_counts)
 from riskgrid.llm.common import table
-from riskgrid.sources.workdir import shared_path
+from riskgrid.sources.workdir import materialize, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -231,12 +231,59 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "tokens")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "benchmark"),
+                          "item_id", "text")
+    return found.withColumnRenamed("query_id", "item_id")
+
+
+_TERMS_SQL = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+SQL_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERMS_SQL} AS words FROM documents),
+s AS (SELECT count(*) AS all_docs, sum(len(words)) AS all_words FROM d WHERE len(words) > 0),
+p AS (
+  SELECT row, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf
+  FROM (SELECT row, doc_id, len(words) AS n, unnest(words) AS term FROM d) GROUP BY row, term
+), g AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(all_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM p, s GROUP BY term
+), q AS (
+  SELECT DISTINCT item, item_id, unnest(words) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, {_TERMS_SQL} AS words FROM benchmark)
+), x AS (
+  SELECT item, any_value(item_id) AS item_id, row, any_value(doc_id) AS doc_id,
+         sum(weight * (({ranked.SCALE} * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * all_docs) // all_words)))) AS score
+  FROM q JOIN p USING (term) JOIN g USING (term), s GROUP BY item, row
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM r WHERE rank <= {ranked.TOP}
+"""
+
+
+def op12_packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    pieces = packing.encode_pieces(table(spark, sf_dir, "documents"), "text", ["doc_id"],
+                                   public_tokenizers.path("byte_bpe_50k.json"))
+    # Only the checksums of the ids are reported, so the ids are not written.
+    narrow = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "piece-lengths")
+    return packing.pack(narrow)
+
+
+def op13_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = repair.damage(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    return repair.repair(turns).withColumnRenamed("conversation", "conv_id")
+
+
 def all_queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_hamming_top_k, op2_token_counts, op3_benchmark_leaks, op4_simhash_groups, op5_mix_sources,
-        op6_language_spans, op7_preferences, op8_repeated_spans, op9_license_scan, op10_balanced_shards)}
+        op6_language_spans, op7_preferences, op8_repeated_spans, op9_license_scan, op10_balanced_shards, op11_ranked_search,
+        op12_packed_sequences, op13_repaired_conversations)}
 
 
 def all_sql() -> dict[str, str]:
     return {"op1_hamming_top_k": SQL_OP1, "op5_mix_sources": SQL_OP5, "op7_preferences": SQL_OP7,
-            "op9_license_scan": SQL_OP9}
+            "op9_license_scan": SQL_OP9, "op11_ranked_search": SQL_OP11}

@@ -22,7 +22,7 @@ def test_sql(spark, name, scale):
 
 def test_registered():
     from __spark_entry__ import oracle_sql, queries
-    assert {f"op{n}" for n in range(1, 11)} <= {x.split("_")[0] for x in queries()}
+    assert {f"op{n}" for n in range(1, 14)} <= {x.split("_")[0] for x in queries()}
     assert "pipeline" in queries()
     assert set(all_sql()) <= set(oracle_sql())
 
@@ -36,7 +36,13 @@ def test_contract_columns(spark):
         "op9_license_scan": {"doc_id": "bigint", "n_words": "bigint", "n_base": "bigint", "first_word": "bigint",
                              "last_word": "bigint", "base_labels": "string", "labels": "string", "score": "double"},
         "op10_balanced_shards": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string",
-                                 "shard": "int", "slot": "bigint", "grown_shard": "int"}}
+                                 "shard": "int", "slot": "bigint", "grown_shard": "int"},
+        "op11_ranked_search": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+        "op12_packed_sequences": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint",
+                                  "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+        "op13_repaired_conversations": {
+            "conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint",
+            "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"}}
     for name, columns in wanted.items():
         types = dict(all_queries()[name](spark, folder).dtypes)
         assert columns.items() <= types.items(), name
