@@ -1,21 +1,25 @@
 """Boosting with a loss given as column expressions.
 
-Each round grows one MLlib tree on the current gradient, sets the value of every leaf by the loss's
-own rule and adds it to the running prediction. The loss stays a pair of expressions, so rounds run
-inside generated code.
+Each round grows one second-order tree on the current gradient and hessian and adds its leaf values to the running
+prediction; a quantile loss sets the leaf values by its own rule. The loss stays a pair of expressions, so it
+runs inside generated code.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskgrid.functions import hash_uniform
+from riskgrid.operators.growing import Growth, bin_edges, bin_matrix, binned, grow, on_bins
+from riskgrid.operators.packed import Ensemble, Packed, Tree
 from riskgrid.operators.quantiles import exact_quantiles
 from riskgrid.sources.workdir import materialize
 
@@ -32,7 +36,6 @@ class Loss:
     gradient: Expression
     hessian: Expression
     alpha: float | None = None
-    newton_target: bool = True
 
 
 def squared_loss() -> Loss:
@@ -62,103 +65,66 @@ def smooth_quantile_loss(alpha: float, delta: float = 1.0, threshold: float = 1.
         inner = F.when((x >= low) & (x < high), F.lit(1.0 / delta)).otherwise(F.lit(0.0))
         return F.when(F.abs(x) < threshold, inner).otherwise(F.lit(1.0)) if randomised else inner
 
-    return Loss(gradient, hessian, newton_target=False)
+    return Loss(gradient, hessian)
 
 
 @dataclass(frozen=True)
 class BoostSettings:
-    """Settings of a run. ``l1``, ``l2`` penalise leaf values; the tree is grown on the gradient's
-    variance, which for squared loss is the unpenalised second-order gain."""
+    """Settings of a run; those of a tree are explained at :class:`riskgrid.operators.growing.Growth`."""
 
     rounds: int = 100
     depth: int = 4
     rate: float = 0.1
     subsample: float = 1.0
     min_leaf: int = 1
+    min_child: float = 0.0
     min_gain: float = 0.0
     l1: float = 0.0
     l2: float = 0.0
+    max_step: float = 0.0
+    by_tree: float = 1.0
+    by_level: float = 1.0
+    by_node: float = 1.0
     seed: int = 123
 
-
-@dataclass(frozen=True)
-class BoostModel:
-    """Base value, trees, leaf values and the error log of the fit."""
-
-    base: float
-    rate: float
-    trees: tuple[DecisionTreeRegressionModel, ...]
-    leaves: tuple[tuple[float, ...], ...]
-    log: tuple[tuple[int, str, float], ...] = field(default=())
-
-    def transform(self, df: DataFrame, name: str = "yhat", rounds: int | None = None) -> DataFrame:
-        """Add the prediction of the first ``rounds`` trees (all by default)."""
-        used = list(zip(self.trees, self.leaves))[:rounds]
-        out = df.withColumn(name, F.lit(self.base))
-        for tree, values in used:
-            out = _add_tree(out, tree, values, self.rate, name)
-        return out
-
-    def eval_log(self, spark: SparkSession) -> DataFrame:
-        """``round, split, rmse`` as recorded during the fit."""
-        return spark.createDataFrame(list(self.log), "round INT, split STRING, rmse DOUBLE")
-
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Trees as MLlib folders, leaf values and the log as tables."""
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i:05d}")
-        spark.createDataFrame([(i, list(v)) for i, v in enumerate(self.leaves)],
-                              "tree INT, leaves ARRAY<DOUBLE>").write.mode("overwrite").parquet(f"{path}/leaves")
-        spark.createDataFrame([(self.base, self.rate)], "base DOUBLE, rate DOUBLE").write.mode(
-            "overwrite").parquet(f"{path}/head")
-        self.eval_log(spark).write.mode("overwrite").parquet(f"{path}/log")
-
-    @staticmethod
-    def load(spark: SparkSession, path: str) -> BoostModel:
-        head = spark.read.parquet(f"{path}/head").first()
-        leaves = [tuple(r["leaves"]) for r in spark.read.parquet(f"{path}/leaves").orderBy("tree").collect()]
-        trees = tuple(DecisionTreeRegressionModel.load(f"{path}/tree-{i:05d}") for i in range(len(leaves)))
-        log = tuple(tuple(r) for r in spark.read.parquet(f"{path}/log").orderBy("round", "split").collect())
-        return BoostModel(head["base"], head["rate"], trees, tuple(leaves), log)
-
-
-def _add_tree(df: DataFrame, tree: DecisionTreeRegressionModel, values: Sequence[float], rate: float,
-              name: str) -> DataFrame:
-    step = F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(LEAF).cast("int"))
-    return (tree.transform(df).withColumn(name, F.col(name) + F.lit(rate) * step)
-            .drop(LEAF, tree.getPredictionCol()))
+    def growth(self) -> Growth:
+        return Growth(self.depth, self.min_leaf, self.min_child, self.min_gain, self.l1, self.l2, self.max_step,
+                      self.by_tree, self.by_level, self.by_node, self.seed)
 
 
 def boost_fit(df: DataFrame, label: str, loss: Loss, settings: BoostSettings, keys: Sequence[str],
-              base: float | None = None, split: str | None = None, features: str = "features") -> BoostModel:
+              base: float | None = None, split: str | None = None, features: str = "features") -> Ensemble:
     """Fit on the rows with ``split = 'train'`` (all rows without a split column) and log the RMSE of
     every split after each round.
 
-    The running prediction is cached per round and written to the shared folder every few
-    rounds, so the plan does not grow with the rounds and a lost executor costs a few of them.
+    Features are binned once. A round grows a tree on gradient and hessian with one aggregation per level, and adds
+    its leaf values to the running prediction, in the pass that also takes the errors. The running prediction is
+    cached per round and written to the shared folder every few rounds, so the plan does not grow with the
+    rounds and a lost executor costs a few of them.
     """
     part = F.col(split) if split else F.lit("train")
     rows = materialize(
         df.select(*keys, features, F.col(label).cast("double").alias("_y"), part.alias("_split")), "boost")
+    train = rows.where("_split = 'train'")
     total = rows.count()
+    edges = bin_edges(train, features)
     if base is None:
-        base = _base_value(rows.where("_split = 'train'"), loss, total)
-    current = rows.withColumn(RUNNING, F.lit(float(base))).persist(StorageLevel.MEMORY_AND_DISK)
-    trees, leaves, log = [], [], []
+        base = _base_value(train, loss, total)
+    current = materialize(binned(rows, edges, features).drop(features).withColumn(RUNNING, F.lit(float(base))), "boost")
+    growth = settings.growth()
+    trees, log = [], []
     for number in range(settings.rounds):
         sign = F.when(hash_uniform(keys, settings.seed + 7919 * (number + 1)) < 0.5, -1.0).otherwise(1.0)
         y, f = F.col("_y"), F.col(RUNNING)
         seen = current.where("_split = 'train'")
         if settings.subsample < 1.0:
             seen = seen.where(hash_uniform(keys, settings.seed + number) < settings.subsample)
-        seen = seen.select(features, "_y", RUNNING, loss.gradient(y, f, sign).alias("_g"),
-                           loss.hessian(y, f, sign).alias("_h"))
-        tree = DecisionTreeRegressor(
-            featuresCol=features, labelCol="_target", predictionCol="_tree", weightCol="_w",
-            maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf, minInfoGain=settings.min_gain,
-            seed=settings.seed + number, leafCol=LEAF).fit(_target(seen, loss))
-        values = _leaf_steps(tree.transform(seen), tree, loss, settings, total)
-        updated = _add_tree(current, tree, values, settings.rate, RUNNING)
+        sums = seen.select("_b", F.array(loss.gradient(y, f, sign)).alias("_g"),
+                           F.array(loss.hessian(y, f, sign).cast("double")).alias("_h"), F.array(F.lit(1.0)).alias("_n"))
+        tree = grow(sums, edges, growth, first_tree=number)[0]
+        if loss.alpha is not None:
+            tree = tree.with_values(_leaf_quantiles(seen, tree, edges, loss.alpha, total))
+        updated = current.withColumn(RUNNING, F.col(RUNNING) + F.lit(settings.rate) * _step(current, tree, edges)("_b"))
         if (number + 1) % CHECKPOINT_EVERY == 0:
             updated = materialize(updated, "boost")
         updated = updated.persist(StorageLevel.MEMORY_AND_DISK)
@@ -167,10 +133,9 @@ def boost_fit(df: DataFrame, label: str, loss: Loss, settings: BoostSettings, ke
         current.unpersist()
         current = updated
         trees.append(tree)
-        leaves.append(values)
         log.extend((number + 1, e["_split"], e["e"]) for e in sorted(errors, key=lambda e: e["_split"]))
     current.unpersist()
-    return BoostModel(float(base), settings.rate, tuple(trees), tuple(leaves), tuple(log))
+    return Ensemble(tuple(trees), float(base), settings.rate, log=tuple(log))
 
 
 def _base_value(train: DataFrame, loss: Loss, total: int) -> float:
@@ -179,48 +144,43 @@ def _base_value(train: DataFrame, loss: Loss, total: int) -> float:
     return exact_quantiles(train, "_y", [loss.alpha], total_rows=total).first()["q0"]
 
 
-def _target(seen: DataFrame, loss: Loss) -> DataFrame:
-    """Second-order target -g/h with weight h; -g with weight 1 where the hessian can vanish."""
-    if loss.newton_target:
-        return seen.withColumns({"_target": -F.col("_g") / F.col("_h"), "_w": F.col("_h")})
-    return seen.withColumns({"_target": -F.col("_g"), "_w": F.lit(1.0)})
+def _step(df: DataFrame, tree: Tree, edges: Sequence[np.ndarray], leaf: bool = False):
+    """A column function of the bins: the value of the leaf a row falls into, or its number."""
+    shipped = df.sparkSession.sparkContext.broadcast(Packed([on_bins(tree, edges)]))
+    count = len(edges)
 
+    @F.pandas_udf(T.IntegerType() if leaf else T.DoubleType())
+    def step(bins: pd.Series) -> pd.Series:
+        packed = shipped.value
+        for _, node in packed.walk(bin_matrix(bins, count)):
+            return pd.Series((packed.leaf if leaf else packed.value)[node[:, 0]])
 
-def _leaf_steps(leafed: DataFrame, tree: DecisionTreeRegressionModel, loss: Loss,
-                settings: BoostSettings, total: int) -> tuple[float, ...]:
-    """Value of each leaf, 0 for a leaf without rows. One row per leaf comes to the driver."""
-    count = (tree.numNodes + 1) // 2
-    if loss.alpha is not None:
-        found = exact_quantiles(leafed, F.col("_y") - F.col(RUNNING), [loss.alpha], by=[LEAF],
-                                total_rows=total)
-        steps = {int(r[LEAF]): r["q0"] for r in found.collect()}
-    else:
-        sums = leafed.groupBy(LEAF).agg(F.sum("_g").alias("g"), F.sum("_h").alias("h")).collect()
-        steps = {int(r[LEAF]): leaf_weight(r["g"], r["h"], settings.l1, settings.l2) for r in sums}
-    return tuple(float(steps.get(i, 0.0)) for i in range(count))
+    return step
 
 
-def leaf_weight(g: float, h: float, l1: float = 0.0, l2: float = 0.0) -> float:
-    """-g / (h + l2) with g shrunk towards 0 by l1."""
-    shrunk = max(abs(g) - l1, 0.0) * (1 if g > 0 else -1)
-    return -shrunk / (h + l2) if h + l2 > 0 else 0.0
+def _leaf_quantiles(seen: DataFrame, tree: Tree, edges: Sequence[np.ndarray], alpha: float, total: int) -> list[float]:
+    """The quantile of the residuals in each leaf. One row per leaf comes to the driver."""
+    leafed = seen.withColumn(LEAF, _step(seen, tree, edges, leaf=True)("_b"))
+    found = exact_quantiles(leafed, F.col("_y") - F.col(RUNNING), [alpha], by=[LEAF], total_rows=total)
+    steps = {int(r[LEAF]): r["q0"] for r in found.collect()}
+    return [float(steps.get(i, 0.0)) for i in range(len(tree.leaves))]
 
 
 def quantile_boost_fit(df: DataFrame, label: str, alpha: float, settings: BoostSettings,
-                       keys: Sequence[str], **options) -> BoostModel:
+                       keys: Sequence[str], **options) -> Ensemble:
     """Boosted trees under quantile loss."""
     return boost_fit(df, label, quantile_loss(alpha), settings, keys, **options)
 
 
 def newton_boost_fit(df: DataFrame, label: str, settings: BoostSettings, keys: Sequence[str],
-                     base: float = 0.5, **options) -> BoostModel:
+                     base: float = 0.5, **options) -> Ensemble:
     """Second-order boosting under squared loss, starting from a constant."""
     return boost_fit(df, label, squared_loss(), settings, keys, base=base, **options)
 
 
 def smooth_quantile_boost(df: DataFrame, label: str, alpha: float, settings: BoostSettings,
                           keys: Sequence[str], delta: float = 1.0, threshold: float = 1.0,
-                          var: float = 1.0, base: float = 0.5, **options) -> BoostModel:
+                          var: float = 1.0, base: float = 0.5, **options) -> Ensemble:
     """Second-order boosting under the smoothed quantile loss."""
     loss = smooth_quantile_loss(alpha, delta, threshold, var)
     return boost_fit(df, label, loss, settings, keys, base=base, **options)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions import row_hash
 from riskgrid.operators.aggregates import running_share
+from riskgrid.operators.packed import Ensemble, Tree, pack
 from riskgrid.operators.quantiles import exact_quantiles
 from riskgrid.operators.ranking import hash_rank
 from riskgrid.operators.split import sample_n
@@ -20,22 +21,31 @@ Scorer = Callable[[DataFrame], DataFrame]  # adds the column `yhat` to a table w
 
 
 def impurity_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
-    """``name, importance, std``: ensemble importance and its sd over the trees."""
-    per_tree = np.array([tree.featureImportances.toArray() for tree in model.trees])
-    total = model.featureImportances.toArray()
+    """``name, importance, std``: gain of the splits on a feature as a share of its tree's, mean and sd over the trees."""
+    if isinstance(model, Ensemble):
+        per_tree = np.zeros((len(model), len(names)))
+        for i, tree in enumerate(model.trees):
+            inner = tree.left >= 0
+            np.add.at(per_tree[i], tree.feature[inner], tree.gain[inner])
+        per_tree /= np.maximum(per_tree.sum(axis=1, keepdims=True), 1e-300)
+        total = per_tree.mean(axis=0)
+        total = total / max(total.sum(), 1e-300)
+    else:
+        per_tree = np.array([tree.featureImportances.toArray() for tree in model.trees])
+        total = model.featureImportances.toArray()
     return spark.createDataFrame(
         [(n, float(total[i]), float(per_tree[:, i].std())) for i, n in enumerate(names)],
         "name STRING, importance DOUBLE, std DOUBLE")
 
 
 def gain_importance(spark: SparkSession, model, names: Sequence[str]) -> DataFrame:
-    """``name, importance, splits``: average gain over the splits that use a feature; 0 if unused."""
+    """``name, importance, splits, cover``: average gain and cover over the splits that use a feature; 0 if unused."""
     labels = spark.createDataFrame(list(enumerate(names)), "feature INT, name STRING")
     gains = node_table(spark, model).where("NOT is_leaf").groupBy("feature").agg(
-        F.avg("gain").alias("importance"), F.count(F.lit(1)).alias("splits"))
+        F.avg("gain").alias("importance"), F.count(F.lit(1)).alias("splits"), F.avg("cover").alias("cover"))
     return labels.join(gains, "feature", "left").select(
         "name", F.coalesce("importance", F.lit(0.0)).alias("importance"),
-        F.coalesce("splits", F.lit(0)).alias("splits"))
+        F.coalesce("splits", F.lit(0)).alias("splits"), F.coalesce("cover", F.lit(0.0)).alias("cover"))
 
 
 def order_importance(importance: DataFrame) -> DataFrame:
@@ -139,6 +149,40 @@ def partial_dependence(df: DataFrame, scorer: Scorer, names: Sequence[str], feat
             .agg(F.avg("yhat").alias("mean")))
 
 
+def node_dependence(tree: Tree, feature: int, grid: np.ndarray) -> np.ndarray:
+    """Output of a tree for every value of one feature, the others averaged by the rows of the nodes they lead to."""
+    weight = np.zeros((len(tree), len(grid)))
+    weight[0] = 1.0
+    for node in np.flatnonzero(tree.left >= 0):  # children come after their parents
+        a, b = tree.left[node], tree.right[node]
+        if tree.feature[node] == feature:
+            goes_left = (np.isin(grid, tree.categories[node]) if node in tree.categories else grid <= tree.threshold[node])
+            share = goes_left.astype(float)
+        else:
+            share = tree.cover[a] / max(tree.cover[a] + tree.cover[b], 1e-300)
+        weight[a], weight[b] = weight[node] * share, weight[node] * (1 - share)
+    return tree.value[tree.leaves] @ weight[tree.leaves]
+
+
+def dependence_by_nodes(df: DataFrame, model, names: Sequence[str], features: Sequence[str],
+                        points: int = 100) -> DataFrame:
+    """Mean prediction as one feature sweeps its grid, from the trees alone: ``name, grid_index, grid_value, mean``.
+
+    A split on another feature is followed both ways by the cover of its children, so no row is scored: the work
+    is nodes x grid values. It is the mean over the training rows as each tree's splits see them, which equals
+    :func:`partial_dependence` on the training rows for trees whose splits on other features are independent of the
+    feature (one split per tree, for instance) and is the usual approximation otherwise.
+    """
+    spark = df.sparkSession
+    packed = pack(spark, model)
+    scale = packed.rate / len(packed) if packed.mean else packed.rate
+    rows = []
+    for j, grid in _grids(df, names, features, points).items():
+        mean = packed.base + scale * sum(node_dependence(t, j, np.asarray(grid)) for t in packed.trees)
+        rows += [(names[j], i, float(v), float(m)) for i, (v, m) in enumerate(zip(grid, mean))]
+    return spark.createDataFrame(rows, "name STRING, grid_index INT, grid_value DOUBLE, mean DOUBLE")
+
+
 def ice_curves(df: DataFrame, scorer: Scorer, names: Sequence[str], features: Sequence[str],
                keys: Sequence[str], n: int = 100, points: int = 100, seed: int = 1) -> DataFrame:
     """One curve per sampled row: ``keys.., name, grid_index, grid_value, yhat``."""

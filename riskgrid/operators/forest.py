@@ -1,37 +1,85 @@
-"""Random forests and MLlib gradient boosting, with their error curves."""
+"""Random forests and gradient boosting, with their error curves."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from dataclasses import replace
 
-from pyspark.ml.regression import (
-    GBTRegressionModel,
-    GBTRegressor,
-    RandomForestRegressionModel,
-    RandomForestRegressor,
-)
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskgrid.functions import hash_uniform, poisson_one
+from riskgrid.operators.growing import LOCAL_ROWS, Growth, bin_edges, binned, grow
+from riskgrid.operators.packed import Ensemble
 from riskgrid.operators.trees import prefix_sums, r2_of_sums
+from riskgrid.sources.workdir import materialize
 
 MAX_DEPTH = 30  # deepest tree MLlib grows
+# Trees that are grown side by side, in the same passes over the rows.
+AT_ONCE = 16
 
 # Tuned parameters of the full runs.
 FOREST_PARAMETERS = {"trees": 180, "min_leaf": 1, "subset": "sqrt", "depth": 40}
 BOOST_PARAMETERS = {"rounds": 180, "depth": 4, "rate": 0.05, "subsample": 0.5, "min_leaf": 15}
 
 
-def rf_estimator(label: str, trees: int = 180, depth: int = 40, min_leaf: int = 1, subset: str = "sqrt",
+def rf_estimator(label: str, trees: int = 180, depth: int = 30, min_leaf: int = 1, subset: str = "sqrt",
                  seed: int = 123, features: str = "features") -> RandomForestRegressor:
+    """MLlib's forest, for the parameter search; it grows no deeper than 30."""
+    if depth > MAX_DEPTH:
+        raise ValueError(f"depth {depth} is beyond the estimator's {MAX_DEPTH}; rf_fit grows any depth")
     return RandomForestRegressor(
         featuresCol=features, labelCol=label, predictionCol="yhat", numTrees=trees,
-        maxDepth=min(depth, MAX_DEPTH), minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed)
+        maxDepth=depth, minInstancesPerNode=min_leaf, featureSubsetStrategy=subset, seed=seed)
 
 
-def rf_fit(train: DataFrame, label: str, **parameters) -> RandomForestRegressionModel:
-    """Bagged trees. Depths beyond 30 are grown to 30."""
-    return rf_estimator(label, **parameters).fit(train)
+def share_of_features(subset: str | float, count: int) -> float:
+    """The share of features tried at a node: ``all``, ``sqrt``, ``log2``, ``onethird`` or a number."""
+    named = {"all": 1.0, "sqrt": math.sqrt(count) / count, "log2": max(math.log2(count), 1) / count, "onethird": 1 / 3}
+    return named[subset] if isinstance(subset, str) else float(subset)
+
+
+def bag_weights(keys: Sequence[str], trees: int, seed: int, first: int = 0) -> Column:
+    """Array of the row's weight in each tree, from a hash of its key: the same on every run."""
+    return F.transform(F.sequence(F.lit(first), F.lit(first + trees - 1)),
+                       lambda b: poisson_one(hash_uniform(keys, b + F.lit(seed))))
+
+
+def grow_bag(rows: DataFrame, label: str, trees: int, weights: Callable[[int, int], Column], growth: Growth,
+             subset: str | float = "all", features: str = "features", local_rows: int = LOCAL_ROWS) -> Ensemble:
+    """Trees of least squares on weighted copies of the rows: ``weights(first, n)`` gives a row's copies in n trees.
+
+    Some trees share their passes over the rows. Nodes of up to ``local_rows`` rows are finished on exact values.
+    """
+    table = rows.withColumn("_y", F.col(label).cast("double"))
+    edges = bin_edges(table, features)
+    growth = replace(growth, by_node=share_of_features(subset, len(edges)))
+    table = materialize(binned(table, edges, features), "bag")
+    grown = []
+    for first in range(0, trees, AT_ONCE):
+        n = min(AT_ONCE, trees - first)
+        part = table.withColumn("_n", weights(first, n)).select(
+            features, "_b", F.transform("_n", lambda w: -w * F.col("_y")).alias("_g"), F.col("_n").alias("_h"), "_n")
+        grown += grow(part, edges, growth, n, first, local_rows, features)
+    return Ensemble(tuple(grown), mean=True)
+
+
+def rf_fit(train: DataFrame, label: str, trees: int = 180, depth: int = 40, min_leaf: int = 1,
+           subset: str | float = "sqrt", seed: int = 123, features: str = "features", bootstrap: bool = True,
+           local_rows: int = LOCAL_ROWS) -> Ensemble:
+    """A forest of any depth. Rows are drawn with Poisson(1) copies by a hash of their number in the written table.
+
+    Large nodes are split on histograms, a level of all trees at a time; nodes of at most ``local_rows`` rows are
+    shuffled to tasks and finished there on exact values. A large node that no histogram cut improves is a leaf.
+    """
+    rows = materialize(train.select(features, label).withColumn("_id", F.monotonically_increasing_id()), "forest")
+
+    def weights(first: int, n: int) -> Column:
+        return bag_weights(["_id"], n, seed, first) if bootstrap else F.array_repeat(F.lit(1.0), n)
+
+    return grow_bag(rows, label, trees, weights, Growth(depth, min_leaf, seed=seed), subset, features, local_rows)
 
 
 def gbt_estimator(label: str, rounds: int = 180, depth: int = 4, rate: float = 0.05, subsample: float = 0.5,
@@ -48,7 +96,7 @@ def gbt_fit(train: DataFrame, label: str, **parameters) -> GBTRegressionModel:
     return gbt_estimator(label, **parameters).fit(train)
 
 
-def mse_by_trees(model: RandomForestRegressionModel, df: DataFrame, label: str, sizes: Sequence[int],
+def mse_by_trees(model: Ensemble, df: DataFrame, label: str, sizes: Sequence[int],
                  by: str = "split") -> DataFrame:
     """MSE per split for the first s trees. Trees are independent, so the first s trees are a forest
     of size s, and nothing is fitted again."""

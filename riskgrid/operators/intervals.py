@@ -3,30 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from multiprocessing.pool import ThreadPool
+from dataclasses import replace
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel,
-    DecisionTreeRegressor,
-    RandomForestRegressionModel,
-)
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
-from riskgrid.functions import hash_uniform, percentile_of_sorted, poisson_one
 from riskgrid.operators.boost import (
-    BoostModel,
     BoostSettings,
+    boost_fit,
     quantile_boost_fit,
     smooth_quantile_boost,
+    squared_loss,
 )
-from riskgrid.operators.forest import gbt_estimator
+from riskgrid.operators.forest import bag_weights, grow_bag
+from riskgrid.operators.growing import Growth
+from riskgrid.operators.packed import Ensemble, Packed, matrix, pack, tree_outputs
 from riskgrid.operators.quantiles import quantile_arrays
-from riskgrid.operators.trees import LEAF, TreeOutputs, leaf_numbers, leaf_values
+from riskgrid.operators.trees import LEAF, leaf_numbers
+from riskgrid.sources.workdir import materialize
 
 
 def ordered(df: DataFrame, level: float) -> DataFrame:
@@ -35,24 +33,23 @@ def ordered(df: DataFrame, level: float) -> DataFrame:
                            "level": F.lit(level)})
 
 
-def forest_percentile_interval(model: RandomForestRegressionModel, df: DataFrame,
-                               level: float = 0.95) -> DataFrame:
-    """Percentiles over the predictions of the single trees."""
+def forest_percentile_interval(model, df: DataFrame, level: float = 0.95) -> DataFrame:
+    """Percentiles over the predictions of the single trees, and their mean, in one scoring pass."""
     spark = df.sparkSession
-    outputs = spark.sparkContext.broadcast(TreeOutputs(leaf_values(spark, model)))
+    shipped = spark.sparkContext.broadcast(Packed(pack(spark, model).trees))
     ends = [50 * (1 - level), 100 - 50 * (1 - level)]
 
-    @F.pandas_udf("lower double, upper double")
-    def bounds(leaves: pd.Series) -> pd.DataFrame:
-        low, high = np.percentile(outputs.value(leaves), ends, axis=1)
-        return pd.DataFrame({"lower": low, "upper": high})
+    @F.pandas_udf("lower double, upper double, yhat double")
+    def bounds(rows: pd.Series) -> pd.DataFrame:
+        outputs = tree_outputs(shipped.value, matrix(rows))
+        low, high = np.percentile(outputs, ends, axis=1)
+        return pd.DataFrame({"lower": low, "upper": high, "yhat": outputs.mean(axis=1)})
 
-    scored = leaf_numbers(model, df).withColumn("_b", bounds(LEAF))
-    return ordered(scored.withColumns({"lower": F.col("_b.lower"), "upper": F.col("_b.upper")}),
-                   level).drop("_b", LEAF)
+    scored = df.withColumn("_b", bounds(vector_to_array("features")))
+    return ordered(scored.withColumns({c: F.col(f"_b.{c}") for c in ("lower", "upper", "yhat")}), level).drop("_b")
 
 
-def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame, df: DataFrame, label: str,
+def leaf_quantile_interval(model, train: DataFrame, df: DataFrame, label: str,
                            keys: Sequence[str], level: float = 0.95, bins: int = 200,
                            in_memory_cells: int = 5_000_000) -> DataFrame:
     """Percentiles of the training responses pooled over the leaves a row falls into.
@@ -63,6 +60,7 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
     joined by (tree, leaf) beyond that.
     """
     spark = df.sparkSession
+    model = pack(spark, model)
     cuts = quantile_arrays(train, label, [i / bins for i in range(bins + 1)]).first()
     edges = np.unique(cuts["q"])
     if len(edges) == 1:
@@ -77,7 +75,8 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
     counts = (leaf_numbers(model, train)
               .select(bin_of(F.col(label)).alias("bin"), F.posexplode(LEAF).alias("tree", "leaf"))
               .groupBy("tree", F.col("leaf").cast("int").alias("leaf"), "bin").count())
-    leaves = sum((tree.numNodes + 1) // 2 for tree in model.trees)
+    sizes = [len(tree.leaves) for tree in model.trees]
+    leaves = sum(sizes)
     target = leaf_numbers(model, df)
 
     def bounds_of(shares: np.ndarray) -> np.ndarray:
@@ -85,7 +84,7 @@ def leaf_quantile_interval(model: RandomForestRegressionModel, train: DataFrame,
 
     if leaves * width <= in_memory_cells:
         local = counts.toPandas()
-        starts = np.concatenate([[0], np.cumsum([(t.numNodes + 1) // 2 for t in model.trees])[:-1]])
+        starts = np.cumsum(sizes) - sizes
         table = np.zeros((leaves, width))
         table[starts[local["tree"]] + local["leaf"], local["bin"]] = local["count"]
         table /= np.maximum(table.sum(axis=1, keepdims=True), 1)
@@ -143,32 +142,18 @@ def _inverse_of_shares(shares: np.ndarray, edges: np.ndarray, p: float) -> np.nd
 class Bag:
     """Trees fitted on Poisson(1) row weights, and the Gram matrix of those weights."""
 
-    def __init__(self, trees: list[DecisionTreeRegressionModel], gram: np.ndarray, n: int):
-        self.trees, self.gram, self.n = trees, gram, n
-
-
-def bag_weights(keys: Sequence[str], trees: int, seed: int):
-    """Array of the row's weight in each tree, from a hash of its key: the same on every run."""
-    return F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                       lambda b: poisson_one(hash_uniform(keys, b + F.lit(seed))))
+    def __init__(self, model: Ensemble, gram: np.ndarray, n: int):
+        self.model, self.gram, self.n = model, gram, n
 
 
 def bag_fit(train: DataFrame, label: str, keys: Sequence[str], trees: int = 50, depth: int = 10,
-            min_leaf: int = 1, seed: int = 123, features: str = "features", parallelism: int = 4) -> Bag:
-    """Bagged trees with known in-bag counts."""
-    weighted = train.select(*keys, features, label, bag_weights(keys, trees, seed).alias("_n")).persist()
-    gram, n = in_bag_gram(weighted, trees)  # fills the cache
-
-    def fit_tree(b: int) -> DecisionTreeRegressionModel:
-        drawn = weighted.select(features, label, F.get("_n", F.lit(b)).alias("_w")).where("_w > 0")
-        return DecisionTreeRegressor(
-            featuresCol=features, labelCol=label, weightCol="_w", predictionCol=f"_t{b}", maxDepth=depth,
-            minInstancesPerNode=min_leaf, seed=seed + b).fit(drawn)
-
-    with ThreadPool(min(parallelism, trees)) as pool:  # trees are independent of one another
-        fitted = pool.map(inheritable_thread_target(train.sparkSession)(fit_tree), range(trees))
-    weighted.unpersist()
-    return Bag(fitted, gram, n)
+            min_leaf: int = 1, seed: int = 123, features: str = "features") -> Bag:
+    """Bagged trees with known in-bag counts, grown side by side."""
+    rows = materialize(train.select(*keys, features, label), "bagged")
+    gram, n = in_bag_gram(rows.select(bag_weights(keys, trees, seed).alias("_n")), trees)
+    model = grow_bag(rows, label, trees, lambda first, n: bag_weights(keys, n, seed, first),
+                     Growth(depth, min_leaf, seed=seed), features=features)
+    return Bag(model, gram, n)
 
 
 def in_bag_gram(weighted: DataFrame, trees: int) -> tuple[np.ndarray, int]:
@@ -194,24 +179,22 @@ def jackknife_interval(bag: Bag, df: DataFrame, level: float = 0.95) -> DataFram
     V = t' G t with t the centred tree outputs, minus the published Monte Carlo correction
     n / B^2 sum(t^2) for Poisson(1) weights; a negative estimate counts as 0.
     """
-    scored = df
-    for tree in bag.trees:
-        scored = tree.transform(scored)
-    names = [tree.getPredictionCol() for tree in bag.trees]
-    gram = df.sparkSession.sparkContext.broadcast(bag.gram)
-    correction = bag.n / len(bag.trees) ** 2
+    trees = len(bag.model)
+    shipped = df.sparkSession.sparkContext.broadcast((Packed(bag.model.trees), bag.gram))
+    correction = bag.n / trees ** 2
     z = NormalDist().inv_cdf(0.5 + level / 2)
 
     @F.pandas_udf("yhat double, variance double")
-    def estimate(outputs: pd.Series) -> pd.DataFrame:
-        t = np.stack(outputs.to_numpy())
+    def estimate(rows: pd.Series) -> pd.DataFrame:
+        packed, gram = shipped.value
+        t = tree_outputs(packed, matrix(rows))
         centre = t.mean(axis=1)
         t = t - centre[:, None]
-        raw = np.einsum("ib,bc,ic->i", t, gram.value, t)
+        raw = np.einsum("ib,ib->i", t @ gram, t)
         return pd.DataFrame({"yhat": centre,
                              "variance": np.maximum(raw - correction * (t ** 2).sum(axis=1), 0.0)})
 
-    out = scored.withColumn("_e", estimate(F.array(*names))).drop(*names)
+    out = df.withColumn("_e", estimate(vector_to_array("features")))
     half = F.sqrt("_e.variance") * z
     return ordered(out.withColumns({"yhat": F.col("_e.yhat"), "variance": F.col("_e.variance"),
                                     "lower": F.col("_e.yhat") - half, "upper": F.col("_e.yhat") + half}),
@@ -220,7 +203,7 @@ def jackknife_interval(bag: Bag, df: DataFrame, level: float = 0.95) -> DataFram
 
 # -- boosting -------------------------------------------------------------------------------------
 
-def model_interval(df: DataFrame, centre: BoostModel | None, low: BoostModel, high: BoostModel,
+def model_interval(df: DataFrame, centre: Ensemble | None, low: Ensemble, high: Ensemble,
                    level: float) -> DataFrame:
     """Bounds from two quantile models, and the centre model's prediction when there is one."""
     out = low.transform(df, "lower")
@@ -231,7 +214,7 @@ def model_interval(df: DataFrame, centre: BoostModel | None, low: BoostModel, hi
 
 
 def quantile_boost_interval(train: DataFrame, df: DataFrame, label: str, keys: Sequence[str],
-                            settings: BoostSettings, centre: BoostModel, alpha: float = 0.95) -> DataFrame:
+                            settings: BoostSettings, centre: Ensemble, alpha: float = 0.95) -> DataFrame:
     """Upper and lower quantile models around a squared-loss model. Bounds at alpha and 1 - alpha
     hold a share of 2 alpha - 1, which is the level in the output."""
     high = quantile_boost_fit(train, label, alpha, settings, keys)
@@ -250,18 +233,23 @@ def smooth_quantile_interval(train: DataFrame, df: DataFrame, label: str, keys:
     return model_interval(df, None, low, high, round(2 * alpha - 1, 10))
 
 
-def reseed_interval(train: DataFrame, df: DataFrame, label: str, repeats: int = 20, level: float = 0.95,
-                    **parameters) -> DataFrame:
-    """Spread of predictions over refits with different seeds, under row and column subsampling."""
-    scored, names = df, []
-    for r in range(repeats):
-        name = f"_r{r}"
-        model = gbt_estimator(label, seed=r, **parameters).setPredictionCol(name).fit(train)
-        scored = model.transform(scored)
-        names.append(name)
-    values = F.array_sort(F.array(*names))
-    out = scored.withColumn("_a", values).withColumns({
-        "lower": percentile_of_sorted(F.col("_a"), (1 - level) / 2),
-        "upper": percentile_of_sorted(F.col("_a"), (1 + level) / 2),
-        "yhat": F.aggregate("_a", F.lit(0.0), lambda a, v: a + v) / repeats})
-    return ordered(out.drop("_a", *names), level)
+def reseed_interval(train: DataFrame, df: DataFrame, label: str, keys: Sequence[str], settings: BoostSettings,
+                    repeats: int = 20, level: float = 0.95) -> DataFrame:
+    """Spread of predictions over refits with different seeds, under the row and column subsampling of the settings.
+
+    All fits are scored in one pass.
+    """
+    models = [boost_fit(train, label, squared_loss(), replace(settings, seed=settings.seed + r), keys)
+              for r in range(repeats)]
+    shipped = df.sparkSession.sparkContext.broadcast([(m.base, m.rate, Packed(m.trees)) for m in models])
+    ends = [50 * (1 - level), 50 * (1 + level)]
+
+    @F.pandas_udf("lower double, upper double, yhat double")
+    def bounds(rows: pd.Series) -> pd.DataFrame:
+        x = matrix(rows)
+        each = np.stack([base + rate * tree_outputs(packed, x).sum(axis=1) for base, rate, packed in shipped.value])
+        low, high = np.percentile(each, ends, axis=0)
+        return pd.DataFrame({"lower": low, "upper": high, "yhat": each.mean(axis=0)})
+
+    scored = df.withColumn("_b", bounds(vector_to_array("features")))
+    return ordered(scored.withColumns({c: F.col(f"_b.{c}") for c in ("lower", "upper", "yhat")}), level).drop("_b")

@@ -1,4 +1,4 @@
-"""What the tree operators share: node tables, leaf values, per-tree outputs."""
+"""What the tree operators share: node tables, leaf numbers, per-tree outputs, errors of prefixes."""
 
 from __future__ import annotations
 
@@ -7,70 +7,40 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.util import MLWritable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.sources.workdir import shared_path
+from riskgrid.operators.packed import Packed, matrix, pack, tree_outputs
 
 LEAF = "_leaf"
 
 
-def node_table(spark: SparkSession, model: MLWritable) -> DataFrame:
-    """Nodes of a saved tree model: ``tree, node, prediction, n, gain, feature, is_leaf``."""
-    path = shared_path(spark, "model")
-    model.write().overwrite().save(path)
-    nodes = spark.read.parquet(f"{path}/data")
-    if "treeID" in nodes.columns:
-        nodes = nodes.select(F.col("treeID").alias("tree"), "nodeData.*")
-    else:
-        nodes = nodes.select(F.lit(0).alias("tree"), "*")
-    return nodes.select("tree", F.col("id").alias("node"), "prediction", F.col("rawCount").alias("n"),
-                        "gain", F.col("split.featureIndex").alias("feature"),
-                        (F.col("leftChild") < 0).alias("is_leaf"))
+def node_table(spark: SparkSession, model) -> DataFrame:
+    """Nodes of a tree model: ``tree, node, prediction, n, cover, gain, feature, is_leaf``."""
+    return pack(spark, model).nodes(spark).select(
+        "tree", "node", F.col("value").alias("prediction"), "n", "cover", "gain", "feature",
+        (F.col("left") < 0).alias("is_leaf"))
 
 
-def leaf_values(spark: SparkSession, model: MLWritable) -> list[np.ndarray]:
-    """Leaf predictions of every tree, by leaf number. Nodes are numbered from left to right, and so
-    are leaves. The size is that of the model, which the driver holds anyway."""
-    leaves = (node_table(spark, model).where("is_leaf").select("tree", "node", "prediction")
-              .orderBy("tree", "node").toPandas())
-    return [group["prediction"].to_numpy() for _, group in leaves.groupby("tree")]
+def prediction_name(model) -> str:
+    return model.getPredictionCol() if hasattr(model, "getPredictionCol") else "yhat"
 
 
 def leaf_numbers(model, df: DataFrame) -> DataFrame:
     """Add ``_leaf``, the leaf a row falls into in each tree, as an array, and the prediction unless
     the table has it already."""
-    scorer = model.copy().setLeafCol("_leaf_vector")
-    known = model.getPredictionCol() in df.columns
-    if known:
-        scorer = scorer.setPredictionCol("_again")
-    scored = scorer.transform(df).withColumn(LEAF, vector_to_array("_leaf_vector")).drop("_leaf_vector")
-    return scored.drop("_again") if known else scored
-
-
-class TreeOutputs:
-    """Looks up the output of every tree for a batch of leaf arrays. Shipped to the tasks by broadcast."""
-
-    def __init__(self, values: Sequence[np.ndarray]):
-        self.flat = np.concatenate(values)
-        self.start = np.concatenate([[0], np.cumsum([len(v) for v in values])[:-1]]).astype(np.int64)
-
-    def __call__(self, leaves: pd.Series) -> np.ndarray:
-        """Rows x trees."""
-        return self.flat[self.start + np.stack(leaves.to_numpy()).astype(np.int64)]
+    packed = pack(df.sparkSession, model)
+    name = prediction_name(model)
+    scored = df if name in df.columns else packed.transform(df, name)
+    return packed.leaf_numbers(scored, LEAF)
 
 
 def tree_predictions(model, df: DataFrame, name: str = "tree_predictions") -> DataFrame:
-    """Add the predictions of the single trees as an array."""
-    spark = df.sparkSession
-    outputs = spark.sparkContext.broadcast(TreeOutputs(leaf_values(spark, model)))
-
-    @F.pandas_udf("array<double>")
-    def look_up(leaves: pd.Series) -> pd.Series:
-        return pd.Series(list(outputs.value(leaves)))
-
-    return leaf_numbers(model, df).withColumn(name, look_up(LEAF)).drop(LEAF)
+    """Add the predictions of the single trees as an array, and the prediction unless the table has it already."""
+    packed = pack(df.sparkSession, model)
+    known = prediction_name(model)
+    scored = df if known in df.columns else packed.transform(df, known)
+    return packed.outputs(scored, name)
 
 
 def prefix_sums(model, df: DataFrame, label: str, sizes: Sequence[int], by: str) -> DataFrame:
@@ -78,8 +48,7 @@ def prefix_sums(model, df: DataFrame, label: str, sizes: Sequence[int], by: str)
 
     Each task adds up its rows; nothing per row leaves it.
     """
-    spark = df.sparkSession
-    outputs = spark.sparkContext.broadcast(TreeOutputs(leaf_values(spark, model)))
+    shipped = df.sparkSession.sparkContext.broadcast(Packed(pack(df.sparkSession, model).trees))
     positions = np.asarray(sizes) - 1
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +56,7 @@ def prefix_sums(model, df: DataFrame, label: str, sizes: Sequence[int], by: str)
         for batch in batches:
             if batch.empty:
                 continue
-            trees = outputs.value(batch[LEAF])
+            trees = tree_outputs(shipped.value, matrix(batch["_x"]))
             means = np.cumsum(trees, axis=1)[:, positions] / (positions + 1)
             y = batch[label].to_numpy(float)
             for key, at in batch.groupby(by).indices.items():
@@ -100,7 +69,7 @@ def prefix_sums(model, df: DataFrame, label: str, sizes: Sequence[int], by: str)
                                 "sy": total[1], "syy": total[2], "sse": total[3]})
 
     kind = df.schema[by].dataType.simpleString()
-    return (leaf_numbers(model, df).select(by, label, LEAF)
+    return (df.select(by, label, vector_to_array("features").alias("_x"))
             .mapInPandas(partial, f"{by} {kind}, trees INT, n BIGINT, sy DOUBLE, syy DOUBLE, sse DOUBLE")
             .groupBy(by, "trees").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy", "sse")]))
 

@@ -6,12 +6,12 @@ import time
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import inverse_link, link
 from riskgrid.operators import aggregates, explain, features, forest, intervals, keys, quality, split
+from riskgrid.operators.packed import Ensemble
 from riskgrid.roles import STUDY, Roles
 from riskgrid.sources.workdir import materialize
 
@@ -32,7 +32,7 @@ class Prepared:
 class ForestRun:
     """What a forest run reports and predicts."""
 
-    model: RandomForestRegressionModel
+    model: Ensemble
     errors: DataFrame
     importance: DataFrame
     top: DataFrame
@@ -87,7 +87,7 @@ def forest_run(prepared: Prepared, endemic: DataFrame, roles: Roles = STUDY, par
         _bounded(model, prepared.pipeline.transform(complete), list(roles.key), kind, level))
 
 
-def _bounded(model: RandomForestRegressionModel, df: DataFrame, columns: list[str], kind: str,
+def _bounded(model: Ensemble, df: DataFrame, columns: list[str], kind: str,
              level: float) -> DataFrame:
     out = intervals.forest_percentile_interval(model, df, level)
     return out.select(*columns, inverse_link(F.col("yhat"), kind).alias("predict"),

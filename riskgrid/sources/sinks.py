@@ -50,10 +50,10 @@ def write_values_by_country(df: DataFrame, path: str) -> None:
 
 
 def save_model(model: MLWritable, path: str) -> None:
-    """Persist a fitted model as a distributed folder."""
+    """Persist a fitted MLlib model as a distributed folder; ensembles have ``save`` of their own."""
     model.write().overwrite().save(path)
 
 
 def load_model(model_class: type[MLReadable], path: str):
-    """Restore a fitted model."""
+    """Restore a fitted MLlib model."""
     return model_class.load(path)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from riskgrid.functions import hash_uniform, poisson_one
 from riskgrid.operators import boost, explain, features, forest, intervals, linear, split, trees, tuning
 from riskgrid.operators import aggregates as agg
+from riskgrid.operators.growing import Growth
+from riskgrid.operators.packed import Ensemble
 
 COLUMNS = ["a", "b", "c"]
 N = 900
@@ -158,13 +160,11 @@ def test_poisson_weights(spark):
 def test_jackknife_equals_the_row_sum(data, table):
     train = table.where("split = 'train'")
     bag = intervals.bag_fit(train, "y", ["k"], trees=6, depth=3)
-    weights = column(train.select("k", intervals.bag_weights(["k"], 6, 123).alias("n")), "n") - 1
+    weights = column(train.select("k", forest.bag_weights(["k"], 6, 123).alias("n")), "n") - 1
     assert bag.n == 700 and np.allclose(bag.gram, weights.T @ weights / 36)
     out = column(intervals.jackknife_interval(bag, table), "yhat", "variance", "lower", "upper")
-    scored = table
-    for tree in bag.trees:
-        scored = tree.transform(scored)
-    t = column(scored, *[tree.getPredictionCol() for tree in bag.trees])
+    t = column(bag.model.outputs(table, "t"), "t")
+    assert t.shape == (N, 6)
     centred = t - t.mean(axis=1, keepdims=True)
     covariance = centred @ weights.T / 6
     want = np.maximum((covariance ** 2).sum(axis=1) - 700 / 36 * (centred ** 2).sum(axis=1), 0)
@@ -183,7 +183,7 @@ def test_boosting_learns_and_reloads(spark, data, table, tmp_path):
     again = boost.newton_boost_fit(table, "y", replace(settings, rounds=2), ["k"], split="split")
     assert np.allclose(column(again.transform(table), "yhat"), column(model.transform(table, rounds=2), "yhat"))
     model.save(spark, str(tmp_path / "m"))
-    loaded = boost.BoostModel.load(spark, str(tmp_path / "m"))
+    loaded = Ensemble.load(spark, str(tmp_path / "m"))
     assert np.allclose(column(loaded.transform(table), "yhat"), predicted) and loaded.log == model.log
     assert np.allclose(column(model.transform(table, rounds=0), "yhat"), 0.5)
 
@@ -217,9 +217,10 @@ def test_smooth_loss_equals_the_published_formula(spark):
 
 
 def test_leaf_weight_penalties():
-    assert boost.leaf_weight(-6.0, 2.0) == 3.0
-    assert boost.leaf_weight(-6.0, 2.0, l1=2.0, l2=2.0) == 1.0
-    assert boost.leaf_weight(1.0, 2.0, l1=2.0) == 0.0 and boost.leaf_weight(1.0, 0.0) == 0.0
+    assert Growth().weight(-6.0, 2.0) == 3.0
+    assert Growth(l1=2.0, l2=2.0).weight(-6.0, 2.0) == 1.0
+    assert Growth(l1=2.0).weight(1.0, 2.0) == 0.0 and Growth().weight(1.0, 0.0) == 0.0
+    assert Growth(max_step=0.5).weight(-6.0, 2.0) == 0.5
 
 
 def test_search_refit_and_curves(spark, table):
@@ -243,7 +244,7 @@ def test_importances(spark, table, grown):
     impurity = {r["name"]: r for r in explain.impurity_importance(spark, grown, COLUMNS).collect()}
     assert math.isclose(sum(r["importance"] for r in impurity.values()), 1.0)
     gains = {r["name"]: r["splits"] for r in explain.gain_importance(spark, grown, COLUMNS).collect()}
-    assert sum(gains.values()) == sum((t.numNodes - 1) // 2 for t in grown.trees)
+    assert sum(gains.values()) == sum((len(t) - 1) // 2 for t in grown.trees)
     drops = explain.permutation_importance(table, grown.transform, "y", ["k"], COLUMNS, repeats=3)
     summary = {r["name"]: r["importance"] for r in explain.permutation_summary(drops).collect()}
     assert drops.count() == 9 and max(summary, key=summary.get) == "a" and summary["a"] > 0.2
@@ -272,6 +273,59 @@ def test_partial_dependence_equals_refeeding(data, table, grown):
     assert explain.feature_grid(coded, "a") == [0.0, 1.0]
 
 
+@pytest.mark.parametrize("local_rows", [50, 10 ** 6])
+def test_deep_forest_reproduces_distinct_rows(table, data, local_rows):
+    """Depth 40 and leaves of one row, without drawing: the hybrid way ends where the exact one does."""
+    _, y = data
+    model = forest.rf_fit(table, "y", trees=2, depth=40, bootstrap=False, local_rows=local_rows)
+    assert np.allclose(column(model.transform(table), "yhat"), y)
+    assert max(t.depth() for t in model.trees) > 8 and all(t.n[0] == N for t in model.trees)
+
+
+def test_forest_beyond_thirty_levels(spark):
+    """A label that grows this fast needs a chain of cuts, one row at a time."""
+    df = spark.createDataFrame([(i, float(i), 2.5 ** i) for i in range(40)], "k INT, a DOUBLE, y DOUBLE")
+    df = features.feature_pipeline(df, ["a"]).transform(df)
+    model = forest.rf_fit(df, "y", trees=1, depth=40, bootstrap=False, subset="all")
+    assert model.trees[0].depth() > 30 and np.allclose(column(model.transform(df), "yhat"), 2.5 ** np.arange(40))
+    with pytest.raises(ValueError, match="beyond"):
+        forest.rf_estimator("y", depth=40)
+
+
+def test_forest_learns_with_drawn_rows(table, data):
+    _, y = data
+    model = forest.rf_fit(table.where("split = 'train'"), "y", trees=20, depth=8, subset="onethird")
+    assert ((column(model.transform(table), "yhat")[700:] - y[700:]) ** 2).mean() < 0.15 * y[700:].var()
+    assert len({int(t.n[0]) for t in model.trees}) > 5
+
+
+def test_dependence_by_nodes(spark, data, table):
+    """Trees of one split: equal to scoring every row, as covers are exact there."""
+    settings = boost.BoostSettings(rounds=8, depth=1, rate=0.5)
+    model = boost.newton_boost_fit(table, "y", settings, ["k"])
+    by_nodes = explain.dependence_by_nodes(table, model, COLUMNS, ["a", "b"], points=9)
+    by_rows = explain.partial_dependence(table, model.transform, COLUMNS, ["a", "b"], points=9)
+    got = {(r["name"], r["grid_index"]): r["mean"] for r in by_nodes.collect()}
+    want = {(r["name"], r["grid_index"]): r["mean"] for r in by_rows.collect()}
+    assert len(got) == 18 and got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in got)
+
+
+def test_dependence_follows_covers():
+    from riskgrid.operators.packed import Tree
+    tree = Tree(np.array([1, 0, -1, -1, -1]), np.array([0.5, 2.0, np.inf, np.inf, np.inf]), np.array([1, 3, -1, -1, -1]),
+                np.array([2, 4, -1, -1, -1]), np.array([0, 0, 5.0, 1.0, 3.0]), np.zeros(5),
+                np.array([10.0, 4, 6, 1, 3]), np.ones(5, dtype=int))
+    assert np.allclose(explain.node_dependence(tree, 1, np.array([0.0, 1.0])), [1.0 / 4 + 3.0 * 3 / 4, 5.0])
+    assert np.allclose(explain.node_dependence(tree, 0, np.array([2.0, 3.0])), [0.6 * 5 + 0.4 * 1, 0.6 * 5 + 0.4 * 3])
+
+
+def test_reseeded_fits(table):
+    settings = boost.BoostSettings(rounds=3, depth=2, rate=0.5, subsample=0.6, by_tree=0.7)
+    out = intervals.reseed_interval(table, table, "y", ["k"], settings, repeats=4)
+    rows = column(out, "lower", "yhat", "upper")
+    assert (rows[:, 0] <= rows[:, 1]).all() and (rows[:, 1] <= rows[:, 2]).all() and (rows[:, 0] < rows[:, 2]).any()
+
+
 def test_mse_family(spark):
     df = spark.createDataFrame([(1.0, 0.5), (2.0, 2.5), (3.0, 3.0)], "y DOUBLE, yhat DOUBLE")
     assert math.isclose(agg.mse(df).first()[0], 0.5 / 3)

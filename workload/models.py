@@ -6,7 +6,6 @@ These have no SQL: models are iterative. Their values are tested against direct
 
 from __future__ import annotations
 
-from pyspark.ml.regression import RandomForestRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from riskgrid.operators import (
     trees,
     tuning,
 )
+from riskgrid.operators.packed import Ensemble
 from workload import tables as t
 from workload.registry import query
 from workload.scans import rounded
@@ -35,6 +35,8 @@ LABEL = "label"
 FOREST = {"trees": 10, "depth": 6, "subset": "onethird"}
 GRADIENT = {"rounds": 10, "depth": 3, "rate": 0.3, "subsample": 0.7, "min_leaf": 5}
 SETTINGS = boost.BoostSettings(rounds=6, depth=3, rate=0.3, subsample=0.7, min_leaf=5)
+# The smoothed loss has no curvature away from its band: leaf values need a penalty and a bound.
+SMOOTH = boost.BoostSettings(rounds=4, depth=3, rate=0.3, l2=1.0, max_step=0.2)
 
 
 _PREPARED: dict[tuple[str, str], DataFrame] = {}
@@ -56,7 +58,7 @@ def part(df: DataFrame, name: str) -> DataFrame:
     return df.where(F.col("split") == name)
 
 
-def fitted_forest(df: DataFrame) -> RandomForestRegressionModel:
+def fitted_forest(df: DataFrame) -> Ensemble:
     return forest.rf_fit(part(df, "train"), LABEL, **FOREST)
 
 
@@ -168,12 +170,14 @@ def predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("model_save_load")
 def model_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A forest and boosted trees, saved as tables of nodes, loaded and scored again."""
     df = prepared(spark, sf_dir)
-    model = fitted_forest(df)
-    path = sources.shared_path(spark, "forest")
-    sources.save_model(model, path)
-    again = sources.load_model(RandomForestRegressionModel, path).setPredictionCol("again")
-    return again.transform(model.transform(part(df, "test"))).select(*KEY, "yhat", "again")
+    out = part(df, "test").select(*KEY, "features")
+    for name, model in (("forest", fitted_forest(df)), ("boost", fitted_boost(df))):
+        path = sources.shared_path(spark, name)
+        model.save(spark, path)
+        out = Ensemble.load(spark, path).transform(model.transform(out, name), f"{name}_again")
+    return out.drop("features")
 
 
 @query("mse_by_trees")
@@ -203,18 +207,21 @@ def quantile_boost_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.transform(df, "upper").groupBy("split").agg(below.alias("share_below"))
 
 
+def fitted_boost(df: DataFrame) -> Ensemble:
+    settings = boost.BoostSettings(rounds=6, depth=3, rate=0.3, l2=1.0, min_child=1.0)
+    return boost.newton_boost_fit(df, LABEL, settings, KEY, split="split")
+
+
 @query("newton_boost_fit")
 def newton_boost_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepared(spark, sf_dir)
-    model = boost.newton_boost_fit(df, LABEL, boost.BoostSettings(rounds=6, depth=3, rate=0.3, l2=1.0), KEY,
-                                   split="split")
-    return aggregates.mse(model.transform(df), LABEL, "yhat", ["split"])
+    return aggregates.mse(fitted_boost(df).transform(df), LABEL, "yhat", ["split"])
 
 
 @query("smooth_quantile_boost")
 def smooth_quantile_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepared(spark, sf_dir)
-    model = boost.smooth_quantile_boost(df, LABEL, 0.95, SETTINGS, KEY, 1.0, 6.0, 4.2, split="split")
+    model = boost.smooth_quantile_boost(df, LABEL, 0.95, SMOOTH, KEY, 1.0, 6.0, 4.2, split="split")
     return model.transform(df, "upper").select(*KEY, LABEL, "upper")
 
 
@@ -296,16 +303,16 @@ def quantile_boost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("smooth_quantile_interval")
 def smooth_quantile_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepared(spark, sf_dir)
-    settings = boost.BoostSettings(rounds=4, depth=3, rate=0.1)
     return intervals.smooth_quantile_interval(part(df, "train"), part(df, "test"), LABEL, KEY,
-                                              settings).select(*KEY, LABEL, "lower", "upper", "level")
+                                              SMOOTH).select(*KEY, LABEL, "lower", "upper", "level")
 
 
 @query("reseed_interval")
 def reseed_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepared(spark, sf_dir)
-    return intervals.reseed_interval(part(df, "train"), part(df, "test"), LABEL, repeats=4, rounds=4, depth=3,
-                                     rate=0.3, subset="onethird").select(*BOUNDS)
+    settings = boost.BoostSettings(rounds=4, depth=3, rate=0.3, subsample=0.7, by_tree=0.7, by_node=0.7, l2=1.0)
+    return intervals.reseed_interval(part(df, "train"), part(df, "test"), LABEL, KEY, settings,
+                                     repeats=4).select(*BOUNDS)
 
 
 # -- explanation ----------------------------------------------------------------------------------
@@ -332,8 +339,7 @@ def cum_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("gain_importance")
 def gain_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = forest.gbt_fit(part(prepared(spark, sf_dir), "train"), LABEL, **GRADIENT)
-    return explain.gain_importance(spark, model, NAMES)
+    return explain.gain_importance(spark, fitted_boost(prepared(spark, sf_dir)), NAMES)
 
 
 @query("permutation_importance")
@@ -360,6 +366,12 @@ def partial_dependence(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       ["f1", "f3", "ur_code"], points=20)
 
 
+@query("dependence_by_nodes")
+def dependence_by_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = prepared(spark, sf_dir)
+    return explain.dependence_by_nodes(part(df, "test"), fitted_boost(df), NAMES, ["f1", "f3", "ur_code"], points=20)
+
+
 @query("ice_curves")
 def ice_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepared(spark, sf_dir)
