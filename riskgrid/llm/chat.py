@@ -12,8 +12,8 @@ from riskgrid.sources.workdir import materialize
 OPEN, SHUT, END = "<|", "|>\n", "<|end|>\n"
 TRAINED_ROLE = "assistant"
 NO_ROLE = "unknown"
-# Turns of one side that are rendered into one row; longer sides go on in further parts.
-PART_TURNS = 64
+# Bytes of a pair's turns beyond which its texts would pass what a string can hold.
+MAX_BYTES = 2 ** 31 - 2 ** 20
 # Turns of one side are put in order in ranges of so many turn numbers.
 RANGE_TURNS = 256
 
@@ -25,7 +25,8 @@ def _turns(turns: DataFrame, pair: str, turn: str, role: str, text: str, side: s
         F.coalesce(F.floor(number / RANGE_TURNS), F.lit(-(2 ** 63))).alias("range"),
         F.coalesce(F.col(role).cast("string"), F.lit(NO_ROLE)).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text")).where(F.col("pair_id").isNotNull()) \
-        .withColumn("digest", F.md5(F.col("text").cast("binary")))
+        .withColumns({"digest": F.md5(F.col("text").cast("binary")),
+                      "n_bytes": F.octet_length("text") + F.octet_length("role") + len(OPEN + SHUT + END)})
 
 
 def _ranked(turns: DataFrame) -> DataFrame:
@@ -57,18 +58,18 @@ def _spans(turns: Column) -> Column:
 
 
 def preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", turn: str = "turn",
-                role: str = "role", text: str = "text", part_turns: int = PART_TURNS) -> DataFrame:
+                role: str = "role", text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Rendered prompt and completions of every pair of conversations, given turn by turn.
 
     The turns that both conversations begin with (same role and text) are rendered once as ``prompt``; the
     rest of each is a completion. ``chosen_spans`` and ``rejected_spans`` are the character ranges of a
-    completion that are trained on: text and end mark of the assistant's turns. Returns ``pair_id``,
-    ``part``, ``prompt_turns``, ``prompt``, ``chosen``, ``rejected`` and the spans. Each side is cut into
-    parts of ``part_turns`` turns, so no row grows with a conversation; part 0 holds all of a usual pair.
-    A side that has ended, or is empty, is an empty text.
+    completion that are trained on: text and end mark of the assistant's turns. Returns one row for every pair:
+    ``pair_id``, ``prompt_turns``, ``prompt``, ``chosen``, ``rejected`` and the spans. A row is as large as its
+    conversations; a pair that no string can hold (``max_bytes``) ends the job with an error that names it. A side
+    that has ended, or is empty, is an empty text.
 
     Turns are numbered range by range, and ranges by their sizes, so that a very long conversation is many
-    ranges and parts, not one group. The texts are shuffled twice; all else is done on their digests.
+    ranges until it is rendered. The texts are shuffled twice; all else is done on their digests.
 
     Turns are ordered by turn (nulls first), role and digest of the text; a repeated row counts once. A null text
     is empty, a null role is ``unknown``. Turns without a pair are left out. If one conversation lacks, the other
@@ -79,9 +80,9 @@ def preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", t
     narrow = materialize(_ranked(turns.drop("text")), "turns")
     keys = ["pair_id", "side", "range"]
     earlier = Window.partitionBy("pair_id", "side").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = narrow.groupBy(*keys).agg(F.count("*").alias("n")).withColumn(
+    ranges = narrow.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes")).withColumn(
         "before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    placed = narrow.join(ranges, keys).withColumn("place", F.col("rank") - 1 + F.col("before"))
+    placed = narrow.join(ranges.drop("n_bytes"), keys).withColumn("place", F.col("rank") - 1 + F.col("before"))
     own = F.struct("role", "digest")
     both = placed.groupBy("pair_id", "place").agg(
         F.max(F.when(F.col("side") == "chosen", own)).alias("chosen"),
@@ -89,18 +90,21 @@ def preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", t
     common = both.groupBy("pair_id").agg(F.coalesce(
         F.min(F.when(~F.col("chosen").eqNullSafe(F.col("rejected")), F.col("place"))),
         F.max("place") + 1).cast("int").alias("prompt_turns"))
-    marks = materialize(ranges.join(common, "pair_id"), "ranges")
+    sizes = ranges.groupBy("pair_id").agg(F.sum("n_bytes").alias("all_bytes"))
+    too_long = F.raise_error(F.concat(F.lit("pair "), F.col("pair_id").cast("string"), F.lit(" is too long for one row")))
+    prompts = common.join(sizes, "pair_id").select(
+        "pair_id", F.when(F.col("all_bytes") > max_bytes, too_long.cast("int")).otherwise(F.col("prompt_turns"))
+        .alias("prompt_turns"))
+    marks = materialize(ranges.drop("n_bytes").join(prompts, "pair_id"), "ranges")
     place = F.col("rank") - 1 + F.col("before")
     prompt = F.col("place") < F.col("prompt_turns")
     line, head = _rendered(F.col("role"), F.col("text"))
     rows = (_ranked(turns).join(marks, keys).withColumn("place", place)
             .where(~prompt | (F.col("side") == "chosen"))
-            .select("pair_id", "prompt_turns", "place", F.when(prompt, "prompt").otherwise(F.col("side")).alias("side"),
-                    F.floor((F.col("place") - F.when(prompt, 0).otherwise(F.col("prompt_turns"))) / part_turns)
-                    .cast("int").alias("part"),
+            .select("pair_id", "prompt_turns", F.when(prompt, "prompt").otherwise(F.col("side")).alias("side"),
                     F.struct("place", line.alias("line"), head.alias("head"),
                              (F.col("role") == TRAINED_ROLE).alias("trained")).alias("line")))
-    lists = rows.groupBy("pair_id", "part").agg(
+    lists = rows.groupBy("pair_id").agg(
         F.first("prompt_turns").alias("prompt_turns"),
         *[F.sort_array(F.collect_list(F.when(F.col("side") == side, F.col("line")))).alias(side)
           for side in ("prompt", "chosen", "rejected")])
@@ -108,5 +112,5 @@ def preferences(chosen: DataFrame, rejected: DataFrame, pair: str = "pair_id", t
     def whole(side: str) -> Column:
         return F.array_join(F.transform(side, lambda t: t["line"]), "").alias(side)
 
-    return lists.select("pair_id", "part", "prompt_turns", whole("prompt"), whole("chosen"), whole("rejected"),
+    return lists.select("pair_id", "prompt_turns", whole("prompt"), whole("chosen"), whole("rejected"),
                         _spans(F.col("chosen")).alias("chosen_spans"), _spans(F.col("rejected")).alias("rejected_spans"))

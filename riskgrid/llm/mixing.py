@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,10 @@ from riskgrid.sources.workdir import materialize
 
 ROUNDS = 60
 TOLERANCE = 1e-12
+# An error of the margins, as a part of the total, that is reported if it is left after the last round.
+REPORTED = 1e-6
+# Equal rows are numbered in so many lots.
+LOTS = 64
 # Topics by what a text is made of: the first pattern found in at least the given number of places per
 # 1,000 characters (and at least once) names the topic. Fixed values.
 TOPICS = (("credentials", r"(?:token|password|secret|key) ?=", 0.0),
@@ -46,14 +51,14 @@ def smoothed_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
 
 
 def rake(cells: DataFrame, margins: Sequence[str], targets: Mapping[str, DataFrame], rounds: int = ROUNDS,
-         tolerance: float = TOLERANCE) -> DataFrame:
+         tolerance: float = TOLERANCE, strict: bool = False) -> DataFrame:
     """Scale the cells' ``tokens`` until each margin has its target shares; adds ``weight``.
 
     ``targets`` holds for every margin a table (margin, share). Targets are taken relative to the total of
     those that have a cell; a value without a target keeps weight 0. A round scales every margin in turn.
     Stops when every margin was within ``tolerance`` of its targets (as a part of the total) at its turn, or
-    after ``rounds``. Each round is
-    written to the shared folder. The cells are sums over all documents and number at most the combinations
+    after ``rounds``. If a margin is then still off by over 1e-6, as targets that the cells can't meet leave it, a
+    warning tells by how much, or, with ``strict``, an error. Each round is written to the shared folder. The cells are sums over all documents and number at most the combinations
     of margin values; nulls are values like others.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
@@ -68,6 +73,7 @@ def rake(cells: DataFrame, margins: Sequence[str], targets: Mapping[str, DataFra
     for margin in margins:
         present = now.select(margin, f"goal_{margin}").distinct().agg(F.sum(f"goal_{margin}")).first()[0]
         scale[margin] = total / present if present else 0.0
+    error = 0.0
     for _ in range(rounds):
         now = now.withColumn("error", F.lit(0.0))
         for margin in margins:
@@ -78,8 +84,14 @@ def rake(cells: DataFrame, margins: Sequence[str], targets: Mapping[str, DataFra
                 # Values without weight can't be scaled; they don't keep the others from being done.
                 "error": F.greatest("error", F.when(own > 0, F.abs(own - wanted) / total).otherwise(0.0))})
         now = materialize(now, "cells")
-        if now.agg(F.max("error")).first()[0] <= tolerance:
+        error = now.agg(F.max("error")).first()[0]
+        if error <= tolerance:
             break
+    if error > REPORTED:
+        message = f"after {rounds} rounds a margin is off its target by {error:.3g} of the total"
+        if strict:
+            raise ValueError(message)
+        warnings.warn(message, stacklevel=2)
     return now.drop("error", *[f"goal_{m}" for m in margins])
 
 
@@ -89,21 +101,45 @@ def unit_hash(key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") / F.lit(float(16 ** 12))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Add ``__n``: the number of a row among those with its ``__key``, from 0.
+
+    Only keys that repeat are shuffled with their rows, dealt over lots, so that no task gets all rows of one.
+    """
+    repeated = materialize(rows.groupBy("__key").count().where("count > 1").select("__key", F.lit(True).alias("__again")),
+                           "repeated")
+    marked = lookup_join(rows, repeated, ["__key"])
+    alone = marked.where("__again IS NULL").withColumn("__n", F.lit(0).cast("bigint")).drop("__again")
+    several = marked.where("__again").drop("__again").withColumn("__lot", F.pmod(F.xxhash64("__place"), F.lit(LOTS)))
+    sizes = several.groupBy("__key", "__lot").count()
+    earlier = Window.partitionBy("__key").orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("__key", "__lot", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__key", "__lot").orderBy("__place"))
+    numbered = several.withColumn("__n", inside).join(before, ["__key", "__lot"]).withColumn(
+        "__n", F.col("__n") - 1 + F.col("__before")).drop("__lot", "__before")
+    return alone.unionByName(numbered)
+
+
 def mix(documents: DataFrame, doc_id: str, margins: Mapping[str, Column], tokens: Column,
         targets: Mapping[str, DataFrame] | None = None, powers: Mapping[str, float] | None = None,
-        keep: Sequence[str] = (), rounds: int = ROUNDS) -> DataFrame:
+        keep: Sequence[str] = (), rounds: int = ROUNDS, content: Column | None = None) -> DataFrame:
     """Calibrated sampling probability and decision for every document.
 
     Returns ``keep`` columns, the margins, ``tokens``, ``factor`` (raked over original token weight of the
     document's cell), ``probability`` (the factor over the largest one, so that sampled tokens have the
-    target margins in expectation) and ``sampled``, which follows a hash of the id: a run again gives the
-    same sample. Targets are given, or smoothed from the data by ``powers``.
+    target margins in expectation) and ``sampled``, which follows a hash of the id, the ``content`` and the row's
+    number among rows that have both in common: a run again gives the same sample. Targets are given, or smoothed from
+    the data by ``powers``.
 
-    Null margins are values of their own. Repeated rows and ids get the same decision. Documents whose
-    values have no target have probability 0. An empty table gives an empty result.
+    Null margins are values of their own. Rows that share an id, null ids too, and repeated rows are each drawn by
+    themselves; which of several equal rows is kept makes no difference. Documents whose values have no target have
+    probability 0. An empty table gives an empty result.
     """
     names = list(margins)
-    rows = documents.select(F.struct(*keep, F.col(doc_id).alias("__id")).alias("kept"),
+    key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"),
+                   F.md5(F.coalesce(content, F.lit("")).cast("binary")) if content is not None else F.lit(""))
+    rows = documents.select(F.struct(*keep).alias("kept") if keep else F.struct(F.lit(0).alias("_")).alias("kept"),
+                            key.alias("__key"), F.monotonically_increasing_id().alias("__place"),
                             *[c.alias(n) for n, c in margins.items()], tokens.alias("tokens"))
     narrow = materialize(rows, "weights")
     cells = materialize(narrow.groupBy(*names).agg(F.sum("tokens").alias("tokens")), "cell-sums")
@@ -117,11 +153,12 @@ def mix(documents: DataFrame, doc_id: str, margins: Mapping[str, Column], tokens
         return df.withColumns({f"__null_{n}": F.col(n).isNull() for n in names}
                               | {f"__value_{n}": F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names})
 
-    joined = lookup_join(keyed(narrow), keyed(factors).select(*keys, "factor"), keys)
+    joined = lookup_join(keyed(_numbered(narrow)), keyed(factors).select(*keys, "factor"), keys)
     probability = F.round(F.col("factor") / most, 6)
-    return joined.select("kept.*", *names, "tokens", F.round("factor", 6).alias("factor"),
-                         probability.alias("probability"),
-                         (unit_hash(F.col("kept.__id")) < probability).alias("sampled")).drop("__id")
+    draw = unit_hash(F.concat("__key", F.lit(":"), F.col("__n").cast("string")))
+    out = joined.select("kept.*", *names, "tokens", F.round("factor", 6).alias("factor"),
+                        probability.alias("probability"), (draw < probability).alias("sampled"))
+    return out if keep else out.drop("_")
 
 
 def document_margins(text: str = "text", source: str = "source", lang: str = "lang") -> dict[str, Column]:

@@ -62,7 +62,7 @@ def op4_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return mixing.mix(documents, "doc_id", mixing.document_margins(), mixing.token_weight(F.col("text")),
-                      powers=POWERS, keep=["doc_id"])
+                      powers=POWERS, keep=["doc_id"], content=F.col("text"))
 
 
 def _topic_sql() -> str:
@@ -92,16 +92,17 @@ def _rake_sql(rounds: int) -> str:
 
 SQL_OP5 = rf"""
 WITH d AS MATERIALIZED (
-  SELECT doc_id, source, lang, {_topic_sql()} AS topic,
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS key, source, lang,
+         {_topic_sql()} AS topic, row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS n,
          1 + coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS tokens FROM documents
 ), cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM d GROUP BY ALL),
 {_rake_sql(mixing.ROUNDS)},
 p AS (
-  SELECT d.doc_id, d.source, d.lang, d.topic, d.tokens, round(f.factor, 6) AS factor,
+  SELECT d.doc_id, d.key, d.n, d.source, d.lang, d.topic, d.tokens, round(f.factor, 6) AS factor,
          round(f.factor / (SELECT max(factor) FROM f), 6) AS probability
   FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source AND d.lang IS NOT DISTINCT FROM f.lang AND d.topic = f.topic
 )
-SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0
+SELECT * EXCLUDE (key, n), CAST('0x' || substr(md5(key || ':' || n), 1, 12) AS BIGINT) / 281474976710656.0
           < probability AS sampled
 FROM p
 """
@@ -131,11 +132,11 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(name, lambda s: F.concat_ws("-", s["start"].cast("string"),
                                                                     s["end"].cast("string"))), ",").alias(name)
 
-    return pairs.select("pair_id", "part", "prompt_turns", "prompt", "chosen", "rejected",
+    return pairs.select("pair_id", "prompt_turns", "prompt", "chosen", "rejected",
                         joined("chosen_spans"), joined("rejected_spans"))
 
 
-SQL_OP7 = f"""
+SQL_OP7 = """
 WITH t AS (SELECT *, conv_id // 2 AS pair_id FROM conversations),
 sides AS (
   SELECT 'chosen' AS side, pair_id, turn, role, text FROM t WHERE conv_id % 2 = 0
@@ -155,11 +156,11 @@ sides AS (
          '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body, role
   FROM o JOIN l USING (pair_id) WHERE NOT (place < prompt_turns AND side = 'rejected')
 ), y AS (
-  SELECT *, x.pos // {chat.PART_TURNS} AS part, head || body AS line FROM x
+  SELECT *, head || body AS line FROM x
 ), z AS (
-  SELECT *, sum(length(line)) OVER (PARTITION BY pair_id, side, part ORDER BY pos) AS stop FROM y
+  SELECT *, sum(length(line)) OVER (PARTITION BY pair_id, side ORDER BY pos) AS stop FROM y
 )
-SELECT pair_id, CAST(part AS INTEGER) AS part, CAST(any_value(prompt_turns) AS INTEGER) AS prompt_turns,
+SELECT pair_id, CAST(any_value(prompt_turns) AS INTEGER) AS prompt_turns,
        coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE side = 'prompt'), '') AS prompt,
        coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE side = 'chosen'), '') AS chosen,
        coalesce(string_agg(line, '' ORDER BY pos) FILTER (WHERE side = 'rejected'), '') AS rejected,
@@ -167,7 +168,7 @@ SELECT pair_id, CAST(part AS INTEGER) AS part, CAST(any_value(prompt_turns) AS I
                 FILTER (WHERE side = 'chosen' AND role = 'assistant'), '') AS chosen_spans,
        coalesce(string_agg((stop - length(body)) || '-' || stop, ',' ORDER BY pos)
                 FILTER (WHERE side = 'rejected' AND role = 'assistant'), '') AS rejected_spans
-FROM z GROUP BY pair_id, part
+FROM z GROUP BY pair_id
 """
 
 

@@ -47,7 +47,8 @@ def assign(documents: DataFrame, doc_id: str, text: str, shards: int = SHARDS,
 
     Size is the text's UTF-8 bytes plus 16, tokens are its words. Equal texts form a group and share a
     shard, unless the group alone is a notable part (1 / fineness) of a shard: such a group is dealt in pieces
-    of that part by a hash of the id. There are at most 3 x shards x fineness such groups; all others are
+    of that part by a hash of the id, or, where rows of one id (null ids too) are that many, by the row's number in
+    the written table. There are at most 3 x shards x fineness such groups; all others are
     bundled by a hash of the text into at most shards x fineness bundles, so the packing itself, on the driver,
     handles a number of items that does not grow with the table. Slots number a shard's rows from 0 without
     gaps, in the order of a hash of the text, id and checksum; equal rows are interchangeable.
@@ -59,7 +60,9 @@ def assign(documents: DataFrame, doc_id: str, text: str, shards: int = SHARDS,
         F.col(doc_id).alias("doc_id"), (F.octet_length(content) + ROW_BYTES).cast("bigint").alias("size"),
         F.crc32(content.cast("binary")).cast("bigint").alias("text_crc32"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("tokens"),
-        F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")).alias("group")), "sizes")
+        F.coalesce(F.md5(F.col(text).cast("binary")), F.lit("")).alias("group"),
+        F.xxhash64(F.col(doc_id), F.col(doc_id).isNull()).alias("id_hash"),
+        F.monotonically_increasing_id().alias("number")), "sizes")
     groups = materialize(rows.groupBy("group").agg(*_measures()), "groups")
     total = groups.agg(*[F.sum(d).alias(d) for d in DIMENSIONS]).first()
     bundles = shards * fineness
@@ -71,10 +74,16 @@ def assign(documents: DataFrame, doc_id: str, text: str, shards: int = SHARDS,
     # A group of one row can't be dealt; a small one stays whole.
     large = groups.where(is_large).select("group", *DIMENSIONS, F.greatest(F.lit(1), F.least(
         pieces, F.col("rows"))).cast("int").alias("pieces"))
-    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
+    # Rows that share id and text and are a notable part of a shard: as many keys as there can be large groups, at most.
+    same = rows.groupBy("group", "id_hash").agg(F.count("*").alias("rows"), F.sum("size").alias("size"),
+                                                F.sum("tokens").alias("tokens")).where(is_large & (F.col("rows") > 1))
+    rows = lookup_join(rows, same.select("group", "id_hash", F.lit(True).alias("same")), ["group", "id_hash"],
+                       max_rows=3 * bundles)
+    rows = rows.withColumn("deal", F.when(F.col("same"), F.xxhash64("number")).otherwise(F.col("id_hash")))
+    piece = F.pmod(F.xxhash64("deal"), F.col("pieces")).cast("int")
     bundle = F.pmod(F.xxhash64("group"), F.lit(bundles)).cast("int")
     keyed = lookup_join(rows, large.select("group", "pieces"), ["group"], max_rows=3 * bundles).select(
-        "doc_id", "size", "text_crc32", "tokens", "group",
+        "doc_id", "size", "text_crc32", "tokens", "group", "deal",
         F.when(F.col("pieces").isNull(), F.lit("")).otherwise(F.col("group")).alias("alone"),
         F.when(F.col("pieces").isNull(), bundle).otherwise(piece).alias("item"))
     # At most 4 items for each of the shards' parts and dimensions.
@@ -84,9 +93,9 @@ def assign(documents: DataFrame, doc_id: str, text: str, shards: int = SHARDS,
     places = spark.createDataFrame([(r["alone"], r["item"], int(p)) for r, p in zip(items, place)],
                                    "alone string, item int, shard int")
     dealt = keyed.join(F.broadcast(places), ["alone", "item"]).withColumn(
-        "range", F.pmod(F.xxhash64("group", "doc_id"), F.lit(RANGES)))
+        "range", F.pmod(F.xxhash64("group", "deal"), F.lit(RANGES)))
     order = Window.partitionBy("shard", "range").orderBy("group", "doc_id")
-    dealt = materialize(dealt.withColumn("place", F.row_number().over(order)).drop("alone", "item", "group"), "dealt")
+    dealt = materialize(dealt.withColumn("place", F.row_number().over(order)).drop("alone", "item", "group", "deal"), "dealt")
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     # At most shards x ranges rows.
     offsets = dealt.groupBy("shard", "range").agg(F.count("*").alias("n")).withColumn(

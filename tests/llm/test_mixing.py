@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskgrid.llm import mixing as M
@@ -63,6 +64,44 @@ def test_odd_documents(spark):
         assert python_nodes(out) == []
 
 
+def test_rows_without_own_ids_are_drawn_each(spark):
+    """Null ids, one repeated id and wholly repeated rows are each sampled at their cell's probability."""
+    rows = [(None, f"text {i}", "en", "a") for i in range(1500)] + [(5, f"other {i}", "en", "a") for i in range(1500)]
+    rows += [(None, "one text", "en", "a")] * 1500 + [(9, "one text", "en", "a")] * 1500
+    rows += [(10 + i, "few", "fr", "b") for i in range(500)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
+    powers = {"source": 0.5, "lang": 0.5, "topic": 1.0}
+
+    def sample():
+        out = M.mix(docs, "doc_id", M.document_margins(), M.token_weight(F.col("text")), powers=powers,
+                    keep=["doc_id", "text"], content=F.col("text"))
+        assert python_nodes(out) == []
+        return out.toPandas()
+
+    got = sample()
+    p = got[got.source == "a"].probability.iloc[0]
+    assert len(got) == len(rows) and 0.2 < p < 0.8
+    own = got[got.source == "a"]
+    kinds = [own.doc_id.isna() & own.text.str.startswith("text"), own.doc_id == 5, own.doc_id.isna() & (own.text == "one text"),
+             own.doc_id == 9]
+    for kind in kinds:
+        assert kind.sum() == 1500 and abs(own[kind].sampled.mean() - p) < 5 * (p * (1 - p) / 1500) ** 0.5
+    again = sample()
+    counts = lambda x: x[x.sampled].fillna(-1).groupby(["doc_id", "text"]).size().to_dict()
+    assert counts(again) == counts(got)
+
+
+def test_margins_out_of_reach_are_reported(spark):
+    cells = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], "s string, l string, tokens bigint")
+    targets = {"s": spark.createDataFrame([("a", 0.9), ("b", 0.1)], "s string, share double"),
+               "l": spark.createDataFrame([("x", 0.1), ("y", 0.9)], "l string, share double")}
+    with pytest.warns(UserWarning, match="off its target"):
+        M.rake(cells, ["s", "l"], targets, rounds=3)
+    with pytest.raises(ValueError, match="off its target"):
+        M.rake(cells, ["s", "l"], targets, rounds=3, strict=True)
+
+
 def test_topics_and_weights(spark):
     texts = ["token = 5", "a | b | c", "A!! B!!", "### x", "plain words here", None, "", " ", "a\tb\x0bc"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(

@@ -52,6 +52,16 @@ def test_hot_group_is_dealt(spark):
     assert counts.max() / counts.mean() < 1.1
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_hot_group_without_own_ids_is_dealt(spark, doc_id):
+    """A third of the rows share one text and a null id, or one id."""
+    rows = [(doc_id, "the same text in a third of all rows")] * 2000
+    rows += [(10_000 + i, f"text number {i} " * (i % 7 + 1)) for i in range(4000)]
+    out = checked(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    totals = out.groupby("shard")["size"].sum()
+    assert totals.max() / totals.mean() < 1.02 and totals.min() / totals.mean() > 0.98
+
+
 def test_pack_goes_where_the_dot_product_is_highest():
     sizes = np.array([[4, 1, 1], [1, 4, 1], [1, 1, 4], [2, 2, 2]], dtype=float)
     place = S.pack(sizes, 2)
