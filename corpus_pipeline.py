@@ -44,7 +44,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents so that sources, languages and topics have their target shares of tokens."""
     mixed = mixing.mix(docs, "doc_id", mixing.document_margins(), mixing.token_weight(F.col("text")),
-                       powers=POWERS, keep=[F.struct(*docs.columns).alias("row")])
+                       powers=POWERS, keep=[F.struct(*docs.columns).alias("row")], content=F.col("text"))
     return mixed.where("sampled").select("row.*")
 
 
