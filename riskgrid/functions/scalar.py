@@ -78,9 +78,15 @@ def age_label(age: Column, prefix: str = "Age_") -> Column:
     return F.concat(F.lit(prefix), F.lpad(age.cast("string"), 2, "0"))
 
 
-def pixel_key_columns(x: Column, y: Column, res: float = 5.0) -> tuple[Column, Column]:
-    """Integer cell numbers of a coordinate pair; tiny float noise does not change them."""
-    return F.round(x / F.lit(float(res))).cast("long"), F.round(y / F.lit(float(res))).cast("long")
+def pixel_key_columns(x: Column, y: Column, res: float = 5.0, origin: tuple[float, float] = (0.0, 0.0)
+                      ) -> tuple[Column, Column]:
+    """Integer cell numbers of a coordinate pair, cells being centred on ``origin`` and whole steps from it. Float noise
+    does not change them as long as the coordinates lie near centres. NULL and NaN have no cell."""
+    def cell(c: Column, start: float) -> Column:
+        known = F.nanvl(c.cast("double"), F.lit(None).cast("double"))
+        return F.round((known - F.lit(float(start))) / F.lit(float(res))).cast("long")
+
+    return cell(x, origin[0]), cell(y, origin[1])
 
 
 def percentile_of_sorted(values: Column, p: float) -> Column:

@@ -9,12 +9,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.functions import row_hash
 from riskgrid.operators.aggregates import running_share
 from riskgrid.operators.packed import Ensemble, Tree, pack
 from riskgrid.operators.quantiles import exact_quantiles
-from riskgrid.operators.ranking import hash_rank
-from riskgrid.operators.split import sample_n
+from riskgrid.operators.split import numbered, permuted, sample_n
 from riskgrid.operators.trees import node_table
 
 Scorer = Callable[[DataFrame], DataFrame]  # adds the column `yhat` to a table with `features`
@@ -77,12 +75,11 @@ def permutation_importance(df: DataFrame, scorer: Scorer, label: str, keys: Sequ
     there are, and all sums come from one aggregation.
     """
     base = df.select(*keys, F.col(label).cast("double").alias("_y"), vector_to_array("features").alias("_x"))
-    turns = base.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    by_turn = [*keys, "repeat"]
-    receivers = hash_rank(turns, row_hash(by_turn, seed), by=["repeat"], name="_rank")
-    givers = hash_rank(turns.select(*by_turn, F.col("_x").alias("_p")), row_hash(by_turn, seed + 1),
-                       by=["repeat"], name="_rank").select("repeat", "_rank", "_p")
-    paired = receivers.join(givers, ["repeat", "_rank"]).select("repeat", "_y", "_x", "_p")
+    rows, n = numbered(base.drop(*keys))
+    turns = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    givers = turns.select("repeat", permuted(F.col("_row"), n, F.col("repeat") + seed).alias("_row"),
+                          F.col("_x").alias("_p"))
+    paired = turns.join(givers.hint("shuffle_hash"), ["repeat", "_row"]).select("repeat", "_y", "_x", "_p")
     swapped = (paired.withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
                .where("_j >= 0 OR repeat = 0")
                .select("repeat", "_j", "_y", array_to_vector(F.expr(

@@ -12,19 +12,37 @@ from riskgrid.functions import pixel_key_columns
 COORDINATE_TOLERANCE = 1.9e-12  # Fixed value: allowed float noise between two coordinate columns.
 
 
-def pixel_key(df: DataFrame, res: float = 5.0, x: str = "x", y: str = "y") -> DataFrame:
-    """Add the integer cell numbers ``kx, ky``: a hashable key that survives float noise."""
-    kx, ky = pixel_key_columns(F.col(x), F.col(y), res)
+Origin = tuple[float, float]
+
+
+def pixel_key(df: DataFrame, res: float = 5.0, x: str = "x", y: str = "y", origin: Origin = (0.0, 0.0)) -> DataFrame:
+    """Add the integer cell numbers ``kx, ky``: a hashable key that survives float noise. Cells are centred on the
+    lattice through ``origin`` (see :func:`lattice_origin`)."""
+    kx, ky = pixel_key_columns(F.col(x), F.col(y), res, origin)
     return df.withColumn("kx", kx).withColumn("ky", ky)
 
 
+def lattice_origin(df: DataFrame, res: float = 5.0) -> Origin:
+    """Where the lattice of a table's coordinates lies: any one of its points, reduced to the first cell.
+
+    All points are whole steps from it, so cells that are centred on it have no point near a boundary, wherever the
+    lattice begins. One row is read; a table without coordinates has the origin 0, 0.
+    """
+    point = df.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(
+        "x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").first()
+    return (point["x"] % res, point["y"] % res) if point else (0.0, 0.0)
+
+
 def coord_match_check(left: DataFrame, right: DataFrame, res: float = 5.0) -> DataFrame:
     """One row: rows on the left, rows without a partner, duplicate keys per side, and the verdict.
 
-    Both sides are counted per key first, so the join is one row per key however often a key repeats.
+    Both sides are counted per key first, so the join is one row per key however often a key repeats. Cells are those of
+    the left table's lattice.
     """
+    origin = lattice_origin(left, res)
+
     def per_key(df: DataFrame, name: str) -> DataFrame:
-        return pixel_key(df.select("x", "y"), res).groupBy("kx", "ky").agg(
+        return pixel_key(df.select("x", "y"), res, origin=origin).groupBy("kx", "ky").agg(
             F.count(F.lit(1)).alias(name))
 
     both = per_key(left, "nl").join(per_key(right, "nr"), ["kx", "ky"], "full_outer")
@@ -40,21 +58,25 @@ def coord_match_check(left: DataFrame, right: DataFrame, res: float = 5.0) -> Da
 
 def align_grid(df: DataFrame, grid: DataFrame, res: float = 5.0) -> DataFrame:
     """Attach ``grid_id`` by pixel key. Keys are unique on both sides (see ``coord_match_check``)."""
-    lookup = pixel_key(grid, res).select("kx", "ky", "grid_id")
-    return pixel_key(df, res).join(lookup, ["kx", "ky"], "inner").drop("kx", "ky")
+    return attach_by_pixel(df, grid, ["grid_id"], res)
 
 
 def coord_tolerance_check(left: DataFrame, right: DataFrame, res: float = 5.0,
                           tolerance: float = COORDINATE_TOLERANCE) -> DataFrame:
-    """One row: joined rows, largest coordinate differences, and whether x is within the tolerance
-    and y equal, over all rows."""
-    a = pixel_key(left.select("x", "y"), res)
-    b = pixel_key(right.select(F.col("x").alias("x2"), F.col("y").alias("y2")), res, "x2", "y2")
-    joined = a.join(b, ["kx", "ky"], "inner")
-    worst = joined.agg(F.count(F.lit(1)).alias("n"),
+    """One row: joined rows, rows of either side without a partner, largest coordinate differences, and whether every
+    row has one, x is within the tolerance and y equal, over all rows."""
+    origin = lattice_origin(left, res)
+    a = pixel_key(left.select("x", "y", F.lit(True).alias("here")), res, origin=origin)
+    b = pixel_key(right.select(F.col("x").alias("x2"), F.col("y").alias("y2"), F.lit(True).alias("there")), res, "x2", "y2",
+                  origin)
+    joined = a.join(b, ["kx", "ky"], "full_outer")
+    worst = joined.agg(F.count_if(F.col("here") & F.col("there")).alias("n"),
+                       F.count_if(F.col("there").isNull()).alias("left_unmatched"),
+                       F.count_if(F.col("here").isNull()).alias("right_unmatched"),
                        F.max(F.abs(F.col("x") - F.col("x2"))).alias("max_dx"),
                        F.max(F.abs(F.col("y") - F.col("y2"))).alias("max_dy"))
-    return worst.withColumn("within", (F.col("max_dx") < tolerance) & (F.col("max_dy") == 0))
+    return worst.withColumn("within", (F.col("left_unmatched") == 0) & (F.col("right_unmatched") == 0)
+                            & (F.col("max_dx") < tolerance) & (F.col("max_dy") == 0))
 
 
 def attach_by_pixel(df: DataFrame, other: DataFrame, columns: list[str], res: float = 5.0,
@@ -65,10 +87,12 @@ def attach_by_pixel(df: DataFrame, other: DataFrame, columns: list[str], res: fl
 
 def attach_all_by_pixel(df: DataFrame, others: Sequence[tuple[DataFrame, list[str]]], res: float = 5.0,
                         how: str = "inner") -> DataFrame:
-    """The same for several tables. All joins use one key, so this table is shuffled once at most."""
-    keyed = pixel_key(df, res)
+    """The same for several tables. All joins use one key, on the lattice of this table, so it is shuffled once
+    at most."""
+    origin = lattice_origin(df, res)
+    keyed = pixel_key(df, res, origin=origin)
     for other, columns in others:
-        keyed = keyed.join(pixel_key(other, res).select("kx", "ky", *columns), ["kx", "ky"], how)
+        keyed = keyed.join(pixel_key(other, res, origin=origin).select("kx", "ky", *columns), ["kx", "ky"], how)
     return keyed.drop("kx", "ky")
 
 

@@ -1,14 +1,16 @@
 """Group-wise splitting, sampling, folds and column permutation.
 
-Every assignment follows the md5 order of the row key, so it is the same on every run and after a
-lost executor, and needs no random state.
+Splits, samples and folds follow the md5 order of the row key, so they are the same on every run and after a
+lost executor, and need no random state. Permutations follow the row numbers of a written table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions import round_count, row_hash
@@ -90,13 +92,74 @@ def kfold_assign(df: DataFrame, keys: Sequence[str], k: int, seed: int = 2) -> D
     return df.withColumn("fold", band_of_hash(keys, seed, cutoffs, list(range(k))))
 
 
-def permute_column(df: DataFrame, keys: Sequence[str], column: str, seed: int = 42) -> DataFrame:
+def numbered(df: DataFrame, name: str = "_row") -> tuple[DataFrame, int]:
+    """Add contiguous row numbers from 0 and tell how many there are, without a sort.
+
+    The table is written with the place of every row in its partition; the partitions' sizes (a number for
+    each) are added up on the driver and joined back. A task that is run again reads the same numbers.
+    """
+    stored = materialize(df.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33)
+    sizes = sorted((r["p"], r["n"]) for r in stored.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in sizes:
+        offsets.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(offsets, "_part BIGINT, _offset BIGINT")
+    rows = lookup_join(stored.withColumn("_part", part), offsets, ["_part"], "inner")
+    number = F.col("_offset") + F.col("_place").bitwiseAND(F.lit(2 ** 33 - 1))
+    return rows.withColumn(name, number).drop("_place", "_part", "_offset"), total
+
+
+def feistel(rows: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """A keyed permutation of 0 .. n - 1: four Feistel rounds on the smallest even number of bits that holds n, again
+    while the result lies beyond n."""
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
+    mask = np.uint64((1 << int(half)) - 1)
+
+    def mixed(v: np.ndarray, key: int) -> np.ndarray:
+        v = v + np.uint64((key * 0x9E3779B97F4A7C15 + 0xD1B54A32D192ED03) % 2 ** 64)
+        v = (v ^ (v >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        v = (v ^ (v >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return v ^ (v >> np.uint64(31))
+
+    out = rows.astype(np.uint64)
+    walking = np.ones(len(out), dtype=bool)
+    while walking.any():
+        left, right = out[walking] >> half, out[walking] & mask
+        for number in range(4):
+            left, right = right, left ^ (mixed(right, 4 * seed + number) & mask)
+        out[walking] = (left << half) | right
+        walking = out >= n
+    return out.astype(np.int64)
+
+
+def permuted(row: Column, n: int, seed: Column | int) -> Column:
+    """The place of a row number under the keyed permutation; the seed may be a column."""
+    @F.pandas_udf("bigint")
+    def place(rows: pd.Series, seeds: pd.Series) -> pd.Series:
+        out = np.empty(len(rows), dtype=np.int64)
+        for value in seeds.unique():
+            own = (seeds == value).to_numpy()
+            out[own] = feistel(rows.to_numpy()[own], n, int(value))
+        return pd.Series(out)
+
+    return place(row, seed if isinstance(seed, Column) else F.lit(seed))
+
+
+def permute_column(df: DataFrame, keys: Sequence[str], column: str, seed: int = 42, by_key: bool = False) -> DataFrame:
     """Shuffle one column over the rows, the rest stays.
 
-    The row at rank r of one hash order receives the value of the row at rank r of a second,
-    independent order: a uniform permutation, joined on the rank.
+    Rows are numbered by partition and place, and a row receives the value of the row whose number the keyed
+    permutation takes to its own: one equi-join, no sort. The result is fixed for a written table, but follows its
+    layout. ``by_key`` makes it follow the keys alone, at the price of two hash orders: the row at rank r of one order
+    receives the value of the row at rank r of a second, independent one.
     """
-    receivers = hash_rank(df.drop(column), row_hash(keys, seed), name="_rank")
-    givers = hash_rank(df.select(*keys, column), row_hash(keys, seed + 1), name="_rank").select(
-        "_rank", column)
-    return receivers.join(givers, "_rank").drop("_rank").select(*df.columns)
+    if by_key:
+        receivers = hash_rank(df.drop(column), row_hash(keys, seed), name="_rank")
+        givers = hash_rank(df.select(*keys, column), row_hash(keys, seed + 1), name="_rank").select(
+            "_rank", column)
+        return receivers.join(givers, "_rank").drop("_rank").select(*df.columns)
+    rows, n = numbered(df)
+    givers = rows.select(permuted(F.col("_row"), n, seed).alias("_row"), column)
+    return rows.drop(column).join(givers.hint("shuffle_hash"), "_row").select(*df.columns)

@@ -122,8 +122,21 @@ def align_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.align_grid(t.pixels(spark, sf_dir, "f4"), t.grid(spark, sf_dir))
 
 
+@query("align_shifted_grid", """
+    SELECT p.pixel_id, round(p.x + 2.5, 6) AS x, round(p.y + 1.25, 6) AS y, g.grid_id
+    FROM pixels p JOIN grid g ON g.x = p.x AND g.y = p.y""")
+def align_shifted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lattice whose points lie at half and quarter cells, with float noise on one side."""
+    def moved(df: DataFrame, noise: float) -> DataFrame:
+        return df.withColumns({"x": F.col("x") + (2.5 + noise), "y": F.col("y") + (1.25 - noise)})
+
+    out = keys.align_grid(moved(t.pixels(spark, sf_dir, "ur"), -1e-12), moved(t.grid(spark, sf_dir), 1e-12))
+    return out.select("pixel_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "grid_id")
+
+
 @query("coord_tolerance_check", """
-    SELECT count(*) AS n, max(abs(p.x - g.x)) AS max_dx, max(abs(p.y - g.y)) AS max_dy,
+    SELECT count(*) AS n, 0::BIGINT AS left_unmatched, 0::BIGINT AS right_unmatched,
+           max(abs(p.x - g.x)) AS max_dx, max(abs(p.y - g.y)) AS max_dy,
            max(abs(p.x - g.x)) < 1.9e-12 AND max(abs(p.y - g.y)) = 0 AS within
     FROM pixels p JOIN grid g ON g.pixel_id = p.pixel_id""")
 def coord_tolerance_check(spark: SparkSession, sf_dir: str) -> DataFrame:

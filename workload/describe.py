@@ -283,7 +283,20 @@ def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
       JOIN (SELECT f4, row_number() OVER (ORDER BY md5(pixel_id || ':43')) AS r FROM pixels) b ON a.r = b.r""")
 def permute_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = t.pixels(spark, sf_dir, "f4", "f5").select("pixel_id", "f5", "f4")
-    return split.permute_column(df, ["pixel_id"], "f4")
+    return split.permute_column(df, ["pixel_id"], "f4", by_key=True)
+
+
+@query("permute_column_index", """
+    SELECT pixel_id, f5, NULL::DOUBLE AS f4, 1 AS n FROM pixels
+    UNION ALL SELECT -1, NULL, f4, count(*) FROM pixels GROUP BY f4""")
+def permute_column_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows as they were, and how often each value of the shuffled column is there."""
+    df = t.pixels(spark, sf_dir, "f4", "f5").select("pixel_id", "f5", "f4")
+    shuffled = split.permute_column(df, ["pixel_id"], "f4")
+    kept = shuffled.select("pixel_id", "f5", F.lit(None).cast("double").alias("f4"), F.lit(1).cast("bigint").alias("n"))
+    values = shuffled.groupBy("f4").agg(F.count("*").alias("n")).select(
+        F.lit(-1).cast("bigint").alias("pixel_id"), F.lit(None).cast("double").alias("f5"), "f4", "n")
+    return kept.unionByName(values)
 
 
 # -- scalar functions -----------------------------------------------------------------------------

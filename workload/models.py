@@ -143,7 +143,7 @@ def pcr_mean_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("linear_boost_fit")
 def linear_boost_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepared(spark, sf_dir)
-    model = linear.linear_boost_fit(part(df, "train"), LABEL, l2=0.01)
+    model = linear.linear_boost_fit(df, LABEL, l2=0.01, split="split")
     return aggregates.rmse(model.transform(df), LABEL, "yhat", ["split"])
 
 
