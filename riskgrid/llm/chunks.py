@@ -148,21 +148,22 @@ def repeated_spans(documents: DataFrame, doc_id: str, text: str, min_span: int =
     """Stretches of chunks that stand in the corpus more than once.
 
     Returns ``doc_id``, ``text_key``, ``start``, ``end`` (UTF-8 bytes), ``n_chunks``, ``first_doc_id``
-    (smallest id that has any chunk of it) and ``removed``: false where the document is the first that has
+    (id of the first document that has any chunk of it) and ``removed``: false where the document is the first that has
     these chunks, true for all later copies, in other documents or further down in the same one. Adjacent
     chunks with the same ``removed`` make one stretch; stretches under ``min_span`` bytes are left out.
     ``at_minima`` cuts the texts as in ``chunks``, so that short and repetitive passages are found too.
 
     Chunks are counted by digest with partial sums, so a chunk that very many texts share is one row per task.
-    Rows that share an id count as one document, rows with a null id as the smallest; rows that repeat id and
-    text give the same spans once.
+    The first document is the one with the smallest id, null ids before others, and of several texts under one id the
+    one with the smallest key; all other rows lose the chunk. Rows that repeat id and text give the same spans once.
     """
     rows = chunks(documents, doc_id, text, at_minima)
     # Written out, so that the join is between two plain shuffles and a chunk of very many texts can be split.
-    known = materialize(rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc_id"))
-                        .where(F.col("n") > 1).drop("n"), "repeated")
+    known = materialize(rows.groupBy("high", "low").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("first"))
+                        .where(F.col("n") > 1).select("high", "low", F.col("first.doc_id").alias("first_doc_id"),
+                                                      F.col("first.text_key").alias("first_key")), "repeated")
     found = rows.join(known, ["high", "low"]).withColumn(
-        "removed", (F.col("doc_id") != F.col("first_doc_id")) | F.col("again"))
+        "removed", (F.col("doc_id") != F.col("first_doc_id")) | (F.col("text_key") != F.col("first_key")) | F.col("again"))
     by_text = Window.partitionBy("doc_id", "text_key", "removed").orderBy("place")
     runs = (found.withColumn("run", F.col("place") - F.dense_rank().over(by_text))
             .groupBy("doc_id", "text_key", "removed", "run")

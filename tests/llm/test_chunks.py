@@ -97,6 +97,20 @@ def test_text_without_repeats(spark):
     assert len(kept[2]) < len(rows[1][1]) - 300 and kept[2].startswith(own[1]) and kept[2].endswith(own[2])
 
 
+def test_copies_without_own_ids_are_removed(spark):
+    """A passage in two rows without id, and in two rows with one id: the first of each pair owns it."""
+    rng = random.Random(21)
+    for doc_id in (None, 7):
+        passage = prose(rng, 90)
+        rows = [(doc_id, f"{prose(rng, 50)} {passage} {prose(rng, 50)}") for _ in range(3)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = C.repeated_spans(df, "doc_id", "text", at_minima=True).collect()
+        assert len({r["text_key"] for r in got if r["removed"]}) == 2
+        assert len({r["text_key"] for r in got if not r["removed"]}) == 1
+        kept = [r["kept_text"] for r in C.without_repeats(df, "doc_id", "text", at_minima=True).collect()]
+        assert sum(passage in x for x in kept) == 1
+
+
 def plain_minima_cuts(data: bytes) -> list[int]:
     """The definition of cuts at minima, byte by byte."""
     hashes = C.gear_hashes(np.frombuffer(data, dtype=np.uint8)).tolist()
