@@ -51,16 +51,22 @@ def forest_percentile_interval(model, df: DataFrame, level: float = 0.95) -> Dat
 
 def leaf_quantile_interval(model, train: DataFrame, df: DataFrame, label: str,
                            keys: Sequence[str], level: float = 0.95, bins: int = 200,
-                           in_memory_cells: int = 5_000_000) -> DataFrame:
-    """Percentiles of the training responses pooled over the leaves a row falls into.
+                           in_memory_cells: int = 5_000_000, exact_responses: int = 5_000_000) -> DataFrame:
+    """Percentiles of the training responses pooled over the leaves a row falls into; every leaf weighs the same.
 
-    Responses are counted on ``bins`` quantile bins of the training label, so a leaf is a short
+    Exact as long as training rows x trees are at most ``exact_responses``: the leaves' sorted responses are broadcast,
+    and a bound is the least response at which the pooled weights reach its share.
+
+    Beyond that responses are counted on ``bins`` quantile bins of the training label, so a leaf is a short
     vector of shares whatever its size, and a row averages the vectors of its leaves; the bounds are
-    interpolated inside their bin. Leaf vectors are broadcast up to ``in_memory_cells`` numbers and
-    joined by (tree, leaf) beyond that.
+    interpolated inside their bin, so they are off by less than the width of the bin that holds the exact bound (a
+    bin holds about 1 / ``bins`` of the training responses). Leaf vectors are broadcast up to ``in_memory_cells``
+    numbers and joined by (tree, leaf) beyond that.
     """
     spark = df.sparkSession
     model = pack(spark, model)
+    if train.count() * len(model) <= exact_responses:
+        return _exact_leaf_interval(model, train, df, label, level)
     cuts = quantile_arrays(train, label, [i / bins for i in range(bins + 1)]).first()
     edges = np.unique(cuts["q"])
     if len(edges) == 1:
@@ -127,6 +133,36 @@ def leaf_quantile_interval(model, train: DataFrame, df: DataFrame, label: str,
     return ordered(target.drop(LEAF).join(bounds, list(keys)), level)
 
 
+def _exact_leaf_interval(model: Ensemble, train: DataFrame, df: DataFrame, label: str, level: float) -> DataFrame:
+    """Pooled percentiles with the responses of all leaves at hand; their number was checked."""
+    responses = (leaf_numbers(model, train).select(F.col(label).cast("double").alias("y"), F.posexplode(LEAF).alias("tree", "leaf"))
+                 .orderBy("tree", "leaf", "y").toPandas())
+    sizes = np.array([len(t.leaves) for t in model.trees])
+    first = np.cumsum(sizes) - sizes
+    own = np.bincount(first[responses["tree"].to_numpy()] + responses["leaf"].to_numpy(), minlength=sizes.sum())
+    shipped = df.sparkSession.sparkContext.broadcast((responses["y"].to_numpy(), np.cumsum(own) - own, own, first))
+    shares = np.array([(1 - level) / 2, (1 + level) / 2])
+
+    @F.pandas_udf("lower double, upper double")
+    def bounds(leaves: pd.Series) -> pd.DataFrame:
+        y, start, size, first = shipped.value
+        out = np.full((len(leaves), 2), np.nan)
+        for i, row in enumerate(leaves):
+            at = first + np.asarray(row)
+            used = at[size[at] > 0]
+            if len(used) == 0:
+                continue
+            pooled = np.concatenate([y[start[a]:start[a] + size[a]] for a in used])
+            weight = np.repeat(1 / (size[used] * len(used)), size[used])
+            order = np.argsort(pooled, kind="stable")
+            reached = np.searchsorted(np.cumsum(weight[order]), shares - 1e-9)
+            out[i] = pooled[order][np.minimum(reached, len(pooled) - 1)]
+        return pd.DataFrame({"lower": out[:, 0], "upper": out[:, 1]})
+
+    scored = leaf_numbers(model, df).withColumn("_b", bounds(LEAF))
+    return ordered(scored.withColumns({"lower": F.col("_b.lower"), "upper": F.col("_b.upper")}).drop("_b", LEAF), level)
+
+
 def _inverse_of_shares(shares: np.ndarray, edges: np.ndarray, p: float) -> np.ndarray:
     """Value below which a share p of each row's distribution lies."""
     cumulative = np.hstack([np.zeros((len(shares), 1)), np.cumsum(shares, axis=1)])
