@@ -70,6 +70,14 @@ def gram_hashes(points: np.ndarray, q: int) -> np.ndarray:
         block = block[:-half] * np.uint64(pow(scale, half, 2 ** 64)) + block[half:]
 
 
+def gram_length(size: int, q: int, rate: float) -> int:
+    """The longest grams, up to q characters, of which an item within its edit budget must share one at least.
+
+    With e edits an item of n characters keeps n - q + 1 - e q of its grams, which is 1 or more for q up to n / (e + 1).
+    """
+    return min(q, size // (math.floor(size * rate) + 1))
+
+
 @dataclass
 class Index:
     """The q-grams of some benchmark items."""
@@ -83,6 +91,16 @@ class Index:
     place: np.ndarray
     q: int
 
+    @staticmethod
+    def classes(rows: list[tuple[int | None, str | None]], q: int, rate: float) -> "list[Index]":
+        """One index for every gram length that the items need."""
+        by_gram: dict[int, list[tuple[int | None, str | None]]] = {}
+        for row in rows:
+            size = len(folded(code_points((row[1] or "").strip()))[0])
+            if size >= q:
+                by_gram.setdefault(gram_length(size, q, rate), []).append(row)
+        return [Index.build(own, gram, rate) for gram, own in sorted(by_gram.items(), reverse=True)]
+
     @staticmethod
     def build(rows: list[tuple[int | None, str | None]], q: int, rate: float) -> "Index":
         ids, items = [], []
@@ -267,8 +285,9 @@ def leaks(benchmark: DataFrame, item_id: str, item_text: str, text: Column, q: i
     within the item's edit budget are returned, the best one of overlapping ranges.
 
     The benchmark goes to the executors in blocks of bounded size, each a pass over the text column, so its
-    size is not limited. Null and empty texts have no hits. Items that are null or shorter than q characters
-    are not searched. Repeated items are all reported. An empty benchmark gives empty arrays.
+    size is not limited. Items for which the lemma asks for no shared q-gram are searched by shorter ones. Null and
+    empty texts have no hits. Items that are null or shorter than q characters are not searched, as most texts
+    hold such words by chance. Repeated items are all reported. An empty benchmark gives empty arrays.
     """
     if not 0 <= rate < 1 / q:
         raise ValueError("the edit rate must be below 1 / q, else the q-gram lemma keeps every region")
@@ -279,9 +298,10 @@ def leaks(benchmark: DataFrame, item_id: str, item_text: str, text: Column, q: i
     found = []
     for block in range(blocks):
         mine = rows.where(F.pmod(F.xxhash64("id", "item"), F.lit(blocks)) == block)
-        index = Index.build(sorted((tuple(r) for r in mine.collect()), key=lambda r: (
-            r[0] is None, r[0] or 0, r[1] is None, r[1] or "")), q, rate)
-        found.append(_search(spark.sparkContext.broadcast(index))(text))
+        items = sorted((tuple(r) for r in mine.collect()), key=lambda r: (
+            r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+        for index in Index.classes(items, q, rate) or [Index.build([], q, rate)]:
+            found.append(_search(spark.sparkContext.broadcast(index))(text))
     return F.concat(*found) if len(found) > 1 else found[0]
 
 

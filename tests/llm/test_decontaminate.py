@@ -165,3 +165,23 @@ def test_folding():
     points, kept = D.folded(D.code_points("A \t\nB\x00É"))
     assert "".join(map(chr, points)) == "a b\x00é" and kept.tolist() == [0, 1, 4, 5, 6]
     assert np.array_equal(D.folded(D.code_points(""))[0], [])
+
+
+def test_short_items_of_every_length(spark):
+    """Items of 1 to 40 characters with every placement of one edit of each kind that their budget allows."""
+    rng = random.Random(3)
+    items = [(n, "".join(rng.choice("abcdefghij") for _ in range(n))) for n in range(1, 41)]
+    docs = []
+    for n, item in items:
+        variants = [item]
+        if int(n * D.EDIT_RATE):
+            variants += [item[:i] + "#" + item[i + 1:] for i in range(n)] + [item[:i] + item[i + 1:] for i in range(n)]
+            variants += [item[:i] + "#" + item[i:] for i in range(1, n)]
+        docs += [(n, f"{'z' * rng.randint(0, 9)} {v} {'y' * rng.randint(0, 9)}") for v in variants]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id bigint, n bigint, text string")
+    got = D.contaminated(df, "text", ["doc_id", "n"], spark.createDataFrame(items, ITEMS), "item_id", "text").collect()
+    found = {r["doc_id"] for r in got if r["item_id"] == r["n"]}
+    assert found == {i for i, (n, _) in enumerate(docs) if n >= D.GRAM}
+    for r in got:
+        assert fewest_edits(dict(items)[r["item_id"]], docs[r["doc_id"]][1]) <= int(r["item_id"] * D.EDIT_RATE)
+    assert [D.gram_length(n, 8, 0.08) for n in (8, 12, 13, 14, 15, 16, 25, 400)] == [8, 8, 6, 7, 7, 8, 8, 8]
