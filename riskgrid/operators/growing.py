@@ -256,10 +256,14 @@ def _histograms(rows: DataFrame, trees: list[Growing], wanted: list[tuple[int, i
     return out.reshape(len(wanted), count, bins, 3)
 
 
-def grow(rows: DataFrame, edges: Sequence[np.ndarray], growth: Growth, trees: int = 1, first_tree: int = 0,
-         local_rows: int = 0, features: str = "features") -> list[Tree]:
+def grow(rows: DataFrame, edges: Sequence[np.ndarray], growth: Growth | Sequence[Growth], trees: int = 1,
+         first_tree: int = 0, local_rows: int = 0, features: str = "features",
+         numbers: Sequence[int] | None = None) -> list[Tree]:
     """Grow some trees side by side on rows with ``_b`` and the arrays ``_g``, ``_h``, ``_n`` (one entry per tree).
 
+    Trees can have limits of their own (a list of ``growth``); ``numbers`` (from ``first_tree`` on, if not given) fix their
+    choice of features.
+
     Each level is one aggregation over the rows (more only if its histograms pass ``CELLS``); of two children the one with
     fewer rows is counted, the other is what the parent has more. With ``local_rows`` nodes of at most so many rows (copies
     counted) leave the level-wise way: their rows are shuffled by (tree, node) and the subtree is finished on exact
@@ -267,7 +271,9 @@ def grow(rows: DataFrame, edges: Sequence[np.ndarray], growth: Growth, trees: in
     """
     count, bins = len(edges), max(len(e) for e in edges) + 2  # the last bin holds missing values
     grown = [Growing() for _ in range(trees)]
-    choice = [Features(growth, count, first_tree + t) for t in range(trees)]
+    limits = [growth] * trees if isinstance(growth, Growth) else list(growth)
+    numbers = list(numbers) if numbers is not None else list(range(first_tree, first_tree + trees))
+    choice = [Features(limits[t], count, numbers[t]) for t in range(trees)]
     frontier = {(t, 0): 1 for t in range(trees)}  # node -> its path from the root as a binary number
     known: dict[tuple[int, int], np.ndarray] = {}
     local: list[tuple[int, int, int, int]] = []
@@ -278,7 +284,7 @@ def grow(rows: DataFrame, edges: Sequence[np.ndarray], growth: Growth, trees: in
                 local.append((t, 0, 0, 1))
                 del frontier[t, 0]
     per_node = count * bins
-    for level in range(growth.depth + 1):
+    for level in range(max((g.depth for g in limits), default=0) + 1):
         if not frontier:
             break
         counted = [k for k in frontier if k not in known]
@@ -294,19 +300,23 @@ def grow(rows: DataFrame, edges: Sequence[np.ndarray], growth: Growth, trees: in
         for key, (parent_hist, other) in siblings.items():
             held[key] = parent_hist - held[other]
         known = {}
-        keys = list(frontier)
-        if level == growth.depth:
-            for t, node in keys:
-                grown[t].total(node, *held[t, node][0].sum(axis=0))
+        for t, node in frontier:
+            grown[t].total(node, *held[t, node][0].sum(axis=0))
+        # Only the root of a tree without levels is here at its full depth.
+        keys = [k for k in frontier if limits[k[0]].depth > level]
+        if not keys:
             break
         masks = np.stack([choice[t].mask(level, frontier[t, node]) for t, node in keys])
-        cuts = []
-        for at in range(0, len(keys), step):
-            cuts += best_cuts(np.stack([held[k] for k in keys[at:at + step]]), masks[at:at + step], growth)
-        for (t, node), cut in zip(keys, cuts):
-            hist = held[t, node]
+        cuts: dict[tuple[int, int], tuple | None] = {}
+        for own in dict.fromkeys(limits[t] for t, _ in keys):
+            same = [i for i, (t, _) in enumerate(keys) if limits[t] == own]
+            for at in range(0, len(same), step):
+                part = same[at:at + step]
+                found = best_cuts(np.stack([held[keys[i]] for i in part]), masks[part], own)
+                cuts.update(zip([keys[i] for i in part], found))
+        for t, node in keys:
+            hist, cut, own = held[t, node], cuts[t, node], limits[t]
             total = hist[0].sum(axis=0)
-            grown[t].total(node, *total)
             if cut is None:
                 continue
             gain, feature, place, left_sums = cut
@@ -316,7 +326,7 @@ def grow(rows: DataFrame, edges: Sequence[np.ndarray], growth: Growth, trees: in
             grown[t].total(b, *right_sums)
             open_children = []
             for child, sums, path in ((a, left_sums, frontier[t, node] * 2), (b, right_sums, frontier[t, node] * 2 + 1)):
-                if level + 1 == growth.depth or sums[2] < 2 * max(growth.min_leaf, 1):
+                if level + 1 == own.depth or sums[2] < 2 * max(own.min_leaf, 1):
                     continue
                 if local_rows and sums[2] <= local_rows:
                     local.append((t, child, level + 1, path))
@@ -327,8 +337,8 @@ def grow(rows: DataFrame, edges: Sequence[np.ndarray], growth: Growth, trees: in
                 fewer, more = (a, b) if left_sums[2] <= right_sums[2] else (b, a)
                 known[t, more] = (hist, (t, fewer))
         frontier = following
-    finished = _finish(rows, grown, local, growth, count, first_tree, features) if local else {}
-    return [_assemble(grown[t], finished.get(t, []), growth, edges) for t in range(trees)]
+    finished = _finish(rows, grown, local, limits, count, numbers, features) if local else {}
+    return [_assemble(grown[t], finished.get(t, []), limits[t], edges) for t in range(trees)]
 
 
 def _assemble(grown: Growing, parts: Sequence[pd.DataFrame], growth: Growth, edges: Sequence[np.ndarray]) -> Tree:
@@ -441,8 +451,8 @@ def exact_tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray, growt
         level += 1
 
 
-def _finish(rows: DataFrame, grown: list[Growing], local: list[tuple[int, int, int, int]], growth: Growth, count: int,
-            first_tree: int, features: str) -> dict[int, list[pd.DataFrame]]:
+def _finish(rows: DataFrame, grown: list[Growing], local: list[tuple[int, int, int, int]], limits: Sequence[Growth],
+            count: int, numbers: Sequence[int], features: str) -> dict[int, list[pd.DataFrame]]:
     structure = [Tree(np.array(t.feature), np.array(t.cut, dtype=float), np.array(t.left), np.array(t.right),
                       *(np.zeros(len(t.feature)) for _ in range(4))) for t in grown]
     places = {(t, node): (level, path) for t, node, level, path in local}
@@ -474,8 +484,8 @@ def _finish(rows: DataFrame, grown: list[Growing], local: list[tuple[int, int, i
         x = np.stack(group["x"].to_numpy())
         # The order of shuffled rows is not fixed, the order of sums is.
         order = np.lexsort((*x.T, group["n"], group["h"], group["g"]))
-        out = exact_tree(x[order], *(group[c].to_numpy()[order] for c in ("g", "h", "n")), growth,
-                         Features(growth, count, first_tree + t), level, path)
+        out = exact_tree(x[order], *(group[c].to_numpy()[order] for c in ("g", "h", "n")), limits[t],
+                         Features(limits[t], count, numbers[t]), level, path)
         return pd.DataFrame({"tree": np.int32(t), "root": np.int32(root), "node": np.arange(len(out), dtype=np.int32)}
                             ).join(out)
 

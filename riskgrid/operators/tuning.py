@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from riskgrid.operators.forest import bag_weights, grow_bag, share_of_features
+from riskgrid.operators.growing import LOCAL_ROWS, Growth, bin_edges, binned, grow
+from riskgrid.operators.packed import Ensemble, Packed, Tree, matrix, tree_outputs
+from riskgrid.sources.workdir import materialize
 
 
 @dataclass(frozen=True)
@@ -18,7 +27,7 @@ class SearchResult:
 
     tried: tuple[tuple[dict, float], ...]
     best: dict
-    model: Model
+    model: Model | Ensemble
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``candidate, parameter, value, score``."""
@@ -87,3 +96,83 @@ def grid_search_cv(df: DataFrame, estimator: Estimator, space: dict[str, Sequenc
 def refit_best(df: DataFrame, estimator: Estimator, best: dict) -> Model:
     """Fit once more on all rows with every chosen parameter."""
     return estimator.copy({estimator.getParam(k): v for k, v in best.items()}).fit(df)
+
+
+# -- forests, all candidates and folds side by side ------------------------------------------------
+
+def _held_out(rows: DataFrame, forests: dict[tuple, dict[int, list[Tree]]], sizes: dict[tuple, list[int]]
+              ) -> dict[tuple, float]:
+    """Mean over the folds of the held-out MSE for every (group, size), from one pass over the rows."""
+    shipped = rows.sparkSession.sparkContext.broadcast(
+        [(group, k, Packed(trees), np.array(sizes[group])) for group, by_fold in forests.items()
+         for k, trees in by_fold.items()])
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            if batch.empty:
+                continue
+            x, y, folds = matrix(batch["_x"]), batch["_y"].to_numpy(float), batch["_fold"].to_numpy()
+            for i, (_, k, packed, prefix) in enumerate(shipped.value):
+                own = np.flatnonzero(folds == k)
+                if len(own):
+                    means = np.cumsum(tree_outputs(packed, x[own]), axis=1)[:, prefix - 1] / prefix
+                    for j, sse in enumerate(((y[own, None] - means) ** 2).sum(axis=0)):
+                        sums[i, j] = sums.get((i, j), 0) + np.array([sse, len(own)])
+        yield pd.DataFrame([(i, j, *v) for (i, j), v in sums.items()], columns=["i", "j", "sse", "n"]).astype(
+            {"i": "int32", "j": "int32", "sse": float, "n": float})
+
+    found = rows.mapInPandas(partial, "i int, j int, sse double, n double").groupBy("i", "j").agg(
+        (F.sum("sse") / F.sum("n")).alias("mse")).collect()
+    scores: dict[tuple, list[float]] = {}
+    for r in found:
+        group, _, _, prefix = shipped.value[r["i"]]
+        scores.setdefault((group, int(prefix[r["j"]])), []).append(r["mse"])
+    return {key: float(np.mean(v)) for key, v in scores.items()}
+
+
+def forest_search_cv(df: DataFrame, label: str, settings: Sequence[dict], folds: int, fold: str = "fold", seed: int = 123,
+                     features: str = "features", at_once: int = 64, halving: bool = False,
+                     local_rows: int = LOCAL_ROWS) -> SearchResult:
+    """Cross-validate forests (settings with ``trees``, ``depth``, ``min_leaf``, ``subset``) by held-out MSE.
+
+    Trees of all candidates and folds grow side by side, ``at_once`` in the same passes: a row counts in a tree as often
+    as it was drawn, and not at all in the trees of the fold that holds it out. Candidates that differ in ``trees`` only
+    are prefixes of one forest. All are scored in one pass. With ``halving`` forests grow to a quarter, half and
+    all of their trees, and after each step the worse half of the candidates is left as it is.
+    """
+    base = {"trees": 180, "depth": 40, "min_leaf": 1, "subset": "sqrt"}
+    full = [{**base, **s} for s in settings]
+    group_of = [(s["depth"], s["min_leaf"], s["subset"]) for s in full]
+    rows = materialize(df.select(features, F.col(label).cast("double").alias("_y"), F.col(fold).cast("int").alias("_fold"))
+                       .withColumn("_id", F.monotonically_increasing_id()), "search")
+    edges = bin_edges(rows, features)
+    table = materialize(binned(rows, edges, features), "search")
+    scoring = rows.select(vector_to_array(features).alias("_x"), "_y", "_fold")
+    forests: dict[tuple, dict[int, list[Tree]]] = {g: {k: [] for k in range(folds)} for g in group_of}
+    alive, scores = list(range(len(full))), [float("inf")] * len(full)
+    for share in (0.25, 0.5, 1.0) if halving else (1.0,):
+        sizes: dict[tuple, list[int]] = {}
+        for i in alive:
+            sizes.setdefault(group_of[i], []).append(max(1, round(full[i]["trees"] * share)))
+        sizes = {g: sorted(set(v)) for g, v in sizes.items()}
+        wanted = [(g, k, t) for g, v in sizes.items() for k in range(folds) for t in range(len(forests[g][k]), v[-1])]
+        for at in range(0, len(wanted), at_once):
+            part = wanted[at:at + at_once]
+            copies = F.array(*[bag_weights(["_id"], 1, seed, t)[0] * (F.col("_fold") != k).cast("double") for _, k, t in part])
+            drawn = table.withColumn("_n", copies).select(
+                features, "_b", F.transform("_n", lambda w: -w * F.col("_y")).alias("_g"), F.col("_n").alias("_h"), "_n")
+            limits = [Growth(g[0], g[1], by_node=share_of_features(g[2], len(edges)), seed=seed) for g, _, _ in part]
+            grown = grow(drawn, edges, limits, len(part), 0, local_rows, features, numbers=[t for _, _, t in part])
+            for (g, k, _), tree in zip(part, grown):
+                forests[g][k].append(tree)
+        found = _held_out(scoring, {g: forests[g] for g in sizes}, sizes)
+        for i in alive:
+            scores[i] = found[group_of[i], max(1, round(full[i]["trees"] * share))]
+        if share < 1.0:
+            alive = sorted(sorted(alive, key=lambda i: (scores[i], i))[: max(1, -(-len(alive) // 2))])
+    best = min(alive, key=lambda i: (scores[i], i))
+    chosen = full[best]
+    model = grow_bag(rows, "_y", chosen["trees"], lambda first, n: bag_weights(["_id"], n, seed, first),
+                     Growth(chosen["depth"], chosen["min_leaf"], seed=seed), chosen["subset"], features, local_rows)
+    return SearchResult(tuple(zip(settings, scores)), dict(settings[best]), model)

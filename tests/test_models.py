@@ -242,6 +242,31 @@ def test_search_refit_and_curves(spark, table):
     assert scores[("valid", 6)] >= scores[("valid", 1)] - 0.02 and scores[("train", 6)] > 0.9
 
 
+def test_forest_search_equals_single_fits(spark, table, data):
+    """All candidates and folds side by side give the scores of forests fitted one by one on the same draws."""
+    from riskgrid.operators.forest import bag_weights, grow_bag
+    folded = split.kfold_assign(table, ["k"], 3).persist()
+    space = [{"trees": 3, "depth": 3, "subset": "all"}, {"trees": 6, "depth": 3, "subset": "all"},
+             {"trees": 4, "depth": 8, "min_leaf": 3, "subset": "onethird"}, {"trees": 4, "depth": 0}]
+    found = tuning.forest_search_cv(folded, "y", space, 3, at_once=10)
+    rows = folded.select("features", "y", "fold").withColumn("_id", F.monotonically_increasing_id()).persist()
+    for setting, score in found.tried[:3]:
+        errors = []
+        for k in range(3):
+            model = grow_bag(rows.where(F.col("fold") != k), "y", setting["trees"],
+                             lambda first, n: bag_weights(["_id"], n, 123, first),
+                             Growth(setting["depth"], setting.get("min_leaf", 1), seed=123), setting["subset"])
+            held = model.transform(rows.where(F.col("fold") == k))
+            errors.append(agg.mse(held, "y", "yhat").first()[0])
+        assert math.isclose(score, np.mean(errors), rel_tol=1e-9)
+    _, y = data
+    assert 0.9 * y.var() < found.tried[3][1] < 1.1 * y.var()
+    assert found.best == min(found.tried, key=lambda t: t[1])[0] and len(found.model) == found.best["trees"]
+    halved = tuning.forest_search_cv(folded, "y", [{"trees": 8, "depth": d, "subset": "all"} for d in (0, 1, 2, 6)], 3,
+                                     halving=True, at_once=50)
+    assert halved.best["depth"] in (2, 6) and halved.tried[0][1] > halved.tried[3][1]
+
+
 def test_importances(spark, table, grown):
     impurity = {r["name"]: r for r in explain.impurity_importance(spark, grown, COLUMNS).collect()}
     assert math.isclose(sum(r["importance"] for r in impurity.values()), 1.0)

@@ -247,6 +247,14 @@ def random_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    folds=3).table(spark)
 
 
+@query("forest_search_cv")
+def forest_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight drawn forests and three folds in shared passes, the worse half left behind twice."""
+    train = split.kfold_assign(part(prepared(spark, sf_dir), "train"), KEY, 3)
+    space = {"trees": [4, 6, 8], "depth": [3, 4, 5], "min_leaf": [1, 2, 4], "subset": ["all", "sqrt"]}
+    return tuning.forest_search_cv(train, LABEL, tuning.draw_settings(space, 8, 42), 3, halving=True).table(spark)
+
+
 @query("grid_search_cv")
 def grid_search_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = split.kfold_assign(part(prepared(spark, sf_dir), "train"), KEY, 3)
