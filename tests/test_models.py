@@ -174,6 +174,49 @@ def test_jackknife_equals_the_row_sum(data, table):
     assert np.allclose(out[:, 3] - out[:, 0], 1.959964 * np.sqrt(want), atol=1e-6)
 
 
+def test_deconvolution_finds_the_prior():
+    """Estimates of known variances with known noise: closer to the truth than they were, and never negative."""
+    rng = np.random.default_rng(8)
+    truth = rng.gamma(4.0, 0.25, 20_000)
+    seen = truth + rng.normal(0, 0.6, len(truth))
+    centres = np.linspace(min(seen.min(), 0) - 1, seen.max() + 1, 200)
+    width = centres[1] - centres[0]
+    counts = np.bincount(np.round((seen - centres[0]) / width).astype(int), minlength=200).astype(float)
+    prior = intervals.fit_prior(centres, counts, 0.6)
+    assert math.isclose(prior.sum(), 1.0) and (prior[centres < 0] == 0).all()
+    # Without the part that is spread evenly the prior has the mean and spread of the truth.
+    plain = intervals.fit_prior(centres, counts, 0.6, uniform=0.0)
+    assert abs(plain @ centres - truth.mean()) < 0.03
+    assert abs(math.sqrt(plain @ centres ** 2 - (plain @ centres) ** 2) - truth.std()) < 0.05
+    # The expected truth, worked out value by value.
+    means = intervals.posterior_means(centres, prior, 0.6)
+    for x in (-0.8, 0.3, 1.5, 3.0):
+        i = int(np.abs(centres - x).argmin())
+        weight = [p * math.exp(-0.5 * ((centres[i] - c) / 0.6) ** 2) for p, c in zip(prior, centres)]
+        assert math.isclose(means[i], sum(w * c for w, c in zip(weight, centres)) / sum(weight), rel_tol=1e-9)
+    got = np.interp(seen, centres, means)
+    assert (got >= 0).all() and ((got - truth) ** 2).mean() < 0.6 * ((np.maximum(seen, 0) - truth) ** 2).mean()
+
+
+def test_calibrated_jackknife(data, table):
+    train = table.where("split = 'train'")
+    bag = intervals.bag_fit(train, "y", ["k"], trees=12, depth=3)
+    raw = column(intervals.jackknife_interval(bag, table), "yhat", "variance")
+    out = column(intervals.jackknife_interval(bag, table, calibrate=True), "yhat", "variance", "lower", "upper")
+    assert np.allclose(out[:, 0], raw[:, 0]) and (out[:, 1] > 0).all() and (raw[:, 1] == 0).any()
+    assert np.allclose(out[:, 3] - out[:, 0], 1.959964 * np.sqrt(out[:, 1]), atol=1e-6)
+    # The grid's values are recomputed from the rows' estimates.
+    estimates = column(intervals._estimates(bag, table).select("k", "_e.*"), "variance", "one", "two")
+    noise = np.sqrt(((estimates[:, 1] - estimates[:, 2]) ** 2).mean()) / 2
+    sd = estimates[:, 0].std()
+    centres = np.linspace(min(estimates[:, 0].min() - 2 * sd, 0), estimates[:, 0].max() + 2 * sd, 200)
+    place = np.rint((estimates[:, 0] - centres[0]) / (centres[1] - centres[0])).astype(int)
+    noise = max(noise, centres[1] - centres[0])
+    prior = intervals.fit_prior(centres, np.bincount(place, minlength=200).astype(float), noise)
+    want = np.interp(estimates[:, 0], centres, intervals.posterior_means(centres, prior, noise))
+    assert np.allclose(out[:, 1], want, rtol=1e-3)
+
+
 def test_boosting_learns_and_reloads(spark, data, table, tmp_path):
     _, y = data
     settings = boost.BoostSettings(rounds=11, depth=3, rate=0.4, l2=1.0)

@@ -298,6 +298,13 @@ def jackknife_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.jackknife_interval(bag, part(df, "test")).select(*BOUNDS, "variance")
 
 
+@query("jackknife_calibrated")
+def jackknife_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = prepared(spark, sf_dir)
+    bag = intervals.bag_fit(part(df, "train"), LABEL, KEY, trees=10, depth=5)
+    return intervals.jackknife_interval(bag, part(df, "test"), calibrate=True).select(*BOUNDS, "variance")
+
+
 @query("quantile_boost_interval")
 def quantile_boost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prepared(spark, sf_dir)
