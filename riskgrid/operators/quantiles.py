@@ -12,6 +12,8 @@ from riskgrid.sources.workdir import materialize
 # Groups up to this many rows use the built-in exact percentile, which holds a group's values in memory.
 IN_MEMORY_ROWS = 2_000_000
 BINS = 512
+# One over the rank error of the summary that brackets a quantile, as a part of the rows.
+ACCURACY = 10_000
 
 
 def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
@@ -20,8 +22,8 @@ def exact_quantiles(df: DataFrame, value: Column | str, probs: Sequence[float],
     """One row per group: ``by.., n, q0, q1, ..`` with linearly interpolated quantiles.
 
     Missing values (NULL, NaN) do not count. Groups within ``in_memory_rows`` are done by
-    ``percentile``; larger ones by narrowing value brackets with histograms until each bracket is a
-    single value. Both ways are exact. A known ``total_rows`` within the bound saves the size check.
+    ``percentile``; larger ones by a mergeable rank summary that brackets every quantile and an exact count of what
+    lies in the brackets, two passes whatever the distribution. Both ways are exact. A known ``total_rows`` within the bound saves the size check.
     """
     found = quantile_arrays(df, value, probs, by, in_memory_rows, total_rows)
     return found.select(*by, "n", *[F.get("q", F.lit(i)).alias(f"q{i}") for i in range(len(probs))])
@@ -47,7 +49,8 @@ def quantile_arrays(df: DataFrame, value: Column | str, probs: Sequence[float],
         result = _by_percentile(rows, groups, probs)
     else:
         result = _by_percentile(rows.join(hot, groups, "left_anti"), groups, probs).unionByName(
-            _by_brackets(rows.join(hot, groups, "left_semi"), groups, probs))
+            # Fewer than that many rows are never summarised, so the error is some rows at least.
+            _by_brackets(rows.join(hot, groups, "left_semi"), groups, probs, min(ACCURACY, max(1, in_memory_rows // 10))))
     return result if by else result.drop("_all")
 
 
@@ -56,38 +59,70 @@ def _by_percentile(rows: DataFrame, groups: list[str], probs: Sequence[float]) -
     return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.percentile("_v", wanted).alias("q"))
 
 
-def _by_brackets(rows: DataFrame, groups: list[str], probs: Sequence[float]) -> DataFrame:
-    """Each quantile needs the two order statistics around its position. A bracket ``[lo, hi]`` with
-    ``below`` rows under it is cut into equal-width bins; the bin that holds the wanted rank becomes
-    the next bracket, with the smallest and largest value seen in it as its ends. Since those ends
+def _near(rows: DataFrame, groups: list[str], probs: Sequence[float], accuracy: int) -> tuple[DataFrame, DataFrame]:
+    """Two passes over the rows: ``groups, n, i, lo, hi, below`` for every quantile, and the counted values of its bracket.
+
+    A mergeable rank summary gives values whose ranks are off by at most 1 / accuracy of the rows. Asked for twice that on
+    either side of a quantile, it brackets the wanted ranks for certain (a group has ten rows for each part or more). The second pass counts the rows under every bracket
+    and the distinct values in it: some thousandth of the rows, whatever their distribution.
+    """
+    around = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-2 / accuracy, 2 / accuracy)]
+    summary = rows.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"),
+        F.percentile_approx("_v", F.array(*[F.lit(p) for p in around]), accuracy).alias("s"))
+    brackets = F.array(*[F.struct(
+        F.lit(i).alias("i"),
+        (F.col("least") if around[2 * i] <= 0 else F.get("s", F.lit(2 * i))).alias("lo"),
+        (F.col("most") if around[2 * i + 1] >= 1 else F.get("s", F.lit(2 * i + 1))).alias("hi"))
+        for i in range(len(probs))])
+    summary = materialize(summary.select(*groups, "n", brackets.alias("brackets")), "quantile-brackets")
+    located = rows.join(F.broadcast(summary.drop("n")) if len(groups) == 1 and groups[0] == "_all" else summary.drop("n"), groups)
+    inside = F.filter("brackets", lambda b: (F.col("_v") >= b["lo"]) & (F.col("_v") <= b["hi"]))
+    under = F.size(F.filter("brackets", lambda b: b["lo"] <= F.col("_v")))
+    empty = F.lit(None).cast("double")
+    cells = F.concat(F.array(F.struct(F.lit(-1).alias("i"), under.alias("place"), empty.alias("v"))),
+                     F.transform(inside, lambda b: F.struct(b["i"].alias("i"), F.lit(0).alias("place"),
+                                                            F.col("_v").alias("v"))))
+    counted = materialize(located.select(*groups, F.explode(cells).alias("c")).select(*groups, "c.*")
+                          .groupBy(*groups, "i", "place", "v").agg(F.count(F.lit(1)).alias("c")), "quantile-near")
+    # A row is under a bracket if it is not above its lower end: by how many lower ends it has reached.
+    reached = counted.where("i = -1").groupBy(*groups).agg(
+        F.collect_list(F.struct("place", "c")).alias("reached"))  # at most one entry for each quantile
+    one = summary.select(*groups, "n", F.explode("brackets").alias("b"), "brackets").join(reached, groups)
+    order = F.size(F.filter("brackets", lambda o: (o["lo"] < F.col("b.lo"))))
+    below = F.aggregate("reached", F.lit(0).cast("bigint"),
+                        lambda a, r: a + F.when(r["place"] <= F.col("order"), r["c"]).otherwise(F.lit(0).cast("bigint")))
+    targets = one.withColumn("order", order).select(*groups, "n", "b.i", "b.lo", "b.hi", below.alias("below"))
+    return targets, counted.where("i >= 0").select(*groups, "i", F.col("v").alias("_v"), "c")
+
+
+def _by_brackets(rows: DataFrame, groups: list[str], probs: Sequence[float], accuracy: int = ACCURACY) -> DataFrame:
+    """Each quantile needs the two order statistics around its position. They are brought into brackets by a rank summary
+    and an exact count (two passes over the rows); what lies in the brackets is written, and all else is done on it. A
+    bracket ``[lo, hi]`` with ``below`` rows under it is cut into equal-width bins; the bin that holds the wanted rank
+    becomes the next bracket, with the smallest and largest value seen in it as its ends. Since those ends
     are values of the data, the bracket shrinks in every pass and ends as one value.
     """
-    ends = rows.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    sides = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"),
-                 (F.floor(F.lit(float(p)) * (F.col("n") - 1)) if side == 0
-                  else F.ceil(F.lit(float(p)) * (F.col("n") - 1))).alias("rank"))
-        for i, p in enumerate(probs) for side in (0, 1)])
-    targets = materialize(
-        ends.withColumn("t", F.explode(sides))
-        .select(*groups, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), "t.i", "t.side", "t.rank"),
-        "quantile-targets")
+    starts, near = _near(rows, groups, probs, accuracy)
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), (F.floor if side == 0 else F.ceil)(
+        F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("i")) * (F.col("n") - 1)).alias("rank")) for side in (0, 1)])
+    targets = materialize(starts.withColumn("t", F.explode(sides)).select(
+        *groups, "n", "lo", "hi", "below", "i", "t.side", "t.rank"), "quantile-targets")
+    keys = [*groups, "i"]
     while not targets.where("lo < hi").isEmpty():
         open_targets = targets.where("lo < hi")
-        brackets = open_targets.select(*groups, "lo", "hi").distinct()
+        brackets = open_targets.select(*keys, "lo", "hi").distinct()
         width = F.col("hi") - F.col("lo")
         bin_number = F.least(F.lit(BINS - 1), F.floor((F.col("_v") - F.col("lo")) / width * BINS))
-        histogram = (rows.join(brackets, groups)
+        histogram = (near.join(brackets, keys)
                      .where(F.col("_v").between(F.col("lo"), F.col("hi")))
-                     .groupBy(*groups, "lo", "hi", bin_number.alias("bin"))
-                     .agg(F.count(F.lit(1)).alias("c"), F.min("_v").alias("bin_lo"),
-                          F.max("_v").alias("bin_hi")))
-        lower = Window.partitionBy(*groups, "lo", "hi").orderBy("bin").rowsBetween(
+                     .groupBy(*keys, "lo", "hi", bin_number.alias("bin"))
+                     .agg(F.sum("c").alias("c"), F.min("_v").alias("bin_lo"), F.max("_v").alias("bin_hi")))
+        lower = Window.partitionBy(*keys, "lo", "hi").orderBy("bin").rowsBetween(
             Window.unboundedPreceding, -1)
         histogram = histogram.withColumn("c_before", F.coalesce(F.sum("c").over(lower), F.lit(0)))
         in_bin = F.col("rank") - F.col("below") - F.col("c_before")
-        narrowed = (open_targets.join(histogram, [*groups, "lo", "hi"])
+        narrowed = (open_targets.join(histogram, [*keys, "lo", "hi"])
                     .where((in_bin >= 0) & (in_bin < F.col("c")))
                     .select(*groups, "n", F.col("bin_lo").alias("lo"), F.col("bin_hi").alias("hi"),
                             (F.col("below") + F.col("c_before")).alias("below"), "i", "side", "rank"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from riskgrid import functions as fn
 from riskgrid.operators import aggregates, burden, compare, keys, quality, ranking, reshape, sizes, split
+from riskgrid.operators import quantiles
 from riskgrid.operators.quantiles import exact_quantiles
 from riskgrid.roles import STUDY
 from riskgrid.sources import readers
@@ -96,6 +97,28 @@ def test_exact_quantiles_both_ways(spark, in_memory_rows):
     assert whole["q0"] == float(np.median(np.concatenate(list(data.values()))))
 
 
+@pytest.mark.parametrize("spread", ["wide", "ties", "constant"])
+def test_bracketed_quantiles_of_any_distribution(spark, spread):
+    """Values over 260 powers of ten, few distinct ones, a single one: brackets hold few rows and the result is exact."""
+    rng = np.random.default_rng(6)
+    values = {"wide": np.exp(rng.uniform(-300, 300, 5000)), "ties": rng.integers(0, 4, 5000).astype(float),
+              "constant": np.full(5000, 2.5)}[spread]
+    group = rng.integers(0, 2, 5000)
+    df = spark.createDataFrame([(int(g), float(v)) for g, v in zip(group, values)], "g INT, _v DOUBLE").repartition(3)
+    probs = [0.0, 0.003, 0.25, 0.5, 0.98, 1.0]
+    targets, near = quantiles._near(df, ["g"], probs, 100)
+    for r in targets.collect():
+        own = values[group == r["g"]]
+        assert r["below"] == (own < r["lo"]).sum()
+        rank = probs[r["i"]] * (len(own) - 1)
+        assert np.sort(own)[int(np.floor(rank))] >= r["lo"] and np.sort(own)[int(np.ceil(rank))] <= r["hi"]
+    if spread == "wide":
+        # Of each group at most 4 / accuracy of its rows, and the summary's error, for every quantile.
+        assert near.agg(F.sum("c")).first()[0] < 6 * 2 * 0.065 * 2500
+    for r in quantiles._by_brackets(df, ["g"], probs, 100).collect():
+        assert np.allclose(r["q"], np.quantile(values[group == r["g"]], probs), rtol=1e-12) and r["n"] == (group == r["g"]).sum()
+
+
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_lookup_join_with_a_hot_key(spark, how):
     fact = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i % 40}", i) for i in range(200)]
