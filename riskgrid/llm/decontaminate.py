@@ -5,20 +5,22 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.llm.common import by_size, code_points, spans
+from riskgrid.sources.workdir import materialize
 
 HITS = "array<struct<item_id: bigint, start: int, end: int, edits: int>>"
 GRAM = 8
 EDIT_RATE = 0.08
 # Benchmark characters that one broadcast index covers (about 16 bytes each). A larger benchmark is
-# searched in several passes over the same texts, each with its own index.
+# searched in several passes over the texts, one after the other, each with its own index.
 BLOCK_CHARS = 4_000_000
 # Text characters that are hashed at once, and alignment cells that are filled at once.
 TEXT_CHARS = 1_000_000
@@ -264,17 +266,37 @@ def _group_hits(index: Index, seen: np.ndarray, texts: list[str]) -> list[list[d
 def _search(handle) -> Column:
     @F.pandas_udf(HITS)
     def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index: Index = handle.value
-        seen = index.filter_table() if index.items else None
+        indexes: list[tuple[Index, np.ndarray]] = [(x, x.filter_table()) for x in handle.value]
         for texts in batches:
             hits: list[list[dict]] = []
             for group in by_size(texts, TEXT_CHARS):
-                hits += _group_hits(index, seen, group) if index.items else [[] for _ in group]
+                found: list[list[dict]] = [[] for _ in group]
+                for index, seen in indexes:
+                    for own, more in zip(found, _group_hits(index, seen, group)):
+                        own += more
+                hits += found
             yield pd.Series(hits, index=texts.index, dtype=object)
     # Else a filter on the result makes the planner run the function again below the filter.
     return search.asNondeterministic()
 
 
+def _blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list[DataFrame]:
+    """The benchmark's ``id`` and ``item`` in parts of about BLOCK_CHARS characters, by hash; one part at least."""
+    rows = benchmark.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("item"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
+    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
+    return [rows.where(F.pmod(F.xxhash64("id", "item"), F.lit(blocks)) == block) for block in range(blocks)]
+
+
+def _broadcast(block: DataFrame, q: int, rate: float) -> Broadcast:
+    """The indexes of one block on the executors, one for every gram length."""
+    if not 0 <= rate < 1 / q:
+        raise ValueError("the edit rate must be below 1 / q, else the q-gram lemma keeps every region")
+    items = sorted((tuple(r) for r in block.collect()), key=lambda r: (
+        r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+    return block.sparkSession.sparkContext.broadcast(Index.classes(items, q, rate))
+
+
 def leaks(benchmark: DataFrame, item_id: str, item_text: str, text: Column, q: int = GRAM,
           rate: float = EDIT_RATE) -> Column:
     """A column with the places of ``text`` that hold a benchmark item up to floor(rate * length) edits.
@@ -284,39 +306,53 @@ def leaks(benchmark: DataFrame, item_id: str, item_text: str, text: Column, q: i
     bands that reach the bound of the q-gram lemma are aligned with the item in the band, and alignments
     within the item's edit budget are returned, the best one of overlapping ranges.
 
-    The benchmark goes to the executors in blocks of bounded size, each a pass over the text column, so its
-    size is not limited. Items for which the lemma asks for no shared q-gram are searched by shorter ones. Null and
-    empty texts have no hits. Items that are null or shorter than q characters are not searched, as most texts
-    hold such words by chance. Repeated items are all reported. An empty benchmark gives empty arrays.
+    The column holds the index of the whole benchmark, so one of over BLOCK_CHARS characters is refused with a
+    ValueError: ``contaminated`` and ``clean_documents`` take it block by block. Items for which the lemma asks for no
+    shared q-gram are searched by shorter ones. Null and empty texts have no hits. Items that are null or shorter than
+    q characters are not searched, as most texts hold such words by chance. Repeated items are all reported. An empty
+    benchmark gives empty arrays.
     """
-    if not 0 <= rate < 1 / q:
-        raise ValueError("the edit rate must be below 1 / q, else the q-gram lemma keeps every region")
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).alias("item"))
-    chars = rows.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    found = []
-    for block in range(blocks):
-        mine = rows.where(F.pmod(F.xxhash64("id", "item"), F.lit(blocks)) == block)
-        items = sorted((tuple(r) for r in mine.collect()), key=lambda r: (
-            r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
-        for index in Index.classes(items, q, rate) or [Index.build([], q, rate)]:
-            found.append(_search(spark.sparkContext.broadcast(index))(text))
-    return F.concat(*found) if len(found) > 1 else found[0]
+    blocks = _blocks(benchmark, item_id, item_text)
+    if len(blocks) > 1:
+        raise ValueError(f"the benchmark has over {BLOCK_CHARS} characters: use contaminated or clean_documents")
+    return _search(_broadcast(blocks[0], q, rate))(text)
 
 
 def contaminated(documents: DataFrame, text: str, keep: list[str], benchmark: DataFrame, item_id: str,
                  item_text: str) -> DataFrame:
-    """One row per hit: ``keep`` columns, ``item_id``, ``start``, ``end``, ``edits``. See ``leaks``."""
-    hit = F.explode(leaks(benchmark, item_id, item_text, F.col(text)))
-    return (documents.select(F.struct(*keep).alias("kept"), hit.alias("hit"))
-            .select("kept.*", "hit.*"))
+    """One row per hit: ``keep`` columns, ``item_id``, ``start``, ``end``, ``edits``. See ``leaks``.
+
+    A benchmark of any size: beyond BLOCK_CHARS characters it is searched in blocks, each a pass over the texts whose
+    hits are written to the shared folder before the next block's index is built, so one is held at a time.
+    """
+    def hits(handle: Broadcast) -> DataFrame:
+        return documents.select(F.struct(*keep).alias("kept"), F.explode(_search(handle)(F.col(text))).alias("hit"))
+
+    blocks = _blocks(benchmark, item_id, item_text)
+    if len(blocks) == 1:
+        return hits(_broadcast(blocks[0], GRAM, EDIT_RATE)).select("kept.*", "hit.*")
+    parts = []
+    for block in blocks:
+        handle = _broadcast(block, GRAM, EDIT_RATE)
+        parts.append(materialize(hits(handle), "leaks"))
+        handle.destroy()
+    return reduce(DataFrame.unionAll, parts).select("kept.*", "hit.*")
 
 
 def clean_documents(documents: DataFrame, text: str, benchmark: DataFrame, item_id: str,
                     item_text: str) -> DataFrame:
-    """The documents without a hit, with all their columns. Null texts are clean."""
-    names = documents.columns
-    whole = documents.select(F.struct(*names).alias("row"), F.size(
-        leaks(benchmark, item_id, item_text, F.col(text))).alias("hits"))
-    return whole.where(F.col("hits") == 0).select("row.*")
+    """The documents without a hit, with all their columns. Null texts are clean.
+
+    A benchmark of over BLOCK_CHARS characters is searched in blocks: the documents that one leaves are written to the
+    shared folder, and the next one's index is built then.
+    """
+    rows = documents.select(F.struct(*documents.columns).alias("row"))
+    handle = None
+    for block in _blocks(benchmark, item_id, item_text):
+        if handle is not None:
+            rows = materialize(rows, "clean")
+            handle.destroy()
+        handle = _broadcast(block, GRAM, EDIT_RATE)
+        hits = _search(handle)(F.col("row").getField(text))
+        rows = rows.select("row", F.size(hits).alias("hits")).where(F.col("hits") == 0).select("row")
+    return rows.select("row.*")

@@ -94,9 +94,55 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     docs, items = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/benchmark.parquet")
     hits = lambda: sorted(tuple(r) for r in D.contaminated(
         docs, "text", ["doc_id"], items, "item_id", "text").collect())
-    whole = hits()
+    clean = lambda: sorted(r[0] for r in D.clean_documents(
+        docs, "text", items, "item_id", "text").select("doc_id").collect())
+    whole, left = hits(), clean()
     monkeypatch.setattr(D, "BLOCK_CHARS", 2000)
-    assert hits() == whole
+    assert hits() == whole and clean() == left
+
+
+def test_one_block_is_searched_at_a_time(spark, monkeypatch):
+    """Every pass has one Python node, and its index is gone before the next block's is built."""
+    word = lambda rng, n: "".join(rng.choices("abcdefghij", k=n))
+    rng = random.Random(31)
+    items = [(i, word(rng, 13 + 20 * (i % 4))) for i in range(12)]
+    docs = [(i, f"{word(rng, 20)} {items[i % 12][1]} {items[(i + 5) % 12][1]}") for i in range(24)]
+    docs += [(100 + i, word(rng, 60)) for i in range(6)] + [(200, None)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("own"))
+    benchmark = spark.createDataFrame(items, ITEMS)
+    plans, live, most = [], set(), []
+    write, send = D.materialize, D._broadcast
+
+    def written(rows, name):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(rows, name)
+
+    def sent(block, q, rate):
+        handle = send(block, q, rate)
+        live.add(id(handle))
+        most.append(len(live))
+        gone = handle.destroy
+
+        def destroy():
+            live.discard(id(handle))
+            gone()
+        handle.destroy = destroy
+        return handle
+
+    monkeypatch.setattr(D, "materialize", written)
+    monkeypatch.setattr(D, "_broadcast", sent)
+    monkeypatch.setattr(D, "BLOCK_CHARS", sum(len(x) for _, x in items) // 3)
+    with pytest.raises(ValueError, match="use contaminated"):
+        D.leaks(benchmark, "item_id", "text", F.col("text"))
+    got = D.contaminated(df, "text", ["doc_id", "item_id"], benchmark, "item_id", "text").toDF(
+        "doc_id", "own", "item_id", "start", "end", "edits")
+    assert {(r[0], r[2]) for r in got.collect()} == {
+        (i, k) for i in range(24) for k in (i % 12, (i + 5) % 12)}
+    assert len(plans) == 3 and most == [1] * 3 and not live
+    left = D.clean_documents(df, "text", benchmark, "item_id", "text")
+    assert sorted(r[0] for r in left.collect()) == [*range(100, 106), 200] and left.columns == df.columns
+    assert len(plans) == 5 and most == [1] * 6
+    assert all(p.count("ArrowEvalPython") == 1 for p in plans)
 
 
 def test_slices_of_shared_grams_give_the_same(monkeypatch):
