@@ -19,18 +19,20 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two star operations until nothing changes: every node hands its larger neighbours, then
     its smaller ones, to its smallest neighbour. The number of links never grows, the number of rounds is
     logarithmic in the length of chains, and each round is written to the shared folder. Minima are
-    pre-aggregated, so a node with very many neighbours costs one row per task. Links of a node to itself
-    and null ends are ignored.
+    pre-aggregated, so a node with very many neighbours costs one row per task; they are written before they are
+    joined, so that a join is between two plain shuffles and the links of such a node can be split over tasks.
+    Links of a node to itself and null ends are ignored.
     """
     star = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                        .dropna().where(F.col("a") > F.col("b")).distinct(), "links")
     before = _state(star)
     while before[0]:
         both = star.union(star.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"),
-                                                                            F.col("m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")),
+                            "least")
+        large = materialize(both.where(F.col("b") > F.col("a")).join(least, "a").select(
+            F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        small = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "small")
         star = materialize(
             large.join(small, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(small).distinct(), "links")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from riskgrid.llm import components as C
 from riskgrid.llm import simhash as S
 from riskgrid.llm.components import components
 from tests.llm.samples import Groups, no_documents, odd_documents
@@ -179,3 +181,34 @@ def test_components_of_odd_links(spark):
     links = spark.createDataFrame([(1, 1), (2, None), (None, None), (5, 4), (4, 5), (5, 6), (9, 8)], "a bigint, b bigint")
     assert {tuple(r) for r in components(links).collect()} == {(4, 4), (5, 4), (6, 4), (8, 8), (9, 8)}
     assert components(links.limit(0)).count() == 0
+
+
+def test_one_giant_component(spark, monkeypatch):
+    """100,000 nodes: the first one has half of all links, the others hang on earlier nodes; its links are split."""
+    rng = np.random.default_rng(8)
+    n = 100_000
+    parent = np.where(np.arange(1, n) % 2 == 0, 0, (rng.random(n - 1) * np.arange(1, n)).astype(int))
+    names = rng.permutation(n) + 7
+    links = spark.createDataFrame(pd.DataFrame({"a": names[1:], "b": names[parent]}))
+    plans, write = [], C.materialize
+
+    def written(df, name):
+        if name in ("large", "links"):
+            counted = df.selectExpr("count(*)")
+            counted.collect()
+            plans.append(counted._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(C, "materialize", written)
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        found = components(links).collect()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    assert len(found) == n and {r["root"] for r in found} == {7}
+    assert any("skew=true" in x for x in plans)
