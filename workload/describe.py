@@ -102,7 +102,27 @@ def histogram_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.histogram_auto(t.pixels(spark, sf_dir, "foi"), "foi"), 8)
 
 
-@query("density_curve")
+@query("density_curve", """
+    SELECT * FROM (WITH frame AS (
+            SELECT code, n, lo, h, (hi - lo) / 63 AS step
+            FROM (SELECT code, n, lo, hi, 0.9e0 * n ** (-0.2e0) * coalesce(
+                         CASE WHEN least(sd, iqr) > 0 THEN least(sd, iqr) WHEN sd > 0 THEN sd END, 1) AS h
+                  FROM (SELECT code, count(*)::DOUBLE AS n, min(value) AS lo, max(value) AS hi, stddev_samp(value) AS sd,
+                               (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34e0 AS iqr
+                        FROM mapped_foi WHERE value IS NOT NULL GROUP BY code))),
+        placed AS (
+            SELECT code, position, least(floor(position), 62)::INTEGER AS place
+            FROM (SELECT code, coalesce((value - lo) / nullif(step, 0), 0) AS position
+                  FROM mapped_foi JOIN frame USING (code) WHERE value IS NOT NULL)),
+        weights AS (
+            SELECT code, place, sum(w) AS w
+            FROM (SELECT code, place, 1 - (position - place) AS w FROM placed
+                  UNION ALL SELECT code, place + 1, position - place FROM placed) GROUP BY code, place)
+        SELECT f.code, p.point::INTEGER AS point, round(f.lo + p.point * f.step, 6) AS at,
+               round(sum(w.w * exp(-0.5e0 * ((p.point - w.place) * f.step / f.h) ** 2))
+                     / (f.n * f.h * sqrt(2 * pi())), 6) AS density, round(f.h, 6) AS bandwidth
+        FROM frame f CROSS JOIN (SELECT unnest(range(64)) AS point) p JOIN weights w ON w.code = f.code
+        GROUP BY f.code, p.point, f.lo, f.step, f.n, f.h)""")
 def density_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregates.density_curve(pooled(spark, sf_dir), "value", ["code"]))
 
