@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from riskgrid.operators import burden, keys
+from riskgrid.sources.workdir import materialize
 
 
 @dataclass(frozen=True)
@@ -54,3 +55,14 @@ def generate_cases_by_age(inputs: CaseInputs) -> DataFrame:
 def generate_cases(inputs: CaseInputs) -> DataFrame:
     """Cases per pixel over all ages."""
     return burden.cases_total(located_pixels(inputs), profile(inputs), mean_rate(inputs), inputs.n_ages)
+
+
+def generate_cases_both(inputs: CaseInputs) -> tuple[DataFrame, DataFrame]:
+    """Cases per pixel and age (long), and per pixel over all ages.
+
+    Pixels are located once and written to the shared folder, as are the profiles; both tables start there.
+    """
+    located, shares = materialize(located_pixels(inputs), "located"), materialize(profile(inputs), "profile")
+    rate = mean_rate(inputs)
+    ages = burden.catalytic_cases(burden.pop_by_age(located, shares, inputs.spread), rate)
+    return ages, burden.cases_total(located, shares, rate, inputs.n_ages)

@@ -65,3 +65,13 @@ def test_samples_are_a_filter(spark):
 def test_totals_need_no_row_per_age(spark):
     text = plan(case_generation.generate_cases(t.case_inputs(spark, SF)))
     assert "Generate" not in text and text.count("HashAggregate") == 2  # the averages per order only
+
+
+def test_both_case_tables_equal_the_single_ones(spark):
+    inputs = t.case_inputs(spark, SF)
+    ages, totals = case_generation.generate_cases_both(inputs)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for got, want in ((ages, case_generation.generate_cases_by_age(inputs)), (totals, case_generation.generate_cases(inputs))):
+        assert got.columns == want.columns
+        assert [r[:2] for r in rows(got)] == [r[:2] for r in rows(want)]
+        assert abs(got.agg({"cases": "sum"}).first()[0] - want.agg({"cases": "sum"}).first()[0]) < 1e-6

@@ -130,9 +130,7 @@ def sink_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'Total', count(*), round(sum(cases), 4) FROM pixel_cases""")
 def sink_cases_by_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = sources.shared_path(spark, "cases")
-    inputs = t.case_inputs(spark, sf_dir)
-    sources.write_cases_by_age(case_generation.generate_cases_by_age(inputs),
-                               case_generation.generate_cases(inputs), path)
+    sources.write_cases_by_age(*case_generation.generate_cases_both(t.case_inputs(spark, sf_dir)), path)
     return spark.read.parquet(path).groupBy("part").agg(
         F.count("*").alias("n"), F.round(F.sum("cases"), 4).alias("cases"))
 
