@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.operators.aggregates import running_share
@@ -82,7 +82,7 @@ def permutation_importance(df: DataFrame, scorer: Scorer, label: str, keys: Sequ
     paired = turns.join(givers.hint("shuffle_hash"), ["repeat", "_row"]).select("repeat", "_y", "_x", "_p")
     swapped = (paired.withColumn("_j", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))))
                .where("_j >= 0 OR repeat = 0")
-               .select("repeat", "_j", "_y", array_to_vector(F.expr(
+               .select("repeat", "_j", "_y", _scored_as(scorer, F.expr(
                    "transform(_x, (v, i) -> CASE WHEN i = _j THEN _p[i] ELSE v END)")).alias("features")))
     errors = scorer(swapped).groupBy("repeat", "_j").agg(
         F.sum((F.col("_y") - F.col("yhat")) * (F.col("_y") - F.col("yhat"))).alias("sse"),
@@ -112,7 +112,12 @@ def feature_grid(df: DataFrame, column: str, points: int = 100, ends: tuple[floa
     return [float(v) for v in np.linspace(row["q0"], row["q1"], points)]
 
 
-def grid_rows(df: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
+def _scored_as(scorer: Scorer | None, values: Column) -> Column:
+    """Changed features in the form that the scorer takes: the library's own ensembles need no vectors."""
+    return values if isinstance(getattr(scorer, "__self__", None), Ensemble) else array_to_vector(values)
+
+
+def grid_rows(df: DataFrame, grids: dict[int, list[float]], scorer: Scorer | None = None) -> DataFrame:
     """Every row once per grid value, with that value in place of its own.
 
     The grid is an array literal of at most a few hundred numbers that each row unfolds by itself;
@@ -125,7 +130,7 @@ def grid_rows(df: DataFrame, grids: dict[int, list[float]]) -> DataFrame:
     return (df.select(*others, vector_to_array("features").alias("_x"), F.explode(cells).alias("_c"))
             .select(*others, F.col("_c.j").alias("_j"), F.col("_c.i").alias("grid_index"),
                     F.col("_c.v").alias("grid_value"),
-                    array_to_vector(F.expr("transform(_x, (v, i) -> CASE WHEN i = _c.j THEN _c.v ELSE v END)"))
+                    _scored_as(scorer, F.expr("transform(_x, (v, i) -> CASE WHEN i = _c.j THEN _c.v ELSE v END)"))
                     .alias("features")))
 
 
@@ -140,7 +145,7 @@ def partial_dependence(df: DataFrame, scorer: Scorer, names: Sequence[str], feat
     The table has the feature columns and their vector; rows are unfolded, scored and summed in one
     stage, and only one partial sum per grid value is shuffled.
     """
-    swept = scorer(grid_rows(df.select("features"), _grids(df, names, features, points)))
+    swept = scorer(grid_rows(df.select("features"), _grids(df, names, features, points), scorer))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_j") + 1)
     return (swept.groupBy(label.alias("name"), "grid_index", "grid_value")
             .agg(F.avg("yhat").alias("mean")))
@@ -184,6 +189,6 @@ def ice_curves(df: DataFrame, scorer: Scorer, names: Sequence[str], features: Se
                keys: Sequence[str], n: int = 100, points: int = 100, seed: int = 1) -> DataFrame:
     """One curve per sampled row: ``keys.., name, grid_index, grid_value, yhat``."""
     rows = sample_n(df, keys, n, seed).select(*keys, "features")
-    swept = scorer(grid_rows(rows, _grids(df, names, features, points)))
+    swept = scorer(grid_rows(rows, _grids(df, names, features, points), scorer))
     label = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_j") + 1)
     return swept.select(*keys, label.alias("name"), "grid_index", "grid_value", "yhat")

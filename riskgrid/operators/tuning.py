@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import vector_to_array
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.operators.forest import bag_weights, grow_bag, share_of_features
 from riskgrid.operators.growing import LOCAL_ROWS, Growth, bin_edges, binned, grow
-from riskgrid.operators.packed import Ensemble, Packed, Tree, matrix, tree_outputs
+from riskgrid.operators.packed import Ensemble, Packed, Tree, matrix, numbers, tree_outputs
 from riskgrid.sources.workdir import materialize
 
 
@@ -107,22 +107,24 @@ def _held_out(rows: DataFrame, forests: dict[tuple, dict[int, list[Tree]]], size
         [(group, k, Packed(trees), np.array(sizes[group])) for group, by_fold in forests.items()
          for k, trees in by_fold.items()])
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            if batch.empty:
+            if not batch.num_rows:
                 continue
-            x, y, folds = matrix(batch["_x"]), batch["_y"].to_numpy(float), batch["_fold"].to_numpy()
+            x, y, folds = matrix(batch.column("_x")), numbers(batch.column("_y")), numbers(batch.column("_fold"))
             for i, (_, k, packed, prefix) in enumerate(shipped.value):
                 own = np.flatnonzero(folds == k)
                 if len(own):
                     means = np.cumsum(tree_outputs(packed, x[own]), axis=1)[:, prefix - 1] / prefix
                     for j, sse in enumerate(((y[own, None] - means) ** 2).sum(axis=0)):
                         sums[i, j] = sums.get((i, j), 0) + np.array([sse, len(own)])
-        yield pd.DataFrame([(i, j, *v) for (i, j), v in sums.items()], columns=["i", "j", "sse", "n"]).astype(
-            {"i": "int32", "j": "int32", "sse": float, "n": float})
+        yield pa.RecordBatch.from_pydict({
+            "i": pa.array([i for i, _ in sums], pa.int32()), "j": pa.array([j for _, j in sums], pa.int32()),
+            "sse": pa.array([v[0] for v in sums.values()], pa.float64()),
+            "n": pa.array([float(v[1]) for v in sums.values()], pa.float64())})
 
-    found = rows.mapInPandas(partial, "i int, j int, sse double, n double").groupBy("i", "j").agg(
+    found = rows.mapInArrow(partial, "i int, j int, sse double, n double").groupBy("i", "j").agg(
         (F.sum("sse") / F.sum("n")).alias("mse")).collect()
     scores: dict[tuple, list[float]] = {}
     for r in found:
@@ -160,8 +162,7 @@ def forest_search_cv(df: DataFrame, label: str, settings: Sequence[dict], folds:
         for at in range(0, len(wanted), at_once):
             part = wanted[at:at + at_once]
             copies = F.array(*[bag_weights(["_id"], 1, seed, t)[0] * (F.col("_fold") != k).cast("double") for _, k, t in part])
-            drawn = table.withColumn("_n", copies).select(
-                features, "_b", F.transform("_n", lambda w: -w * F.col("_y")).alias("_g"), F.col("_n").alias("_h"), "_n")
+            drawn = materialize(table.select(features, "_b", "_y", copies.alias("_n")), "drawn")
             limits = [Growth(g[0], g[1], by_node=share_of_features(g[2], len(edges)), seed=seed) for g, _, _ in part]
             grown = grow(drawn, edges, limits, len(part), 0, local_rows, features, numbers=[t for _, _, t in part])
             for (g, k, _), tree in zip(part, grown):
