@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.operators.aggregates import running_share
-from riskgrid.operators.packed import Ensemble, Tree, pack
+from riskgrid.operators.packed import Ensemble, Packed, Tree, as_array, matrix, pack
 from riskgrid.operators.quantiles import exact_quantiles
 from riskgrid.operators.split import numbered, permuted, sample_n
 from riskgrid.operators.trees import node_table
@@ -143,14 +144,47 @@ def partial_dependence(df: DataFrame, scorer: Scorer, names: Sequence[str], feat
     """Mean prediction as one feature sweeps its grid: ``name, grid_index, grid_value, mean``.
 
     The table has the feature columns and their vector; rows are unfolded, scored and summed in one
-    stage, and only one partial sum per grid value is shuffled.
+    stage, and only one partial sum per grid value is shuffled. The library's own ensembles sweep a batch as a matrix.
     """
-    swept = scorer(grid_rows(df.select("features"), _grids(df, names, features, points), scorer))
+    grids = _grids(df, names, features, points)
+    model = getattr(scorer, "__self__", None)
+    if isinstance(model, Ensemble) and scorer == model.transform and model.fits_one_block() and any(grids.values()):
+        return _swept_means(df, model, names, grids)
+    swept = scorer(grid_rows(df.select("features"), grids, scorer))
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_j") + 1)
     return (swept.groupBy(label.alias("name"), "grid_index", "grid_value")
             .agg(F.avg("yhat").alias("mean")))
 
 
+def _swept_means(df: DataFrame, model: Ensemble, names: Sequence[str], grids: dict[int, list[float]]) -> DataFrame:
+    """Every row is scored at every grid value inside its batch; a task gives one sum for a value."""
+    cells = [(j, i, float(v)) for j, values in grids.items() for i, v in enumerate(values)]
+    weight = model.rate / len(model) if model.mean and len(model) else model.rate
+    shipped = df.sparkSession.sparkContext.broadcast(Packed(model.trees) if len(model) else None)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, n = np.zeros(len(cells)), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("_x"))
+            n += len(x)
+            for at, (j, _, v) in enumerate(cells):
+                swept = x.copy()
+                swept[:, j] = v
+                outputs = shipped.value.sums(swept) if shipped.value else np.zeros(len(x))
+                sums[at] += (model.base + weight * outputs).sum()
+        if n:
+            yield pa.RecordBatch.from_pydict({"cell": np.arange(len(cells), dtype=np.int32), "sum": sums,
+                                              "n": np.full(len(cells), n, dtype=np.int64)})
+
+    means = (df.select(as_array(df, "features").alias("_x")).mapInArrow(partial, "cell int, sum double, n bigint")
+             .groupBy("cell").agg((F.sum("sum") / F.sum("n")).alias("mean")))
+    labels = F.array(*[F.struct(F.lit(names[j]).alias("name"), F.lit(i).alias("i"), F.lit(v).alias("v")) for j, i, v in cells])
+    own = F.get(labels, F.col("cell"))
+    return means.select(own["name"].alias("name"), own["i"].alias("grid_index"), own["v"].alias("grid_value"), "mean")
+
+
 def node_dependence(tree: Tree, feature: int, grid: np.ndarray) -> np.ndarray:
     """Output of a tree for every value of one feature, the others averaged by the rows of the nodes they lead to."""
     weight = np.zeros((len(tree), len(grid)))
