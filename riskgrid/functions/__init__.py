@@ -1,4 +1,4 @@
-"""Column functions shared by the operators. All of them are built-in expressions."""
+"""Column functions shared by the operators. All but ``poisson_counts`` are built-in expressions."""
 
 from riskgrid.functions.scalar import (
     age_label,
@@ -10,9 +10,11 @@ from riskgrid.functions.scalar import (
     link,
     percentile_of_sorted,
     pixel_key_columns,
+    poisson_counts,
     poisson_one,
     round_count,
     row_hash,
+    whole,
 )
 
 __all__ = [
@@ -25,7 +27,9 @@ __all__ = [
     "link",
     "percentile_of_sorted",
     "pixel_key_columns",
+    "poisson_counts",
     "poisson_one",
     "round_count",
     "row_hash",
+    "whole",
 ]

@@ -10,14 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskgrid.functions import hash_uniform, poisson_counts
 from riskgrid.operators.forest import bag_weights, grow_bag, share_of_features
-from riskgrid.operators.growing import LOCAL_ROWS, Growth, bin_edges, binned, grow
-from riskgrid.operators.packed import Ensemble, Packed, Tree, matrix, numbers, tree_outputs
+from riskgrid.operators.growing import LOCAL_ROWS, Growth, as_bytes, bin_edges, binned, doubles, grow
+from riskgrid.operators.packed import Ensemble, Packed, Tree, as_array, numbers, tree_outputs
 from riskgrid.sources.workdir import materialize
 
 
@@ -112,7 +112,7 @@ def _held_out(rows: DataFrame, forests: dict[tuple, dict[int, list[Tree]]], size
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y, folds = matrix(batch.column("_x")), numbers(batch.column("_y")), numbers(batch.column("_fold"))
+            x, y, folds = doubles(batch.column("_x")), numbers(batch.column("_y")), numbers(batch.column("_fold"))
             for i, (_, k, packed, prefix) in enumerate(shipped.value):
                 own = np.flatnonzero(folds == k)
                 if len(own):
@@ -146,11 +146,12 @@ def forest_search_cv(df: DataFrame, label: str, settings: Sequence[dict], folds:
     base = {"trees": 180, "depth": 40, "min_leaf": 1, "subset": "sqrt"}
     full = [{**base, **s} for s in settings]
     group_of = [(s["depth"], s["min_leaf"], s["subset"]) for s in full]
-    rows = materialize(df.select(features, F.col(label).cast("double").alias("_y"), F.col(fold).cast("int").alias("_fold"))
+    rows = materialize(df.select(as_array(df, features).alias(features), F.col(label).cast("double").alias("_y"),
+                                 F.col(fold).cast("int").alias("_fold"))
                        .withColumn("_id", F.monotonically_increasing_id()), "search")
     edges = bin_edges(rows, features)
-    table = materialize(binned(rows, edges, features), "search")
-    scoring = rows.select(vector_to_array(features).alias("_x"), "_y", "_fold")
+    table = materialize(binned(rows, edges, features).withColumn("_x", as_bytes(features)).drop(features), "search")
+    scoring = table.select("_x", "_y", "_fold")
     forests: dict[tuple, dict[int, list[Tree]]] = {g: {k: [] for k in range(folds)} for g in group_of}
     alive, scores = list(range(len(full))), [float("inf")] * len(full)
     for share in (0.25, 0.5, 1.0) if halving else (1.0,):
@@ -161,10 +162,12 @@ def forest_search_cv(df: DataFrame, label: str, settings: Sequence[dict], folds:
         wanted = [(g, k, t) for g, v in sizes.items() for k in range(folds) for t in range(len(forests[g][k]), v[-1])]
         for at in range(0, len(wanted), at_once):
             part = wanted[at:at + at_once]
-            copies = F.array(*[bag_weights(["_id"], 1, seed, t)[0] * (F.col("_fold") != k).cast("double") for _, k, t in part])
-            drawn = materialize(table.select(features, "_b", "_y", copies.alias("_n")), "drawn")
+            # The number 0 draws no copy.
+            copies = poisson_counts(F.array(*[F.when(F.col("_fold") != k, hash_uniform(["_id"], t + seed)).otherwise(0.0)
+                                              for _, k, t in part]))
+            drawn = materialize(table.select("_x", "_b", "_y", as_bytes(copies).alias("_n")), "drawn")
             limits = [Growth(g[0], g[1], by_node=share_of_features(g[2], len(edges)), seed=seed) for g, _, _ in part]
-            grown = grow(drawn, edges, limits, len(part), 0, local_rows, features, numbers=[t for _, _, t in part])
+            grown = grow(drawn, edges, limits, len(part), 0, local_rows, "_x", numbers=[t for _, _, t in part])
             for (g, k, _), tree in zip(part, grown):
                 forests[g][k].append(tree)
         found = _held_out(scoring, {g: forests[g] for g in sizes}, sizes)

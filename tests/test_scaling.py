@@ -9,9 +9,10 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from riskgrid import sources
-from riskgrid.operators import growing
+from riskgrid.functions import hash_uniform, poisson_counts, poisson_one, whole
+from riskgrid.operators import explain, growing, keys
 from riskgrid.operators.growing import Growth
-from riskgrid.operators.packed import arrays, matrix, numbers
+from riskgrid.operators.packed import Ensemble, arrays, matrix, numbers
 from riskgrid.operators.quantiles import numbered_quantiles
 
 PROBS = [0.0, 0.05, 0.5, 0.95, 1.0]
@@ -57,6 +58,57 @@ def test_arrow_columns_are_matrices():
         matrix(pa.array([[1.0, 2.0], None]))
 
 
+def test_whole_rounds_as_round_does(spark):
+    """Halves away from zero, numbers next to a half, large ones, and what is no number."""
+    values = [0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 12.499999999999998, 0.0, -0.2, 4503599627370497.5, 1e300,
+              -7.0, None, float("nan"), float("inf")]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(whole(F.col("v")), F.round("v")).collect()
+    for got, want in rows:
+        assert got == want or got is want or (got != got and want != want)
+
+
+def test_a_known_lattice_computes_no_row(spark, monkeypatch):
+    """One row of a join or aggregation costs all of it."""
+    def refuse(*_):
+        raise AssertionError("the table is computed for its lattice")
+
+    df = spark.createDataFrame([(2.0, 4.0, 1), (7.0, 4.0, 2)], "x double, y double, v int")
+    want = sorted(keys.attach_by_pixel(df.drop("v"), df, ["v"]).collect())
+    monkeypatch.setattr(keys, "lattice_origin", refuse)
+    assert sorted(keys.attach_by_pixel(df.drop("v"), df, ["v"], origin=(2.0, 4.0)).collect()) == want and len(want) == 2
+
+
+def test_rows_as_bytes_grow_the_tree_of_their_arrays(spark):
+    df = spark.range(900).select(F.array(F.rand(1), F.rand(2)).alias("features"), F.rand(3).alias("_y"),
+                                 poisson_counts(F.array(hash_uniform(["id"], 1), hash_uniform(["id"], 2))).alias("_n"),
+                                 F.array(*[poisson_one(hash_uniform(["id"], s)) for s in (1, 2)]).alias("m")).persist()
+    assert df.where("_n <> m").count() == 0
+    edges = growing.bin_edges(df)
+    rows = growing.binned(df, edges).persist()
+    short = rows.select("_b", "_y", growing.as_bytes("_n").alias("_n"), growing.as_bytes("features").alias("_x"))
+    for local in (0, 200, 10 ** 6):
+        for got, want in zip(growing.grow(short, edges, Growth(depth=4), 2, local_rows=local, features="_x"),
+                             growing.grow(rows, edges, Growth(depth=4), 2, local_rows=local)):
+            assert np.array_equal(got.feature, want.feature) and np.allclose(got.value, want.value)
+            assert np.array_equal(got.threshold, want.threshold)
+
+
+def test_an_ensemble_sweeps_its_batches(spark, monkeypatch):
+    """Rows are not unfolded for the grid values, and the means are those of unfolded rows."""
+    from pyspark.ml.functions import array_to_vector
+
+    df = spark.range(300).select(F.rand(1).alias("a"), (F.col("id") % 4).cast("double").alias("b"), F.rand(3).alias("_y"),
+                                 F.array(F.lit(1.0)).alias("_n"))
+    df = df.withColumn("features", array_to_vector(F.array("a", "b"))).persist()
+    edges = growing.bin_edges(df)
+    model = Ensemble(tuple(growing.grow(growing.binned(df, edges), edges, Growth(depth=4))), base=0.5, rate=0.3)
+    want = explain.partial_dependence(df, lambda rows: model.transform(rows), ["a", "b"], ["a", "b"], points=6).collect()
+    monkeypatch.setattr(explain, "grid_rows", None)
+    got = explain.partial_dependence(df, model.transform, ["a", "b"], ["a", "b"], points=6).collect()
+    assert len(got) == 10 and [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)]
+    assert np.allclose([r["mean"] for r in sorted(got)], [r["mean"] for r in sorted(want)], rtol=1e-12)
+
+
 def test_ages_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     """Every folder has its own writer, as many as there are ages; the setting is put back."""
     name = "spark.sql.maxConcurrentOutputFileWriters"
