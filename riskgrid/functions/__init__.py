@@ -11,6 +11,7 @@ from riskgrid.functions.scalar import (
     percentile_of_sorted,
     pixel_key_columns,
     poisson_counts,
+    poisson_of,
     poisson_one,
     round_count,
     row_hash,
@@ -28,6 +29,7 @@ __all__ = [
     "percentile_of_sorted",
     "pixel_key_columns",
     "poisson_counts",
+    "poisson_of",
     "poisson_one",
     "round_count",
     "row_hash",
