@@ -14,10 +14,10 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.functions import hash_uniform, poisson_counts
-from riskgrid.operators.forest import bag_weights, grow_bag, share_of_features
-from riskgrid.operators.growing import LOCAL_ROWS, Growth, as_bytes, bin_edges, binned, doubles, grow
-from riskgrid.operators.packed import Ensemble, Packed, Tree, as_array, numbers, tree_outputs
+from riskgrid.functions import hash_uniform
+from riskgrid.operators.forest import bag_uniforms, grow_bag, share_of_features
+from riskgrid.operators.growing import LOCAL_ROWS, Growth, bin_edges, block_table, doubles, gathered, grow
+from riskgrid.operators.packed import Ensemble, Packed, Tree, as_array, tree_outputs
 from riskgrid.sources.workdir import materialize
 
 
@@ -109,10 +109,9 @@ def _held_out(rows: DataFrame, forests: dict[tuple, dict[int, list[Tree]]], size
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y, folds = doubles(batch.column("_x")), numbers(batch.column("_y")), numbers(batch.column("_fold"))
+        for batch in gathered(batches):
+            y, folds = (doubles(batch.column(c), 1).ravel() for c in ("_y", "_fold"))
+            x = doubles(batch.column("_x"), len(y))
             for i, (_, k, packed, prefix) in enumerate(shipped.value):
                 own = np.flatnonzero(folds == k)
                 if len(own):
@@ -150,8 +149,7 @@ def forest_search_cv(df: DataFrame, label: str, settings: Sequence[dict], folds:
                                  F.col(fold).cast("int").alias("_fold"))
                        .withColumn("_id", F.monotonically_increasing_id()), "search")
     edges = bin_edges(rows, features)
-    table = materialize(binned(rows, edges, features).withColumn("_x", as_bytes(features)).drop(features), "search")
-    scoring = table.select("_x", "_y", "_fold")
+    scoring = None
     forests: dict[tuple, dict[int, list[Tree]]] = {g: {k: [] for k in range(folds)} for g in group_of}
     alive, scores = list(range(len(full))), [float("inf")] * len(full)
     for share in (0.25, 0.5, 1.0) if halving else (1.0,):
@@ -163,9 +161,10 @@ def forest_search_cv(df: DataFrame, label: str, settings: Sequence[dict], folds:
         for at in range(0, len(wanted), at_once):
             part = wanted[at:at + at_once]
             # The number 0 draws no copy.
-            copies = poisson_counts(F.array(*[F.when(F.col("_fold") != k, hash_uniform(["_id"], t + seed)).otherwise(0.0)
-                                              for _, k, t in part]))
-            drawn = materialize(table.select("_x", "_b", "_y", as_bytes(copies).alias("_n")), "drawn")
+            draws = F.array(*[F.when(F.col("_fold") != k, hash_uniform(["_id"], t + seed)).otherwise(0.0)
+                              for _, k, t in part])
+            drawn = block_table(rows, edges, draws, True, features, ["_fold"])
+            scoring = drawn.select("_rows", "_x", "_y", "_fold") if scoring is None else scoring
             limits = [Growth(g[0], g[1], by_node=share_of_features(g[2], len(edges)), seed=seed) for g, _, _ in part]
             grown = grow(drawn, edges, limits, len(part), 0, local_rows, "_x", numbers=[t for _, _, t in part])
             for (g, k, _), tree in zip(part, grown):
@@ -177,6 +176,7 @@ def forest_search_cv(df: DataFrame, label: str, settings: Sequence[dict], folds:
             alive = sorted(sorted(alive, key=lambda i: (scores[i], i))[: max(1, -(-len(alive) // 2))])
     best = min(alive, key=lambda i: (scores[i], i))
     chosen = full[best]
-    model = grow_bag(rows, "_y", chosen["trees"], lambda first, n: bag_weights(["_id"], n, seed, first),
-                     Growth(chosen["depth"], chosen["min_leaf"], seed=seed), chosen["subset"], features, local_rows)
+    model = grow_bag(rows, "_y", chosen["trees"], lambda first, n: bag_uniforms(["_id"], n, seed, first),
+                     Growth(chosen["depth"], chosen["min_leaf"], seed=seed), chosen["subset"], features, local_rows,
+                     uniform=True)
     return SearchResult(tuple(zip(settings, scores)), dict(settings[best]), model)
