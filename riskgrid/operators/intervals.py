@@ -20,7 +20,8 @@ from riskgrid.operators.boost import (
     smooth_quantile_boost,
     squared_loss,
 )
-from riskgrid.operators.forest import bag_weights, grow_bag
+from riskgrid.functions import poisson_of
+from riskgrid.operators.forest import bag_uniforms, grow_bag
 from riskgrid.operators.growing import Growth
 from riskgrid.operators.packed import Ensemble, Packed, as_array, matrix, numbers, pack, structs, tree_leaves, tree_outputs
 from riskgrid.operators.quantiles import numbered_quantiles
@@ -34,7 +35,7 @@ def ordered(df: DataFrame, level: float) -> DataFrame:
                            "level": F.lit(level)})
 
 
-def forest_percentile_interval(model, df: DataFrame, level: float = 0.95) -> DataFrame:
+def forest_percentile_interval(model, df: DataFrame, level: float = 0.95, features: str = "features") -> DataFrame:
     """Percentiles over the predictions of the single trees, and their mean, in one scoring pass."""
     spark = df.sparkSession
     shipped = spark.sparkContext.broadcast(Packed(pack(spark, model).trees))
@@ -46,7 +47,7 @@ def forest_percentile_interval(model, df: DataFrame, level: float = 0.95) -> Dat
         low, high = np.percentile(outputs, ends, axis=1)
         return structs(lower=low, upper=high, yhat=outputs.mean(axis=1))
 
-    scored = df.withColumn("_b", bounds(vector_to_array("features")))
+    scored = df.withColumn("_b", bounds(as_array(df, features)))
     return ordered(scored.withColumns({c: F.col(f"_b.{c}") for c in ("lower", "upper", "yhat")}), level).drop("_b")
 
 
@@ -222,19 +223,21 @@ def bag_fit(train: DataFrame, label: str, keys: Sequence[str], trees: int = 50,
             min_leaf: int = 1, seed: int = 123, features: str = "features") -> Bag:
     """Bagged trees with known in-bag counts, grown side by side."""
     rows = materialize(train.select(*keys, as_array(train, features).alias(features), label), "bagged")
-    gram, n = in_bag_gram(rows.select(bag_weights(keys, trees, seed).alias("_n")), trees)
-    model = grow_bag(rows, label, trees, lambda first, n: bag_weights(keys, n, seed, first),
-                     Growth(depth, min_leaf, seed=seed), features=features)
+    gram, n = in_bag_gram(rows.select(bag_uniforms(keys, trees, seed).alias("_n")), trees, uniform=True)
+    model = grow_bag(rows, label, trees, lambda first, n: bag_uniforms(keys, n, seed, first),
+                     Growth(depth, min_leaf, seed=seed), features=features, uniform=True)
     return Bag(model, gram, n)
 
 
-def in_bag_gram(weighted: DataFrame, trees: int) -> tuple[np.ndarray, int]:
-    """Sum over rows of (N - 1)(N - 1)' / B^2: one B x B matrix per task, added up."""
+def in_bag_gram(weighted: DataFrame, trees: int, uniform: bool = False) -> tuple[np.ndarray, int]:
+    """Sum over rows of (N - 1)(N - 1)' / B^2: one B x B matrix per task, added up. With ``uniform`` the column holds the
+    numbers that the weights N are drawn from."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((trees, trees)), 0
         for batch in batches:
             if batch.num_rows:
-                centred = matrix(batch.column("_n")) - 1.0
+                own = matrix(batch.column("_n"))
+                centred = (poisson_of(own) if uniform else own) - 1.0
                 total += centred.T @ centred
                 n += batch.num_rows
         yield pa.RecordBatch.from_pydict({"cell": np.arange(trees * trees + 1, dtype=np.int32),
@@ -246,7 +249,7 @@ def in_bag_gram(weighted: DataFrame, trees: int) -> tuple[np.ndarray, int]:
     return values[:-1].reshape(trees, trees) / trees ** 2, int(values[-1])
 
 
-def _estimates(bag: Bag, df: DataFrame) -> DataFrame:
+def _estimates(bag: Bag, df: DataFrame, features: str = "features") -> DataFrame:
     """Add ``_e``: the bagged mean, the variance estimate, and the estimates of two halves of the trees."""
     trees = len(bag.model)
     halves = [np.arange(0, trees, 2), np.arange(1, trees, 2)]
@@ -269,7 +272,7 @@ def _estimates(bag: Bag, df: DataFrame) -> DataFrame:
                 out[name] = out["variance"]
         return structs(**out)
 
-    return df.withColumn("_e", estimate(vector_to_array("features")))
+    return df.withColumn("_e", estimate(as_array(df, features)))
 
 
 def fit_prior(centres: np.ndarray, counts: np.ndarray, noise: float, degree: int = 5, uniform: float = 0.1,
@@ -345,7 +348,8 @@ def calibration(estimates: DataFrame, bins: int = 200) -> tuple[np.ndarray, np.n
     return centres, posterior_means(centres, fit_prior(centres, counts, noise), noise)
 
 
-def jackknife_interval(bag: Bag, df: DataFrame, level: float = 0.95, calibrate: bool = False) -> DataFrame:
+def jackknife_interval(bag: Bag, df: DataFrame, level: float = 0.95, calibrate: bool = False,
+                       features: str = "features") -> DataFrame:
     """Bagged mean with a normal interval from the infinitesimal jackknife variance.
 
     V = t' G t with t the centred tree outputs, minus the published Monte Carlo correction
@@ -354,9 +358,9 @@ def jackknife_interval(bag: Bag, df: DataFrame, level: float = 0.95, calibrate:
     pulls the noise of few trees out of it and is never negative. The table is then scored twice.
     """
     z = NormalDist().inv_cdf(0.5 + level / 2)
-    scored = _estimates(bag, df)
+    scored = _estimates(bag, df, features)
     variance = F.greatest("_e.variance", F.lit(0.0))
-    found = calibration(_estimates(bag, df).select("_e.*")) if calibrate else None
+    found = calibration(_estimates(bag, df, features).select("_e.*")) if calibrate else None
     if found is not None:
         centres, means = found
 
