@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskgrid import sources
 from riskgrid.functions import hash_uniform, poisson_counts, poisson_one, whole
-from riskgrid.operators import explain, growing, keys
+from riskgrid.operators import explain, features, forest, growing, keys
 from riskgrid.operators.growing import Growth
 from riskgrid.operators.packed import Ensemble, arrays, matrix, numbers
 from riskgrid.operators.quantiles import numbered_quantiles
@@ -122,3 +122,77 @@ def test_ages_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     got = spark.read.parquet(str(tmp_path / "cases")).groupBy("part").agg(F.count("*").alias("n"), F.sum("cases").alias("s"))
     want = {f"Age_{a:02d}": (300, a * 44850.0) for a in range(61)} | {"Total": (300, 300.0)}
     assert {r["part"]: (r["n"], r["s"]) for r in got.collect()} == want
+
+
+def test_levels_read_blocks_and_grow_the_same_trees(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x, n = rng.uniform(0, 1, (3000, 3)), 3000
+    x[::50, 1] = np.nan
+    df = spark.createDataFrame([(i, list(map(float, r)), float(r[0] > 0.4) + float(v)) for i, (r, v) in
+                                enumerate(zip(x, rng.normal(0, 0.1, n)))], "id bigint, features array<double>, y double").repartition(2).persist()
+    tables = []
+
+    def watched(rows, *rest):
+        tables.append(rows.count())
+        return growing.grow(rows, *rest)
+
+    monkeypatch.setattr(forest, "grow", watched)
+
+    def bag(drawn, uniform, **limits):
+        return forest.grow_bag(df, "y", 3, lambda first, m: drawn(["id"], m, 5, first), Growth(depth=6, seed=5), uniform=uniform, **limits)
+
+    for limits in ({"local_rows": 0}, {"local_rows": 400}):
+        blocks, copies = bag(forest.bag_uniforms, True, **limits), bag(forest.bag_weights, False, **limits)
+        edges = growing.bin_edges(df.withColumn("_y", F.col("y")))
+        plain = growing.grow(growing.binned(df.withColumn("_y", F.col("y")), edges).withColumn("_n", forest.bag_weights(["id"], 3, 5)),
+                             edges, Growth(depth=6, seed=5), 3, **limits)
+        for other in (copies.trees, plain):
+            for a, b in zip(blocks.trees, other):
+                assert len(a) == len(b) > 10
+                assert np.array_equal(a.feature, b.feature) and np.array_equal(a.n, b.n) and np.allclose(a.value, b.value)
+                assert np.allclose(a.threshold, b.threshold)
+    # A pass costs Spark a row for some hundred pixels, not one for each.
+    assert max(tables) <= n // growing.BLOCK_ROWS + 4
+
+
+def test_blocks_hold_the_rows_in_order():
+    table = np.arange(7 * 3, dtype=float).reshape(7, 3)
+    blocks = growing.block_bytes(table, 2)
+    assert [len(v) // 24 for v in blocks.to_pylist()] == [2, 2, 2, 1] == np.diff(growing.block_ends(7, 2)).tolist()
+    assert np.array_equal(growing.doubles(blocks, 7), table) and np.array_equal(growing.doubles(blocks[1:3], 4), table[2:6])
+    assert len(growing.block_bytes(np.zeros((0, 3)))) == 0
+
+
+def test_inputs_are_the_assembled_vector_and_missing_ones_an_error(spark):
+    df = spark.createDataFrame([(1.0, 2, "b"), (3.0, 4, "a")], "a double, b int, c string")
+    out = features.feature_pipeline(df, ["a", "b"], ["c"]).transform(df).withColumn("inputs", features.input_array(["a", "b", "c_code"]))
+    assert all(r["inputs"] == list(r["features"]) for r in out.collect())
+    for bad in (None, float("nan")):
+        with pytest.raises(Exception, match="a missing value in a, b"):
+            spark.createDataFrame([(bad, 1)], "a double, b int").select(features.input_array(["a", "b"])).collect()
+
+
+def test_prepared_pixels_are_joined_without_sorting_them_and_not_spread_again(spark, tmp_path, monkeypatch):
+    from workload import models
+
+    orders = [(k, k % 3, f"{k % 2}-P", 10.0 * k) for k in range(1, 41)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderpriority string, o_totalprice double").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(k, float(q), 5.0 * q, 0.02, 0.05) for k, *_ in orders for q in (1, 2)],
+                          "l_orderkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, k, 1.5 * k) for k in range(3)], "c_custkey bigint, c_nationkey int, c_acctbal double").write.parquet(
+        f"{tmp_path}/customer.parquet")
+    plans, write = [], models.sources.materialize
+
+    def watched(df, name, spread=()):
+        plans.append((df._jdf.queryExecution().toString(), spread))
+        return write(df, name, spread)
+
+    monkeypatch.setattr(models.sources, "materialize", watched)
+    rows = models.prepared(spark, str(tmp_path)).collect()
+    (plan, spread), = plans
+    assert plan.count("ShuffledHashJoin") and "SortMergeJoin" not in plan and not spread
+    assert sorted(r["pixel_id"] for r in rows) == list(range(1, 41)) and all(r["split"] == "train" for r in rows)
+    assert all(r["inputs"] == list(r["features"]) == [1.5, 7.5, 0.05, 10.0 * r["pixel_id"], 1.5 * (r["pixel_id"] % 3),
+                                                      float(r["pixel_id"] % 2)] for r in rows)
