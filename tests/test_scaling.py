@@ -190,6 +190,7 @@ def test_prepared_pixels_are_joined_without_sorting_them_and_not_spread_again(sp
         return write(df, name, spread)
 
     monkeypatch.setattr(models.sources, "materialize", watched)
+    monkeypatch.setattr(models, "LARGE", 39)
     rows = models.prepared(spark, str(tmp_path)).collect()
     (plan, spread), = plans
     assert plan.count("ShuffledHashJoin") and "SortMergeJoin" not in plan and not spread
