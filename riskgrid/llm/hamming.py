@@ -94,10 +94,11 @@ def _probes(bits: int, radius: int):
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
                 ids, codes, bounds = (_column(part, x) for x in ("query_id", "query_code", "bound"))
-                values = _segments(codes.view(np.uint64), bits)[:, :, None] ^ masks
-                each = m * len(masks)
-                rows = list(_packed(np.tile(np.repeat(np.arange(m), len(masks)), len(ids)), values.ravel(),
-                                    *(np.repeat(c, each) for c in (ids, codes, bounds.astype(np.int64)))))
+                # Rounds before have verified what is within m * radius - 1; for one bit more a segment more is needed.
+                row, segment = np.nonzero(np.arange(m) <= bounds[:, None].astype(np.int64) - m * radius)
+                values = _segments(codes.view(np.uint64), bits)[row, segment][:, None] ^ masks
+                rows = list(_packed(np.repeat(segment, len(masks)), values.ravel(),
+                                    *(np.repeat(c[row], len(masks)) for c in (ids, codes, bounds.astype(np.int64)))))
                 if rows:
                     yield _batch(rows, names)
     return pack
@@ -152,8 +153,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int |
     Codes are cut into m segments, with one hash index per segment. Round r probes every segment at
     exactly r flipped bits; after it, every code within m * (r + 1) - 1 bits has been verified. A query
     is finished once its k-th verified distance lies within that, and only unfinished queries go on, with
-    that distance as a bound. Buckets and probes meet as packed blocks, so a bucket that holds a large
-    share of the rows is many rows of the join, not one group.
+    that distance as a bound. With a bound of m * r + a the first a + 1 segments are enough in round r: a code that
+    differs by more than r bits in each of them and by r or more in the others is farther away. Buckets and probes
+    are shuffled and meet as packed blocks, so a bucket that holds a large share of the rows is many rows of the join, not
+    one group.
 
     Of rows with the same code only the k + 1 smallest ids can be among k neighbours, so only they are
     indexed. Rows and queries with a null id or code are left out. Repeated rows count once; an id with
@@ -174,7 +177,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, segment_bits: int |
     for radius in range(bits + 1):
         probes = active.mapInArrow(_probes(bits, radius), "segment int, value bigint, query_ids binary, "
                                                           "query_codes binary, bounds binary")
-        found = (buckets.join(probes, ["segment", "value"])
+        # Probes outgrow the queries they are estimated by a thousandfold: by that size they would be broadcast.
+        found = (buckets.join(probes.hint("merge"), ["segment", "value"])
                  .mapInArrow(_verify(k), "query_id bigint, query_code bigint, id bigint, distance bigint"))
         if best is not None:
             found = found.unionByName(best)

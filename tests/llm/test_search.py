@@ -56,3 +56,32 @@ def test_sign_code(spark):
 
 def test_segment_length():
     assert [hamming.segment_bits_for(n) for n in (0, 2 ** 15, 2 ** 16, 2 ** 40)] == [8, 8, 16, 32]
+
+
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    written = hamming.materialize
+
+    def recorded(df, name):
+        out = written(df, name)
+        if name == "best":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(hamming, "materialize", recorded)
+    random = np.random.default_rng(2)
+    rows = [(i, int(c)) for i, c in enumerate(random.integers(-2 ** 63, 2 ** 63, 200))]
+    assert result(spark, rows, rows[:5], 3) == brute(rows, rows[:5], 3)
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+def test_segments_of_a_round_follow_the_bound():
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"query_id": [1, 2], "query_code": [0, 0],
+                                        "bound": pa.array([17, 64], type=pa.int32())})
+    segments = {1: set(), 2: set()}
+    for found in hamming._probes(8, 2)([batch]):
+        for row in found.to_pylist():
+            for q in np.frombuffer(row["query_ids"], dtype=np.int64):
+                segments[int(q)].add(row["segment"])
+    assert segments == {1: {0, 1}, 2: set(range(8))}
