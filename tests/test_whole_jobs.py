@@ -30,3 +30,10 @@ def test_rf_fit_grows_the_forest_of_the_full_runs(spark, prepared, monkeypatch):
     monkeypatch.setattr(models.forest, "rf_fit", recorded)
     assert models.rf_fit(spark, "").count() == 3
     assert grown == [{"trees": 180, "min_leaf": 1, "subset": "sqrt", "depth": 40}]
+
+
+def test_round_cv_goes_to_fifteen_rounds(spark, prepared, monkeypatch):
+    asked = []
+    monkeypatch.setattr(models.boost, "round_cv", lambda df, label, rounds, settings, keys: asked.append((rounds, settings.depth)))
+    models.round_cv(spark, "")
+    assert asked == [([5, 10, 15], 3)]
