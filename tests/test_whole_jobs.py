@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from riskgrid.operators import forest
+from riskgrid.operators import boost, forest
+from riskgrid.sources import workdir
 from workload import models
 
 
@@ -37,3 +41,34 @@ def test_round_cv_goes_to_fifteen_rounds(spark, prepared, monkeypatch):
     monkeypatch.setattr(models.boost, "round_cv", lambda df, label, rounds, settings, keys: asked.append((rounds, settings.depth)))
     models.round_cv(spark, "")
     assert asked == [([5, 10, 15], 3)]
+
+
+def test_smooth_quantile_interval_runs_all_rounds(spark, prepared, monkeypatch):
+    asked = []
+
+    def recorded(train, df, label, keys, settings):
+        asked.append((settings.rounds, settings.depth, settings.rate))
+        return df.withColumns({c: F.lit(0.0) for c in ("lower", "upper", "level")})
+
+    monkeypatch.setattr(models.intervals, "smooth_quantile_interval", recorded)
+    models.smooth_quantile_interval(spark, "")
+    assert asked == [(400, 8, 0.01)]
+
+
+def test_superseded_states_of_boosting_are_removed(spark, prepared, monkeypatch):
+    settings = boost.BoostSettings(rounds=4, depth=2, rate=0.3)
+    df = prepared.withColumnRenamed("inputs", "features")
+    plain = boost.newton_boost_fit(df, "label", settings, ["pixel_id"], split="split")
+    paths = []
+    place = workdir.shared_path
+
+    def recorded(spark, name):
+        paths.append(place(spark, name))
+        return paths[-1]
+
+    monkeypatch.setattr(boost, "shared_path", recorded)
+    monkeypatch.setattr(boost, "CHECKPOINT_EVERY", 1)
+    often = boost.newton_boost_fit(df, "label", settings, ["pixel_id"], split="split")
+    assert len(plain.log) == 12 and [r[:2] for r in often.log] == [r[:2] for r in plain.log]
+    assert np.allclose([r[2] for r in often.log], [r[2] for r in plain.log], rtol=1e-12)
+    assert [Path(p.removeprefix("file:")).exists() for p in paths] == [False] * 4 + [True]
